@@ -4,12 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ashlar.operators import hierarchy as trees
+from ashlar.operators import references, skew
 from ashlar.operators.snapshots import snapshot_changes
 from ashlar.sources.tables import table
 
+#: The shares of a run's rows from which a key is found.
+SHARES = {"from_id": 0.05, "rel_type": 0.15}
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "raw_entities"), table(spark, d, "raw_relationships"), table(spark, d, "extraction_provenance")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return skew.dominant_keys(table(spark, d, "raw_relationships"), SHARES)
+
+
+def p2_keys(spark: SparkSession, d: str) -> DataFrame:
+    keys = skew.relationship_keys(table(spark, d, "raw_relationships"))
+    return keys.select("provenance_id", "key_field", "key_value", "row_count", "distinct_neighbours", "latest.ordinal", "latest.to_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    e, r, p = _graph(spark, d)
+    return references.orphan_references(r, e, p).select("ordinal", "endpoint", "state")
+
+
+def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
+    e, r, _ = _graph(spark, d)
+    return references.orphan_cascade(r, e)
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    e, r, p = _graph(spark, d)
+    return references.orphan_report(r, e, p)
+
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_changes(table(spark, d, "raw_entities"), table(spark, d, "extraction_provenance"))
+    e, _, p = _graph(spark, d)
+    return snapshot_changes(e, p)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    e, r, _ = _graph(spark, d)
+    return trees.parent_cycles(e, r)
+
+
+def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    e, r, _ = _graph(spark, d)
+    return trees.hierarchy(e, r)
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return trees.descendants(p5_hierarchy(spark, d))
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {f.__name__: f for f in (p2_found, p2_keys, p3_found, p3_cascade, p3_report, p4_found, p5_found, p5_hierarchy, p5_descendants)}
