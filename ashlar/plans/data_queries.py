@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ashlar.operators import hierarchy as trees
-from ashlar.operators import references, skew
+from ashlar.operators import references, schema_drift, skew
 from ashlar.operators.snapshots import snapshot_changes
 from ashlar.sources.tables import table
 
@@ -17,6 +17,21 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return table(spark, d, "raw_entities"), table(spark, d, "raw_relationships"), table(spark, d, "extraction_provenance")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    e, _, p = _graph(spark, d)
+    return schema_drift.drift(e, p)
+
+
+def p1_scripts(spark: SparkSession, d: str) -> DataFrame:
+    e, _, p = _graph(spark, d)
+    return schema_drift.edit_scripts(e, p)
+
+
+def p1_table(spark: SparkSession, d: str) -> DataFrame:
+    e, _, p = _graph(spark, d)
+    return schema_drift.consistent_table(e, p)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.dominant_keys(table(spark, d, "raw_relationships"), SHARES)
 
@@ -60,4 +75,4 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return trees.descendants(p5_hierarchy(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_keys, p3_found, p3_cascade, p3_report, p4_found, p5_found, p5_hierarchy, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scripts, p1_table, p2_found, p2_keys, p3_found, p3_cascade, p3_report, p4_found, p5_found, p5_hierarchy, p5_descendants)}
