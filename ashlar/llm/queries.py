@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm import encoding
+from ashlar.llm import encoding, packing
 from ashlar.sources.tables import table
 
 
@@ -18,5 +18,19 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return encoding.decode(encoding.encode(table(spark, d, "documents"))).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip)}
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents")).drop("row")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that the packing divided."""
+    packed = packing.pack(table(spark, d, "documents"))
+    return packed.filter((F.col("pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.pack(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_pack, p7_found, p7_fill)}
 ORACLE_SQL = {"p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
