@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm import encoding, packing
+from ashlar.llm import areas, encoding, packing
 from ashlar.sources.tables import table
 
 
@@ -32,5 +32,13 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_pack, p7_found, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return areas.subject_areas(*[table(spark, d, n) for n in ("documents", "subject_examples", "subject_areas")])
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return areas.area_shares(p8_found(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_round_trip, p7_pack, p7_found, p7_fill, p8_found, p8_shares)}
 ORACLE_SQL = {"p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
