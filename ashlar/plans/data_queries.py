@@ -76,3 +76,5 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_scripts, p1_table, p2_found, p2_keys, p3_found, p3_cascade, p3_report, p4_found, p5_found, p5_hierarchy, p5_descendants)}
+
+ORACLE_SQL: dict[str, str] = {}
