@@ -286,21 +286,28 @@ class Chain:
         """Inputs of an area's model: its pooled score, the structure, the areas decided before, and how many they are."""
         return np.concatenate([[score], shape, before, [before.sum()]])
 
-    def decode(self, x: np.ndarray, shape: np.ndarray, width: int = BEAM) -> list[int]:
-        """The likeliest combination of areas found by a beam search along the chain."""
+    def decode(self, x: np.ndarray, shape: np.ndarray, width: int = BEAM) -> np.ndarray:
+        """The likeliest combinations of areas (rows of booleans) for texts with features ``x`` (text, area, feature) and
+        ``shape`` (text, feature), by a beam search along the chain over all texts at once."""
+        n, k = x.shape[:2]
         scores = _score(x, self.pooled)
-        beam = [(0.0, np.zeros(len(self.order)))]
         a, b = self.calibration
+        logp, y = np.zeros((n, 1)), np.zeros((n, 1, k))
         for j, area in enumerate(self.order):
-            following = []
-            for logp, y in beam:
-                z = a * float(_score(self.link(scores[area], shape, y)[None], self.links[j])[0]) + b
-                following.append((logp - np.logaddexp(0, z), y))
-                taken = y.copy()
-                taken[j] = 1
-                following.append((logp - np.logaddexp(0, -z), taken))
-            beam = sorted(following, key=lambda s: -s[0])[:width]
-        return [self.order[j] for j in np.nonzero(beam[0][1])[0]]
+            w = self.links[j]
+            own, of_shape, of_before, of_count, constant = w[0], w[1 : 1 + shape.shape[1]], w[1 + shape.shape[1] : -2], w[-2], w[-1]
+            z = (own * scores[:, area] + shape @ of_shape + constant)[:, None] + y @ of_before + of_count * y.sum(2)
+            z = a * z + b
+            taken = y.copy()
+            taken[:, :, j] = 1
+            logp = np.concatenate([logp - np.logaddexp(0, z), logp - np.logaddexp(0, -z)], 1)
+            y = np.concatenate([y, taken], 1)
+            best = np.argsort(-logp, 1, kind="stable")[:, :width]
+            logp = np.take_along_axis(logp, best, 1)
+            y = np.take_along_axis(y, best[:, :, None], 1)
+        out = np.zeros((n, k), bool)
+        out[:, self.order] = y[:, 0] > 0
+        return out
 
 
 def _fit_chain(lexicon: Lexicon, data: list, y: np.ndarray) -> Chain:
@@ -379,14 +386,14 @@ def predict(documents: DataFrame, chain: Chain | None) -> DataFrame:
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = model.value
         for b in batches:
-            ids, found = [], []
+            docs, xs, shapes = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 x, shape = features(text, c.lexicon)
                 if x.any():  # a text without any term of an area has none
-                    for area in c.decode(x, shape):
-                        ids.append(doc)
-                        found.append(c.lexicon.areas[area])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["doc_id", "area"])
+                    docs.append(doc), xs.append(x), shapes.append(shape)
+            found = np.argwhere(c.decode(np.array(xs), np.array(shapes))) if docs else []
+            ids, names = [docs[i] for i, _ in found], [c.lexicon.areas[a] for _, a in found]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], ["doc_id", "area"])
 
     return documents.select("doc_id", "text").filter("text is not null").mapInArrow(over, "doc_id long, area string")
 
