@@ -2,11 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.runtime import WorkTable
 
+#: What is left of a graph is finished in one task once it was counted to have at most so many edges; the results are
+#: the same either way, this only saves the many short rounds of a long tail.
+SMALL_CORE = 100_000
+
+
+def _tarjan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and component (its least node) of a small graph, without recursion."""
+    out_of: dict = {}
+    kind = pa.string()
+    for b in batches:
+        kind = b.column("src").type
+        for s, t in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
+            out_of.setdefault(s, []).append(t)
+            out_of.setdefault(t, [])
+    index: dict = {}
+    low: dict = {}
+    stack, on, found = [], set(), {}
+    for root in out_of:
+        if root in index:
+            continue
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        work = [(root, iter(out_of[root]))]
+        while work:
+            v, rest = work[-1]
+            w = next(rest, None)
+            if w is not None:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(out_of[w])))
+                elif w in on:
+                    low[v] = min(low[v], index[w])
+                continue
+            work.pop()
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[v])
+            if low[v] == index[v]:
+                part = [stack.pop()]
+                while part[-1] != v:
+                    part.append(stack.pop())
+                on.difference_update(part)
+                found |= dict.fromkeys(part, min(part))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), kind), pa.array(list(found.values()), kind)], ["node", "component"])
+
 
 def _spread(labels: DataFrame, edges: DataFrame, name: str) -> WorkTable:
     """The least label that reaches each node along the edges (node -> label); edges: src, dst."""
@@ -24,7 +74,7 @@ def _spread(labels: DataFrame, edges: DataFrame, name: str) -> WorkTable:
             return now
 
 
-def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None, small_core: int = SMALL_CORE) -> DataFrame:
     """node, component (the least node of it) and size-one components too; edges: src, dst, of any one orderable type.
 
     Nodes without an edge in or out are components of their own and are trimmed first, again and again. In what is
@@ -37,17 +87,21 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     everything = WorkTable(everything, "scc-nodes")
     found: list[DataFrame] = []
     live = edges
-    while not live.df.isEmpty():
-        while True:  # trim
+    size = live.df.count()
+    while size:
+        while size > small_core:  # trim
             src, dst = live.df.select("src").distinct(), live.df.select("dst").distinct()
             core = src.join(dst.withColumnRenamed("dst", "src"), "src", "left_semi")
             rest = live.df.join(core, "src", "left_semi").join(core.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
             rest = WorkTable(rest, "scc-edges")
-            same = rest.df.count() == live.df.count()
-            live = rest
-            if same:
+            left = rest.df.count()
+            same = left == size
+            live, size = rest, left
+            if same or size <= small_core:
                 break
-        if live.df.isEmpty():
+        if size <= small_core:
+            kind = live.df.schema["src"].dataType.simpleString()
+            found.append(live.df.repartition(1).mapInArrow(_tarjan, f"node {kind}, component {kind}"))
             break
         start = live.df.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
         colour = _spread(start, live.df, "scc-colour")
@@ -60,6 +114,7 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None) -> Data
         gone = part.df.select(F.col("node").alias("src"))
         rest = live.df.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
         live = WorkTable(rest, "scc-edges")
+        size = live.df.count()
     out = None
     for part in found:
         out = part if out is None else out.unionByName(part)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.operators.components import strongly_connected
+from ashlar.operators.components import SMALL_CORE, strongly_connected
 from ashlar.operators.traversal import reachable
 from ashlar.runtime import WorkTable, materialize
 
@@ -42,11 +46,41 @@ def dependency_edges(edges: DataFrame) -> DataFrame:
     return rows.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst")).distinct()
 
 
-def waves(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _small_waves(base: int):
+    """The levels of a small rest of a graph from ``base`` on: rows (src, dst) are edges, (src, null) nodes."""
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        consumers: dict = {}
+        need: dict = {}
+        kind = pa.string()
+        for b in batches:
+            kind = b.column("src").type
+            for s, t in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
+                need.setdefault(s, 0)
+                if t is not None:
+                    need[s] += 1
+                    consumers.setdefault(t, []).append(s)
+        level = {n: base for n, k in need.items() if not k}
+        queue = deque(level)
+        while queue:
+            t = queue.popleft()
+            for s in consumers.get(t, ()):
+                need[s] -= 1
+                if not need[s]:  # waves come in order, so the last prerequisite met is a highest one
+                    level[s] = level[t] + 1
+                    queue.append(s)
+        names = list(need)
+        yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array([level.get(n, -1) for n in names], pa.int32())], ["node", "level"])
+
+    return over
+
+
+def waves(edges: DataFrame, nodes: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     """node, level: 0 without prerequisites, else 1 + the greatest level among them; -1 on a cycle or above one.
 
     One round per level: a node is done once its last prerequisite was; each round touches only the edges into the
-    newest level. Parallel edges and repeated nodes count once; a self-loop is a cycle.
+    newest level. Once the nodes still open and the edges among them are counted to be few, one task finishes them.
+    Parallel edges and repeated nodes count once; a self-loop is a cycle.
     """
     edges = WorkTable(edges.select("src", "dst").na.drop().distinct(), "wave-edges").df
     nodes = nodes.select("node").na.drop().union(edges.select("src")).union(edges.select("dst")).distinct()
@@ -54,6 +88,13 @@ def waves(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     open_ = WorkTable(nodes.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need")), "waves")
     done, level = [], 0
     while True:
+        here = open_.df.select(F.col("node").alias("dst"))
+        among = edges.join(here, "dst", "left_semi").join(here.withColumnRenamed("dst", "src"), "src", "left_semi")
+        rest = among.select("src", "dst").union(open_.df.select(F.col("node").alias("src"), F.lit(None).alias("dst")))
+        if rest.limit(small_core + 1).count() <= small_core:
+            kind = rest.schema["src"].dataType.simpleString()
+            done.append(rest.repartition(1).mapInArrow(_small_waves(level), f"node {kind}, level int"))
+            return _union(done)
         ready = WorkTable(open_.df.filter("need = 0").select("node").withColumn("level", F.lit(level)), "waves").df
         if ready.isEmpty():
             break
