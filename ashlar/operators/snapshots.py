@@ -108,7 +108,7 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _merge_range(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Changes inside a range, and as kind ``edge`` its first two and last two groups; ``place`` 2 bears a gap after it."""
+    """Changes inside a range, and as kind ``edge`` its first two and last two groups; ``place`` tells which, in all ranges' order."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -142,19 +142,24 @@ def _merge_range(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _stitch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The changes at the borders; gets the edges of all ranges in order."""
     out: list[tuple] = []
-    last = None  # the group not yet compared with what follows
-    second = False  # it is the second group of a range of four or more: what lies after it was compared there
+    before = last = None  # the last group may go on in the next range, so it is compared once another one comes
+    gap = False  # what lies between the two was compared in their range
+    place = 0
+
+    def compared() -> list[tuple]:
+        return [] if gap else [("change", *x, "", 0) for x in _changes(before, last)]
+
     for batch in batches:
         columns = [batch.column(n).to_pylist() for n in ("workspace", "stable_id", "seq", "state", "place")]
-        for workspace, stable_id, seq, state, place in zip(*columns):
+        for workspace, stable_id, seq, state, at in zip(*columns):
             g = _Group.load((workspace, stable_id), seq, state)
-            if last is not None and last.key == g.key and last.seq == g.seq and not second:
+            if last is not None and last.key == g.key and last.seq == g.seq:
                 last.join(g)
-                second = False
-                continue
-            if not second:
-                out.extend(("change", *x, "", 0) for x in _changes(last, g))
-            last, second = g, place % 4 == 1
+            else:
+                out += compared()
+                before, last, gap = last, g, place % 4 == 1  # after a range's second group of at least four
+            place = at
+    out += compared()
     out.extend(("change", *x, "", 0) for x in _changes(last, None))
     yield _emit(out)
 
