@@ -29,7 +29,7 @@ def _split_unknown(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def words_of(documents: DataFrame) -> DataFrame:
     """row (unique), doc_id and the words of each text; none for empty and null texts."""
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     odd = F.col("text").rlike(v.UNKNOWN)
     usual = rows.filter(~odd).select("row", "doc_id", F.regexp_extract_all("text", F.lit(v.SPLIT), F.lit(0)).alias("words"))
     return usual.unionByName(rows.filter(odd).mapInArrow(_split_unknown, usual.schema))
