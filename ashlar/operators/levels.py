@@ -78,20 +78,18 @@ def _small_waves(base: int):
 def waves(edges: DataFrame, nodes: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     """node, level: 0 without prerequisites, else 1 + the greatest level among them; -1 on a cycle or above one.
 
-    One round per level: a node is done once its last prerequisite was; each round touches only the edges into the
-    newest level. Once the nodes still open and the edges among them are counted to be few, one task finishes them.
+    One round per level: a node is done once its last prerequisite was; edges into a finished level are dropped, so
+    each round reads fewer. Once the nodes still open and the edges among them are counted to be few, one task finishes them.
     Parallel edges and repeated nodes count once; a self-loop is a cycle.
     """
-    edges = WorkTable(edges.select("src", "dst").na.drop().distinct(), "wave-edges").df
-    nodes = nodes.select("node").na.drop().union(edges.select("src")).union(edges.select("dst")).distinct()
-    need = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need"))
+    live = WorkTable(edges.select("src", "dst").na.drop().distinct(), "wave-edges")
+    nodes = nodes.select("node").na.drop().union(live.df.select("src")).union(live.df.select("dst")).distinct()
+    need = live.df.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need"))
     open_ = WorkTable(nodes.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need")), "waves")
     done, level = [], 0
     while True:
-        here = open_.df.select(F.col("node").alias("dst"))
-        among = edges.join(here, "dst", "left_semi").join(here.withColumnRenamed("dst", "src"), "src", "left_semi")
-        rest = among.select("src", "dst").union(open_.df.select(F.col("node").alias("src"), F.lit(None).alias("dst")))
-        if rest.limit(small_core + 1).count() <= small_core:
+        if open_.df.count() + live.df.count() <= small_core:  # the ends of live edges are open
+            rest = live.df.select("src", "dst").union(open_.df.select(F.col("node").alias("src"), F.lit(None).alias("dst")))
             kind = rest.schema["src"].dataType.simpleString()
             done.append(rest.repartition(1).mapInArrow(_small_waves(level), f"node {kind}, level int"))
             return _union(done)
@@ -99,11 +97,14 @@ def waves(edges: DataFrame, nodes: DataFrame, small_core: int = SMALL_CORE) -> D
         if ready.isEmpty():
             break
         done.append(ready)
-        met = edges.join(ready.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+        newest = ready.select(F.col("node").alias("dst"))
+        met = live.df.join(newest, "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("met"))
         rest = open_.df.filter("need > 0").join(met, "node", "left").select("node", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"))
         rest = WorkTable(rest, "waves")
-        open_.drop()
-        open_ = rest
+        further = WorkTable(live.df.join(newest, "dst", "left_anti").select("src", "dst"), "wave-edges")
+        for t in (open_, live):
+            t.drop()
+        open_, live = rest, further
         level += 1
         if len(done) > 16:
             done = [materialize(_union(done), "waves")]
