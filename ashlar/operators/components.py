@@ -81,8 +81,9 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame | None = None, small_c
     left, every node takes the least node that reaches it as colour; those that reach their colour's node inside the
     colour are its component; the rest goes round again. Null ends are no edges; repeated ones count once.
     """
-    edges = WorkTable(edges.select("src", "dst").na.drop().filter("src <> dst").distinct(), "scc-edges")
-    ends = edges.df.select(F.col("src").alias("node")).union(edges.df.select("dst"))
+    edges = edges.select("src", "dst").na.drop()
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    edges = WorkTable(edges.filter("src <> dst").distinct(), "scc-edges")
     everything = (ends if nodes is None else ends.union(nodes.select("node").na.drop())).distinct()
     everything = WorkTable(everything, "scc-nodes")
     found: list[DataFrame] = []
