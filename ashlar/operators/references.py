@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.ids import key128, normalize_id
 from ashlar.operators.hierarchy import parent_links
+from ashlar.operators.skew import salted_left_join
 from ashlar.runtime import WorkTable, checked_broadcast
 from ashlar.sources.tables import runs
 
@@ -31,8 +32,8 @@ def orphan_references(relationships: DataFrame, entities: DataFrame, provenance:
     Ids are compared as ``normalize_id`` spells them. Null endpoints refer to nothing; an empty id is an id. Repeated
     rows come out once each. Entities with a null id are none. Empty entities leave every reference missing.
 
-    Both sides are shuffled once, by a 16-byte key of workspace and id; a key with very many references is a skewed
-    join partition that adaptive execution splits, as only the entity side is aggregated.
+    Both sides are shuffled once, by a 16-byte key of workspace and id; the references of a heavy key are salted, so
+    that no task gets them all.
     """
     known = checked_broadcast(runs(provenance))
     key = lambda c: key128("workspace", normalize_id(c))
@@ -51,7 +52,7 @@ def orphan_references(relationships: DataFrame, entities: DataFrame, provenance:
     state = (
         F.when(F.array_min(at) < F.col("seq"), "deleted").when(F.array_max(at) > F.col("seq"), "late").otherwise("missing")
     )
-    orphans = refs.join(present, ["k1", "k2"], "left").filter(at.isNull() | ~F.array_contains(at, F.col("seq")))
+    orphans = salted_left_join(refs, present, ["k1", "k2"], "ordinal").filter(at.isNull() | ~F.array_contains(at, F.col("seq")))
     return orphans.select("ordinal", "provenance_id", "rel_type", "endpoint", state.alias("state"))
 
 

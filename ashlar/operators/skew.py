@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ashlar.runtime import checked_broadcast, materialize
+
 #: A key is heavy from this share of all rows on, so at most its inverse are heavy: the size bound of their broadcast.
 HEAVY_SHARE = 1 / 1000
 #: Rows of a heavy key that share a salt, about.
@@ -55,6 +57,20 @@ def salted_summary(
     return by_salt.groupBy(*keys).agg(*[final[r].alias(r) for r in results])
 
 
+def salted_left_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: str, share: float = HEAVY_SHARE, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``rows`` left-joined with ``other`` (unique keys), with the rows of heavy keys spread over salts.
+
+    The salt of a row is drawn from the hash of ``spread``; ``other``'s rows of heavy keys, at most ``1 / share``, come
+    once for each of their salts. No row is lost or doubled. Null keys match nothing.
+    """
+    heavy = materialize(heavy_keys(rows.select(*keys).na.drop(), keys, share, rows_per_salt), "heavy-keys")
+    salt = F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("salts")).cast("int"), F.lit(0)).alias("salt")
+    mine = rows.join(F.broadcast(heavy), keys, "left").select(*rows.columns, salt)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    theirs = other.join(F.broadcast(heavy), keys, "left").select(*other.columns, copies)
+    return mine.join(theirs, [*keys, "salt"], "left").drop("salt")
+
+
 def relationship_keys(relationships: DataFrame, results: tuple[str, ...] = ("row_count", "distinct_neighbours", "latest")) -> DataFrame:
     """``salted_summary`` of the ``from_id`` and ``rel_type`` values of each run; ids as written. Neighbours are ``to_id``."""
     both = None
@@ -66,8 +82,6 @@ def relationship_keys(relationships: DataFrame, results: tuple[str, ...] = ("row
 
 def dominant_keys(relationships: DataFrame, shares: dict[str, float]) -> DataFrame:
     """The keys that hold at least their field's share of a run's rows, null keys and repeated rows counting as rows."""
-    from ashlar.runtime import checked_broadcast
-
     keys = relationship_keys(relationships, ("row_count",))
     totals = relationships.groupBy("provenance_id").agg(F.count(F.lit(1)).alias("run_rows"))
     share = F.coalesce(*[F.when(F.col("key_field") == f, F.lit(s)) for f, s in shares.items()])

@@ -215,6 +215,13 @@ def test_salted_summary_with_a_hot_key(spark):
     assert {r["from_id"] for r in heavy} >= {"hot"} and len(heavy) <= 50
 
 
+def test_salted_join_keeps_every_row(spark):
+    rows = spark.createDataFrame([(n, "hot" if n % 3 else f"k{n % 11}" if n % 5 else None) for n in range(500)], "o int, k string")
+    other = spark.createDataFrame([("hot", 1), ("k1", 2), ("unused", 3)], "k string, v int")
+    got = skew.salted_left_join(rows, other, ["k"], "o", share=0.05, rows_per_salt=20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(other, ["k"], "left").select(got.columns).collect()))
+
+
 def test_dominant_keys_at_the_border(spark):
     rows = [(n, "a" if n < 5 else None if n < 10 else f"x{n}", "t", "A" if n < 15 else "B", None, "r1") for n in range(100)]
     found = got(skew.dominant_keys(rels(spark, rows), {"from_id": 0.05, "rel_type": 0.15}), "provenance_id", "key_field", "key_value")
