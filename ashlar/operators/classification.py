@@ -131,3 +131,28 @@ def string_list(c: str) -> Column:
     as_json = F.from_json(text, "array<string>")
     words = F.filter(F.split(text, r"[\s,]+"), lambda x: x != "")
     return F.when(text.startswith("["), F.coalesce(as_json, F.array(text))).otherwise(words)
+
+#: How collection methods iterate: mode, result, short_circuit, reverse, mutates_receiver, item_parameter,
+#: callback_action.
+COLLECTION_METHODS = {
+    "filter": ("select", "collection", False, False, False, 0, "accept"),
+    "map": ("transform", "collection", False, False, False, 0, "emit"),
+    "flatMap": ("transform", "collection", False, False, False, 0, "emit"),
+    "find": ("search", "element", True, False, False, 0, "match"),
+    "findLast": ("search", "element", True, True, False, 0, "match"),
+    "findIndex": ("search", "index", True, False, False, 0, "match"),
+    "findLastIndex": ("search", "index", True, True, False, 0, "match"),
+    "some": ("quantify", "boolean", True, False, False, 0, "decide"),
+    "every": ("quantify", "boolean", True, False, False, 0, "decide"),
+    "reduce": ("accumulate", "accumulator", False, False, False, 1, "accumulate"),
+    "reduceRight": ("accumulate", "accumulator", False, True, False, 1, "accumulate"),
+    "forEach": ("consume", "void", False, False, False, 0, "effect"),
+    "sort": ("compare", "receiver", False, False, True, 0, "order"),
+    "toSorted": ("compare", "collection", False, False, False, 0, "order"),
+}
+METHOD_SCHEMA = "method string, mode string, result string, short_circuit boolean, reverse boolean, mutates_receiver boolean, item_parameter int, callback_action string"
+
+
+def collection_methods(spark) -> DataFrame:
+    """The table of collection methods; of fixed size."""
+    return spark.createDataFrame([(m, *v) for m, v in COLLECTION_METHODS.items()], METHOD_SCHEMA)

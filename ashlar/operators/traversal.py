@@ -284,3 +284,23 @@ def common_reach(edges: DataFrame, branches: DataFrame, order: Column | None = N
     met = met.join(want, "branch").filter("_n = _want")
     best = met.groupBy("branch").agg(F.min(F.struct("depth", "node")).alias("m"))
     return best.select("branch", "m.node", "m.depth")
+
+
+def typed_chain(edges: DataFrame, seeds: Column, steps: Column, finish: Column) -> DataFrame:
+    """origin, node: nodes that an edge meeting ``finish`` leads to at the end of a chain that begins with an edge meeting
+    ``seeds`` and goes on over any number of edges meeting ``steps``; edges: src, dst and the columns the conditions use."""
+    edges = WorkTable(edges, "typed-edges").df
+    begin = edges.filter(seeds).select(F.col("src").alias("origin"), F.col("dst").alias("node")).na.drop().distinct()
+    reach = reachable(edges.filter(steps), begin.select("node")).select(F.col("origin").alias("node"), F.col("node").alias("at"))
+    ends = begin.join(reach, "node").select("origin", F.col("at").alias("src")).distinct()
+    last = edges.filter(finish).select("src", F.col("dst").alias("node"))
+    return ends.join(last, "src").filter("origin <> node").select("origin", "node").distinct()
+
+
+def path_requests(edges: DataFrame, requests: DataFrame, most_hops: int) -> DataFrame:
+    """origin, target, hops, path and status of each requested pair (origin, target): ``found``, ``same``, ``incomplete``
+    (an end is null) or ``unavailable`` within ``most_hops``."""
+    whole = requests.na.drop().filter("origin <> target")
+    found = shortest_paths(edges, whole.select(F.col("origin").alias("node")), whole.select(F.col("target").alias("node")), most_hops)
+    status = F.when(F.col("origin").isNull() | F.col("target").isNull(), "incomplete").when(F.col("origin") == F.col("target"), "same").when(F.col("hops").isNotNull(), "found").otherwise("unavailable")
+    return requests.distinct().join(found, ["origin", "target"], "left").select("origin", "target", "hops", "path", status.alias("status"))
