@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
 _WORD = re.compile(r"[^\W_]+(?:-[^\W\d_]+)*")
 _HUMP = re.compile(r"(?<=[^\W\d_A-ZÀ-ÖØ-Þ])(?=[A-ZÀ-ÖØ-Þ])|(?<=\d)(?=[^\W\d_])")
 _END = re.compile(r"[\n\r]+|(?<=[.?!)])\s+")
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍﻿­"))
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\ufeff\u00ad]")
 
 
 def stem(word: str) -> str:
@@ -22,19 +23,23 @@ def stem(word: str) -> str:
     return word
 
 
+@functools.lru_cache(maxsize=200_000)
+def _parts(word: str) -> tuple[str, ...]:
+    out = []
+    for part in (word,) if word.islower() or word.isupper() else _HUMP.split(word):
+        part = part.replace("-", "").lower()
+        if len(part) > 1 and not part[0].isdigit():
+            out.append(stem(part))
+    return tuple(out)
+
+
 def terms(sentence: str) -> list[str]:
     """Lower-cased parts of words split at case changes and underscores; hyphens join; numbers and single letters out."""
-    out = []
-    for word in _WORD.findall(sentence):
-        for part in [word] if word.islower() or word.isupper() else _HUMP.split(word):
-            part = part.replace("-", "").lower()
-            if len(part) > 1 and not part[0].isdigit():
-                out.append(stem(part))
-    return out
+    return [part for word in _WORD.findall(sentence) for part in _parts(word)]
 
 
 def sentences(text: str) -> list[list[str]]:
     """The terms of each sentence or line, empty ones left out."""
-    text = text if text.isascii() else unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
+    text = text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     found = (terms(s) for s in _END.split(text))
     return [t for t in found if t]
