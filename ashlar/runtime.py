@@ -18,11 +18,14 @@ _OWN_FOLDER: dict[str, str] = {}
 def work_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local use)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
     if folder:
         return folder.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         holder = tempfile.TemporaryDirectory(prefix="ashlar-")
         atexit.register(holder.cleanup)
