@@ -75,6 +75,40 @@ def _small_waves(base: int):
     return over
 
 
+#: Keys of ``props_json`` that name an entity's owner, nearest first, in the two orders that are in use.
+OWNER_KEYS = {
+    "inventory": ("parentStepStableId", "parentFlowBlockStableId", "parentLocalFunctionStableId", "parentFnStableId"),
+    "levels": ("parentFlowBlockStableId", "parentLocalFunctionStableId", "parentFnStableId"),
+}
+
+
+def owner_id(order: str = "inventory", props: str = "props_json"):
+    """The owner that an entity names itself: the first key of the order that is there."""
+    return F.coalesce(*[F.get_json_object(props, f"$.{k}") for k in OWNER_KEYS[order]])
+
+
+def ownership_edges(nodes: DataFrame) -> DataFrame:
+    """src (owner), dst (direct child), distinct, by the owners that ``nodes`` (stable_id, labels, props_json) name: steps
+    and flow blocks belong to the block or function, others to their step. An owner that is no node has no edge.
+
+    The key that depends on the labels is a column first, so the join is one on equality.
+    """
+    has = lambda x: F.array_contains(F.coalesce("labels", F.array().cast("array<string>")), x)
+    key = F.when(has("Step") | (has("Flow") & has("Block")), owner_id("levels")).otherwise(F.get_json_object("props_json", "$.parentStepStableId"))
+    child = nodes.select(F.col("stable_id").alias("dst"), key.alias("src")).na.drop().filter("src <> dst")
+    return child.join(nodes.select(F.col("stable_id").alias("src")).distinct(), "src", "left_semi").select("src", "dst").distinct()
+
+
+def reconciled(levels: DataFrame, published: DataFrame) -> DataFrame:
+    """problem, n: what keeps published levels (node, component, level) from being those computed: nodes that one side
+    lacks, other levels, and components with more than one level; none if they may be used."""
+    both = levels.select("node", F.col("component_level").alias("want")).join(published.select("node", F.col("level").alias("have"), F.lit(True).alias("there")), "node", "full")
+    problem = F.when(F.col("want").isNull(), "unknown node").when(F.col("there").isNull(), "missing node").when(~F.col("want").eqNullSafe(F.col("have")), "other level")
+    found = both.select(problem.alias("problem")).filter("problem is not null").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    mixed = published.groupBy("component").agg(F.min("level").alias("a"), F.max("level").alias("b")).filter("a <> b").agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(mixed.filter("n > 0").select(F.lit("mixed component").alias("problem"), "n"))
+
+
 def waves(edges: DataFrame, nodes: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     """node, level: 0 without prerequisites, else 1 + the greatest level among them; -1 on a cycle or above one.
 

@@ -132,6 +132,21 @@ def test_levels_with_a_cycle_and_taint(spark):
     assert levels.level_violations(e, levels.dependency_levels(e, nodes(spark, []))).isEmpty()
 
 
+def test_owners_by_property(spark):
+    rows = [("f", ["Fn"], "{}"), ("s", ["Step"], '{"parentFnStableId":"f","parentStepStableId":"x"}'), ("b", ["Flow", "Block"], '{"parentFlowBlockStableId":"b","parentFnStableId":"f"}'), ("v", ["Value"], '{"parentStepStableId":"s"}'), ("w", None, '{"parentStepStableId":"gone"}')]
+    n = spark.createDataFrame(rows, "stable_id string, labels array<string>, props_json string")
+    assert {tuple(r) for r in levels.ownership_edges(n).collect()} == {("f", "s"), ("s", "v")}
+    assert [r[0] for r in n.orderBy("stable_id").select(levels.owner_id()).collect()] == ["b", None, "x", "s", "gone"]
+
+
+def test_published_levels_are_reconciled(spark):
+    found = levels.dependency_levels(edges(spark, [("a", "b"), ("c", "d"), ("d", "c")]), nodes(spark, []))
+    published = spark.createDataFrame([("a", "a", 1), ("b", "b", 7), ("c", "c", 0), ("z", "c", 2)], "node string, component string, level int")
+    assert {(r["problem"], r["n"]) for r in levels.reconciled(found, published).collect()} == {("other level", 1), ("unknown node", 1), ("missing node", 1), ("mixed component", 1)}
+    right = found.select("node", "component", F.col("component_level").alias("level"))
+    assert levels.reconciled(found, right).isEmpty()
+
+
 def test_join_points(spark):
     e = edges(spark, [("t", "m"), ("f", "g"), ("g", "m"), ("m", "end")])
     branches = spark.createDataFrame([("if", "t"), ("if", "f")], "branch string, node string")
