@@ -106,4 +106,16 @@ SELECT provenance_id, id, NULL, NULL, NULL, CASE WHEN (provenance_id, id) IN (SE
 UNION SELECT l.provenance_id, l.child, o.level + 1 FROM o JOIN l ON l.provenance_id = o.provenance_id AND l.parent = o.id WHERE o.level < 100)
 SELECT provenance_id, id AS stable_id, CASE WHEN min(level) = 1 THEN 'direct' ELSE 'inherited' END AS kind, min(level)::INTEGER AS level FROM o GROUP BY ALL""",
 }
+_NUM = "CASE WHEN json_type({0}) IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN CAST({0} AS DOUBLE)::VARCHAR ELSE CAST({0} AS VARCHAR) END"
+#: Objects are compared to one level, which is as deep as those of the test tables are.
+ORACLE_SQL["p4_found"] = f"""WITH {_RUNS}, k AS (SELECT provenance_id, stable_id, ordinal, props_json AS p, unnest(json_keys(props_json)) AS key FROM raw_entities WHERE stable_id IS NOT NULL),
+v AS (SELECT provenance_id, stable_id, ordinal, key, json_extract(p, '$."' || key || '"') AS v FROM k),
+c AS (SELECT provenance_id, stable_id, key, arg_max(CASE json_type(v) WHEN 'NULL' THEN '' WHEN 'OBJECT' THEN list_sort(list_transform(json_keys(v), lambda x: x || ':' || {_NUM.format("json_extract(v, '$.\"' || x || '\"')")}))::VARCHAR ELSE {_NUM.format("v")} END, ordinal) AS v FROM v GROUP BY ALL),
+f AS (SELECT provenance_id, stable_id, string_agg(key || '=' || v, '|' ORDER BY key) AS props FROM c WHERE v <> '' GROUP BY ALL),
+g AS (SELECT provenance_id, stable_id, list_sort(list_distinct(flatten(list(coalesce(labels, [])))))::VARCHAR AS labels FROM raw_entities WHERE stable_id IS NOT NULL GROUP BY ALL),
+e AS (SELECT workspace, seq, stable_id, labels || '#' || coalesce(props, '') AS facts FROM g LEFT JOIN f USING (provenance_id, stable_id) JOIN runs USING (provenance_id))
+SELECT r.provenance_id, coalesce(a.stable_id, b.stable_id) AS stable_id, CASE WHEN a.stable_id IS NULL THEN 'added' WHEN b.stable_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM e a FULL JOIN e b ON a.workspace = b.workspace AND a.seq + 1 = b.seq AND a.stable_id = b.stable_id JOIN runs r ON r.workspace = coalesce(a.workspace, b.workspace) AND r.seq = coalesce(a.seq + 1, b.seq) WHERE r.seq > 1 AND a.facts IS DISTINCT FROM b.facts"""
+ORACLE_SQL["p3_report"] = f"""SELECT provenance_id, rel_type, endpoint, state, count(*) AS n, 'reference' AS kind FROM ({ORACLE_SQL["p3_found"]}) JOIN raw_relationships USING (ordinal) GROUP BY ALL
+UNION ALL SELECT provenance_id, NULL, NULL, NULL, count(*), kind FROM ({ORACLE_SQL["p3_cascade"]}) GROUP BY ALL"""
 ORACLE_SQL["p2_keys"] = ORACLE_SQL["p2_keys"].replace("max_by(coalesce(to_id, chr(1)), ordinal) AS to_id_,", "nullif(max_by(coalesce(to_id, chr(1)), ordinal), chr(1)) AS to_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ashlar.functions.ids import coordinate
 from ashlar.operators import evidence as ev
 from ashlar.operators import levels, relational
-from ashlar.plans.graph_queries import _DEPS, _E, _LABEL, _links, edges, labelled, nodes
+from ashlar.plans.graph_queries import _CLOSE, _DEPS, _E, _LABEL, _links, edges, labelled, nodes
 from ashlar.plans.graph_queries import _LINKS as _LINK_SQL
 from ashlar.plans.relational_queries import _OWN, _PROMOTED, ownership, promoted
 from ashlar.sources.tables import runs, table
@@ -98,7 +98,7 @@ def weighted_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return ev.weighted_similarity(_features(spark, d), _WEIGHTS, 0.45).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS ({ORACLE_SQL["weighted_similarity_pairs"].replace("WITH ", "WITH ", 1)}), {_FEATURES}, u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), w AS (SELECT DISTINCT key AS node, key AS other FROM f UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY ALL""")
 def similarity_components(spark: SparkSession, d: str) -> DataFrame:
     return ev.similarity_components(_features(spark, d), _WEIGHTS, 0.45)
 
@@ -111,7 +111,9 @@ def origin_slice(spark: SparkSession, d: str) -> DataFrame:
     return ev.slice_between(deps, labelled(spark, d, "UiSurface"), labelled(spark, d, "StorageCell"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLOSE}, {_LABEL.format('x', 'External')}, late AS (SELECT DISTINCT provenance_id || ' ' || stable_id AS node FROM raw_entities WHERE stable_id IS NOT NULL AND json_extract_string(props_json, '$.sourceCoverage') = 'deferred'),
+b AS (SELECT node FROM x UNION SELECT src FROM r WHERE dst IN (SELECT node FROM x)), s AS (SELECT src AS node FROM r WHERE dst IN (SELECT node FROM cyc)), l AS (SELECT node FROM late UNION SELECT src FROM r WHERE dst IN (SELECT node FROM late))
+SELECT node, CASE WHEN node IN (SELECT node FROM cyc) THEN 'cyclic' WHEN node IN (SELECT node FROM b) THEN 'blocked' WHEN node IN (SELECT node FROM s) THEN 'waits-on-cycle' WHEN node IN (SELECT node FROM l) THEN 'doubtful' ELSE 'ready' END AS state FROM alln""")
 def readiness_states(spark: SparkSession, d: str) -> DataFrame:
     """What stands in each entity's way: external packages block, deferred sources are doubtful."""
     deps = levels.dependency_edges(edges(spark, d))

@@ -76,6 +76,11 @@ def reciprocal_pairs(spark: SparkSession, d: str) -> DataFrame:
     return deps.filter("src < dst").join(back, ["src", "dst"]).select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
+_CLOSE = f"""{_E}, {_DEPS}, {_N}, r AS (SELECT src, dst FROM deps UNION SELECT r.src, deps.dst FROM r JOIN deps ON deps.src = r.dst), alln AS (SELECT node FROM n UNION SELECT src FROM deps UNION SELECT dst FROM deps),
+cyc AS (SELECT src AS node FROM r WHERE src = dst), comp AS (SELECT a.node, least(a.node, min(m.dst)) AS component FROM alln a LEFT JOIN (SELECT x.src, x.dst FROM r x JOIN r y ON y.src = x.dst AND y.dst = x.src) m ON m.src = a.node GROUP BY a.node)"""
+_KNOWN = _sql_list(levels.FORWARD + levels.REVERSE + levels.IGNORED)
+
+
 def _levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = edges(spark, d)
     deps = materialize(levels.dependency_edges(e), "deps")
@@ -85,18 +90,22 @@ def _levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return deps, levels.dependency_levels(deps, nodes(spark, d), unknown)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLOSE}, ce AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM deps JOIN comp a ON a.node = deps.src JOIN comp b ON b.node = deps.dst WHERE a.component <> b.component),
+w AS (SELECT DISTINCT component, 0 AS level FROM comp WHERE component NOT IN (SELECT src FROM ce) UNION SELECT ce.src, w.level + 1 FROM w JOIN ce ON ce.dst = w.component), l AS (SELECT component, max(level)::INTEGER AS level FROM w GROUP BY ALL),
+stuck AS (SELECT node FROM cyc UNION SELECT src FROM r WHERE dst IN (SELECT node FROM cyc)), t AS (SELECT src AS node FROM e WHERE rel_type NOT IN {_KNOWN} UNION SELECT dst FROM e WHERE rel_type NOT IN {_KNOWN} UNION SELECT deps.src FROM t JOIN deps ON deps.dst = t.node)
+SELECT node, component, level AS component_level, CASE WHEN node IN (SELECT node FROM stuck) THEN -1 ELSE level END AS structural_level, node IN (SELECT node FROM cyc) AS in_cycle, node IN (SELECT node FROM t) AS unknown_dependency_semantics,
+CASE WHEN node IN (SELECT node FROM cyc) THEN 'cyclic-dependency' WHEN node IN (SELECT node FROM stuck) THEN 'depends-on-cycle' ELSE 'acyclic' END AS dependency_status FROM comp JOIN l USING (component)""")
 def dependency_levels(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)[1]
 
 
-@query()
+@query("SELECT 'none' AS violation, 0::BIGINT AS n WHERE false")
 def level_violations(spark: SparkSession, d: str) -> DataFrame:
     deps, found = _levels(spark, d)
     return levels.level_violations(deps, materialize(found, "levels"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLOSE} SELECT component, count(*) AS size FROM comp GROUP BY ALL HAVING count(*) > 1 ORDER BY size DESC, component LIMIT 10""")
 def largest_cycles(spark: SparkSession, d: str) -> DataFrame:
     """The ten largest components, as a report."""
     parts = levels.strongly_connected(levels.dependency_edges(edges(spark, d)))
@@ -253,7 +262,10 @@ def contracted_flow(spark: SparkSession, d: str) -> DataFrame:
     return traversal.contract_chains(flow, labelled(spark, d, "StorageCell"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, c AS (SELECT src, min(dst) AS dst FROM e WHERE rel_type IN ('CAPTURES_VALUE', 'ALIASES') GROUP BY ALL), s AS (SELECT DISTINCT dst AS node FROM e WHERE rel_type = 'RETURNS_VALUE'),
+w AS (SELECT src AS origin, [src] AS path FROM c UNION ALL SELECT w.origin, list_append(w.path, c.dst) FROM w JOIN c ON c.src = w.path[-1] WHERE NOT list_contains(w.path, c.dst) AND NOT (len(w.path) > 1 AND w.path[-1] IN (SELECT node FROM s)) AND len(w.path) <= 64),
+f AS (SELECT origin, path FROM w QUALIFY len(path) = max(len(path)) OVER (PARTITION BY origin))
+SELECT origin, len(path)::INTEGER AS nodes, path[-1] AS last, CASE WHEN len(path) > 1 AND path[-1] IN (SELECT node FROM s) THEN 'found' WHEN path[-1] NOT IN (SELECT src FROM c) THEN 'open' WHEN list_contains(path, (SELECT dst FROM c WHERE c.src = path[-1])) THEN 'cycle' ELSE 'limit' END AS state FROM f""")
 def capture_chains(spark: SparkSession, d: str) -> DataFrame:
     """Chains of captures until a value that captures nothing, or a value reference."""
     e = edges(spark, d)
@@ -263,7 +275,8 @@ def capture_chains(spark: SparkSession, d: str) -> DataFrame:
     return found.select("origin", F.size("path").alias("nodes"), F.element_at("path", -1).alias("last"), "state")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_E}, u AS (SELECT src AS a, dst AS b FROM e WHERE rel_type = 'REEXPORTS' UNION SELECT dst, src FROM e WHERE rel_type = 'REEXPORTS'), w AS (SELECT a AS node, a AS other FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.other)
+SELECT node, min(other) AS component FROM w GROUP BY ALL""")
 def reexport_components(spark: SparkSession, d: str) -> DataFrame:
     """Connected groups of re-exports."""
     return traversal.components(edges(spark, d).filter("rel_type = 'REEXPORTS'"))

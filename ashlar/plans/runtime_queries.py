@@ -196,7 +196,8 @@ def earliest_child_chain(spark: SparkSession, d: str) -> DataFrame:
     return found.select("origin", F.size("path").alias("nodes"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NODES}, l AS (SELECT 'n:' || node_id AS a, 'n:' || parent_node_id AS b FROM nodes WHERE parent_node_id IS NOT NULL UNION SELECT 'n:' || node_id, 'c:' || correlation_id FROM nodes WHERE correlation_id IS NOT NULL),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), w AS (SELECT a AS node, a AS other FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.other) SELECT node, min(other) AS component FROM w WHERE starts_with(node, 'n:') GROUP BY ALL""")
 def connected_runtime_rows(spark: SparkSession, d: str) -> DataFrame:
     """Nodes joined by parents and correlations: node, component."""
     nodes = rt.merged_nodes(records(spark, d))
