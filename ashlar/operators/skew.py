@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ashlar.functions.ids import key128
 from ashlar.runtime import checked_broadcast, materialize
 
 #: A key is heavy from this share of all rows on, so at most its inverse are heavy: the size bound of their broadcast.
@@ -55,12 +56,19 @@ def salted_summary(
     heavy = heavy_keys(rows.select(*keys), keys, share, rows_per_salt)
     salt = F.coalesce(F.pmod(F.xxhash64(F.col(neighbour)), F.col("salts")).cast("int"), F.lit(0))
     salted = rows.join(F.broadcast(heavy), keys, "left").withColumn("salt", salt)
-    partial: dict[str, Column] = {"row_count": F.count(F.lit(1))}
-    final: dict[str, Column] = {"row_count": F.sum("row_count")}
-    partial["distinct_neighbours"], final["distinct_neighbours"] = F.count_distinct(neighbour), F.sum("distinct_neighbours")
-    partial["latest"], final["latest"] = F.max(F.struct(ordinal, *carry)), F.max("latest")
-    by_salt = salted.groupBy(*keys, "salt").agg(*[partial[r].alias(r) for r in results])
-    return by_salt.groupBy(*keys).agg(*[final[r].alias(r) for r in results])
+    partial: dict[str, Column] = {"row_count": F.count(F.lit(1)), "latest": F.max(F.struct(ordinal, *carry))}
+    final: dict[str, Column] = {"row_count": F.sum("row_count"), "latest": F.max("latest")}
+    plain = [r for r in results if r in partial]
+    out = salted.groupBy(*keys, "salt").agg(*[partial[r].alias(r) for r in plain or ["row_count"]])
+    out = out.groupBy(*keys).agg(*[final[r].alias(r) for r in plain or ["row_count"]])
+    if "distinct_neighbours" in results:
+        # pairs of key and neighbour are nearly as many as rows, so they are shuffled as hashes
+        n1, n2 = (k.alias(n) for k, n in zip(key128(neighbour), ("n1", "n2")))
+        pairs = salted.filter(F.col(neighbour).isNotNull()).select(*key128(*keys), "salt", n1, n2)
+        distinct = pairs.groupBy("k1", "k2", "salt").agg(F.count_distinct("n1", "n2").alias("n")).groupBy("k1", "k2").agg(F.sum("n").alias("distinct_neighbours"))
+        out = out.withColumns(dict(zip(("k1", "k2"), key128(*keys)))).join(distinct, ["k1", "k2"], "left")
+        out = out.withColumn("distinct_neighbours", F.coalesce("distinct_neighbours", F.lit(0)))
+    return out.select(*keys, *results)
 
 
 def salted_left_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: str, share: float = HEAVY_SHARE, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
