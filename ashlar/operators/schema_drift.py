@@ -246,6 +246,43 @@ def projections(edits: DataFrame, provenance: DataFrame) -> DataFrame:
     return maps.join(known, ["workspace", "seq"]).select("provenance_id", "source_kind", "fields", "labels_map")
 
 
+def _text(value) -> str:
+    """The JSON text of a parsed value."""
+    if value.__class__ is int:
+        return str(value)
+    return json.dumps(value, separators=(",", ":"))
+
+
+def _renamed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Applies the mapping of each row's run and kind to its props."""
+    loads = json.JSONDecoder(parse_constant=str).decode
+    for b in batches:
+        sizes, missing, keys, values = [0], [], [], []
+        for props, fields in zip(b.column("props_json").to_pylist(), b.column("fields").to_pylist()):
+            have = None
+            if props is not None:
+                try:
+                    have = loads(props)
+                except (ValueError, RecursionError):
+                    pass
+            if have.__class__ is dict:
+                if fields:
+                    to = {e["key"]: e["value"] for e in fields}
+                    clear = lambda k: k not in have or to.get(k, k) != k  # noqa: B023, E731  # free, or itself renamed
+                    have = {to[k] if k in to and clear(to[k]) else k: v for k, v in have.items()}
+                keys += have
+                values += map(_text, have.values())
+            missing.append(have.__class__ is not dict)
+            sizes.append(len(keys))
+        offsets = pa.array(sizes, pa.int32())
+        props = pa.MapArray.from_arrays(offsets, pa.array(keys, pa.string()), pa.array(values, pa.string()))
+        if any(missing):
+            gone = pa.array([None if m else n for m, n in zip(missing, sizes)] + [sizes[-1]], pa.int32())
+            props = pa.MapArray.from_arrays(gone, props.keys, props.items)
+        kept = ["ordinal", "provenance_id", "source_kind", "stable_id", "labels"]
+        yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], props], [*kept, "props"])
+
+
 def consistent_table(entities: DataFrame, provenance: DataFrame) -> DataFrame:
     """Every row of every run in one schema: ordinal, provenance_id, source_kind, stable_id, labels, props (map of field
     name, as in the workspace's last run, to the JSON text of its value).
@@ -256,14 +293,7 @@ def consistent_table(entities: DataFrame, provenance: DataFrame) -> DataFrame:
     maps = materialize(projections(edit_scripts(entities, provenance), provenance), "projections")
     rows = entities.select("ordinal", "provenance_id", F.coalesce("source_kind", F.lit("")).alias("source_kind"), "stable_id", "labels", "props_json")
     rows = rows.join(checked_broadcast(maps), ["provenance_id", "source_kind"], "left")
-    parsed = F.try_parse_json("props_json")
-    have = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed.cast("map<string,variant>"))
-    to = lambda m, k: F.coalesce(F.element_at(m, k), k)
-    props = F.map_from_entries(
-        F.transform(F.map_entries(have), lambda e: F.struct(
-            F.when(F.coalesce(F.map_contains_key(have, to(F.col("fields"), e.key)), F.lit(False)), e.key).otherwise(to(F.col("fields"), e.key)).alias("key"),
-            F.to_json(e.value).alias("value"),
-        ))
-    )
-    labels = F.array_distinct(F.transform("labels", lambda x: to(F.col("labels_map"), x)))
-    return rows.select("ordinal", "provenance_id", "source_kind", "stable_id", labels.alias("labels"), props.alias("props"))
+    labels = F.array_distinct(F.transform("labels", lambda x: F.coalesce(F.element_at("labels_map", x), x)))
+    names = F.when(F.size("fields") > 0, F.map_entries("fields"))
+    rows = rows.select("ordinal", "provenance_id", "source_kind", "stable_id", labels.alias("labels"), "props_json", names.alias("fields"))
+    return rows.mapInArrow(_renamed, "ordinal long, provenance_id string, source_kind string, stable_id string, labels array<string>, props map<string,string>")

@@ -133,6 +133,25 @@ def test_drift_finds_renames(spark):
     assert all("last~" in r["props"] and "old" not in r["props"] for r in table) and all("Came" in r["labels"] for r in table)
 
 
+def test_names_move_up_together():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist(
+        [{"ordinal": 1, "provenance_id": "r", "source_kind": "k", "stable_id": "s", "labels": ["L"], "props_json": '{"a":1,"b":2}', "fields": [{"key": "a", "value": "b"}, {"key": "b", "value": "c"}]}]
+    )
+    assert next(schema_drift._renamed([batch])).column("props").to_pylist() == [[("b", "1"), ("c", "2")]]
+    assert schema_drift._compose([(2, "a", "b"), (3, "b", "c")], 3) == {3: {}, 2: {"b": "c"}, 1: {"a": "c"}}
+    assert schema_drift._compose([(2, "a", "b"), (2, "b", "a")], 2) == {2: {}, 1: {"a": "b", "b": "a"}}
+
+
+def test_consistent_table_keeps_values(spark):
+    texts = ['{"a":1.50,"b":"x\\u00e9","c":[1,{"d":null}],"e":null}', None, "[1]", "no json", "null", "{}", '{"old":1,"new":2}']
+    rows = [(n, f"e{n}", None, t, "k", "r1") for n, t in enumerate(texts)] + [(50 + n, f"v{n}", ["A"], json.dumps({"old": n}), "k", "r1") for n in range(3)] + [(90 + n, f"v{n}", ["A"], json.dumps({"new": n}), "k", "r2") for n in range(3)]
+    got = {r["ordinal"]: r["props"] for r in schema_drift.consistent_table(entities(spark, rows), provenance(spark)).collect()}
+    assert got[0] == {"a": "1.5", "b": '"x\\u00e9"', "c": '[1,{"d":null}]', "e": "null"} and [got[i] for i in (1, 2, 3, 4, 5)] == [None, None, None, None, {}]
+    assert got[6] == {"old": "1", "new": "2"} and len(got) == len(rows)
+
+
 def test_empty_tables(spark):
     e, r, p = entities(spark, []), rels(spark, []), provenance(spark, [])
     assert snapshots.snapshot_changes(e, p).isEmpty()
