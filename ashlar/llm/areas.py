@@ -32,6 +32,8 @@ LEAST_SEEN, LEAST_DIVERGENCE = 5, 0.9
 #: this share of the terms around it are cues.
 CUE_RATE, CUE_SHARE, AROUND = 0.5, 0.45, 4
 BEAM = 8
+#: Each area is one model of the chain; more are an error.
+MOST_AREAS = 1000
 _HELD = 200_000
 _FENCE = re.compile(r"^\s*```", re.M)
 _LIST = re.compile(r"^\s*[*+-] ", re.M)
@@ -366,7 +368,9 @@ def fit(documents: DataFrame, examples: DataFrame, areas: DataFrame, most_exampl
 
     Labels that are no area count as none; null texts are left out.
     """
-    names = [r["area"] for r in areas.select("area").na.drop().distinct().orderBy("area").limit(1000).collect()]
+    names = [r["area"] for r in areas.select("area").na.drop().distinct().orderBy("area").limit(MOST_AREAS + 1).collect()]
+    if len(names) > MOST_AREAS:
+        raise ValueError(f"a chain of more than {MOST_AREAS} areas isn't fitted")
     rows = examples.filter(F.col("text").isNotNull()).select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("areas", F.array().cast("array<string>")).alias("areas"), "example_id")
     rows = rows.orderBy(F.xxhash64("example_id"), "text").limit(most_examples).collect()
     if not names or not rows:
