@@ -179,10 +179,11 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     links = WorkTable(_clean(edges).filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "star")
     while True:
         both = links.df.select("u", "v").union(links.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # the minima are tables of their own: a join of two plain shuffles is one whose hot nodes can be split
+        low = WorkTable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star").df
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = WorkTable(large, "star")
-        low = large.df.groupBy("u").agg(F.min("v").alias("m"))
+        low = WorkTable(large.df.groupBy("u").agg(F.min("v").alias("m")), "star").df
         small = large.df.join(low, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         small = WorkTable(small, "star")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 _OWN_FOLDER: dict[str, str] = {}
+_WRITTEN: set[str] = set()
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -39,15 +40,29 @@ class WorkTable:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{work_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        _WRITTEN.add(self.path)
         df.write.option("compression", "zstd").parquet(self.path)
         # the schema is given, so reading back starts no job; files hold nullable columns
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Removes the files; only for tables that no result still reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.discard(path)
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Removes all tables that this process wrote to the work folder, once the results that read them are stored
+    elsewhere; returns how many."""
+    paths = list(_WRITTEN)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

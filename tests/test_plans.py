@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from ashlar.operators import classification as cl
 from ashlar.operators import levels
-from ashlar.runtime import BROADCAST_ROWS, WorkTable, checked_broadcast, work_folder
+from ashlar.runtime import BROADCAST_ROWS, WorkTable, checked_broadcast, clear_work, work_folder
 from ashlar.sources.tables import table
 
 #: Queries of one plan, without loops.
@@ -64,5 +64,9 @@ def test_work_tables(spark):
     t = WorkTable(spark.range(5), "t")
     assert t.path.startswith(work_folder(spark)) and t.df.count() == 5
     t.drop()
+    lasting = WorkTable(spark.range(3), "t")
+    assert clear_work(spark) >= 1 and clear_work(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(lasting.path).count()
     empty = WorkTable(spark.range(5).filter("id > 9"), "t")
     assert empty.df.isEmpty() and empty.df.columns == ["id"]
