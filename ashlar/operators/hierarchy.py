@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.ids import key128, normalize_id
 from ashlar.operators.components import cyclic_nodes
+from ashlar.operators.traversal import least_distances, reachable
 from ashlar.runtime import WorkTable, materialize
 
 #: The relationship types that link a child to its parent, and a parent to its child.
@@ -139,22 +140,20 @@ def parent_cycles(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     return named.join(found, ["k1", "k2"], "left_semi").select("provenance_id", "stable_id").distinct()
 
 
-def hierarchy(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """For each entity of a run: provenance_id, stable_id, root, depth, path (ids from the root to it) and status
-    (``tree``, ``cycle``: on a cycle, ``to_cycle``: its links lead into one; these have a null root, depth and path).
-
-    An entity without a parent link, or whose parent is no entity of the run, is a root of depth 0. A child with
-    several parents takes the one with the least key.
-    """
-    h = Hierarchy(entities, relationships)
-    named = WorkTable(_nodes(entities).distinct().withColumns(dict(zip(("k1", "k2"), key128("provenance_id", "stable_id")))), "nodes").df
+def _resolved(h: Hierarchy) -> tuple[DataFrame, DataFrame]:
+    """The entities of all runs (provenance_id, stable_id, k1, k2), and of the parents among them k1, k2, depth, path, status."""
+    named = WorkTable(_nodes(h.entities).distinct().withColumns(dict(zip(("k1", "k2"), key128("provenance_id", "stable_id")))), "nodes").df
     ids = named.select("k1", "k2", F.col("stable_id").alias("id"))
     pointers = _double(h.inner().join(ids, ["k1", "k2"]), paths=True)
     done = pointers.done.select("k1", "k2", "depth", "path", F.lit("tree").alias("status"))
     cycle = materialize(h.on_cycles(pointers), "cycles").withColumn("on", F.lit(True))
     stuck = pointers.active.select("k1", "k2").join(cycle, ["k1", "k2"], "left")
     stuck = stuck.select("k1", "k2", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.when(F.col("on"), "cycle").otherwise("to_cycle").alias("status"))
-    inner = materialize(done.unionByName(stuck), "inner-paths")
+    return named, materialize(done.unionByName(stuck), "inner-paths")
+
+
+def _with_leaves(h: Hierarchy, named: DataFrame, inner: DataFrame) -> DataFrame:
+    """The rows of ``hierarchy`` from what ``_resolved`` gave."""
     above = inner.select(*[F.col(c).alias(f"up_{c}" if c not in ("k1", "k2") else c.replace("k", "p")) for c in inner.columns])
     rest = named.join(inner.select("k1", "k2"), ["k1", "k2"], "left_anti")
     leaves = rest.join(h.links, ["k1", "k2"], "left").join(above, ["p1", "p2"], "left")
@@ -169,7 +168,64 @@ def hierarchy(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     return both.select("provenance_id", "stable_id", F.element_at("path", 1).alias("root"), "depth", "path", "status")
 
 
+def hierarchy(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """For each entity of a run: provenance_id, stable_id, root, depth, path (ids from the root to it) and status
+    (``tree``, ``cycle``: on a cycle, ``to_cycle``: its links lead into one; these have a null root, depth and path).
+
+    An entity without a parent link, or whose parent is no entity of the run, is a root of depth 0. A child with
+    several parents takes the one with the least key.
+    """
+    h = Hierarchy(entities, relationships)
+    return _with_leaves(h, *_resolved(h))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """One row for each node of ``hierarchy`` and each of its descendants: provenance_id, ancestor, descendant, distance."""
+    """provenance_id, ancestor, descendant, distance along the paths of ``hierarchy`` alone; ``all_descendants`` follows
+    cycles and further parents too."""
     steps = tree.filter(F.col("depth") > 0).select("provenance_id", F.col("stable_id").alias("descendant"), "depth", F.posexplode("path").alias("at", "ancestor"))
     return steps.filter(F.col("at") < F.col("depth")).select("provenance_id", "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def all_descendants(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """One row for each entity of a run and each of its descendants: provenance_id, ancestor, descendant, distance (least
+    number of links).
+
+    All parents of a child count. The nodes of a cycle descend from each other, and what hangs below from all of them;
+    no node descends from itself. Paths hold the ancestors of most nodes; those on or below a cycle, and those with
+    several parents or below such, get theirs by doubling over all links.
+    """
+    h = Hierarchy(entities, relationships)
+    named, inner = _resolved(h)
+    tree = _with_leaves(h, named, inner)
+    key = lambda a, b: F.struct(F.col(a).alias("k1"), F.col(b).alias("k2"))
+    odd = inner.filter("status <> 'tree'").select("k1", "k2")
+    ends = h.all_ends if h.has_several else h.links
+    if h.has_several:
+        known = h.known.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"))
+        ends = materialize(ends.join(h.known, ["k1", "k2"], "left_semi").join(known, ["p1", "p2"], "left_semi").distinct(), "all-links")
+        seeds = odd.union(h.each.filter(h.several).select("k1", "k2").join(h.known, ["k1", "k2"], "left_semi"))
+        below = reachable(ends.select(key("p1", "p2").alias("src"), key("k1", "k2").alias("dst")), seeds.select(key("k1", "k2").alias("node")), keep_origin=False)
+        odd = materialize(below.select("node.k1", "node.k2"), "odd")
+        links = ends.join(odd, ["k1", "k2"], "left_semi")
+    else:
+        # every parent of such a node is one itself, and its children are known as the children of its key
+        links = ends.join(odd.select(F.col("k1").alias("p1"), F.col("k2").alias("p2")), ["p1", "p2"], "left_semi").join(h.known, ["k1", "k2"], "left_semi")
+    links = materialize(links.select("k1", "k2", "p1", "p2"), "odd-links")
+    inside = links.join(odd.select(F.col("k1").alias("p1"), F.col("k2").alias("p2")), ["p1", "p2"], "left_semi")
+    pairs = least_distances(inside.select(key("k1", "k2").alias("src"), key("p1", "p2").alias("dst")))
+    ids = named.select(key("k1", "k2").alias("dst"), F.col("stable_id").alias("ancestor"))
+    found = pairs.join(ids, "dst").select("src", "ancestor", "distance")
+    regular = tree
+    if h.has_several:
+        keyed = tree.withColumns(dict(zip(("k1", "k2"), key128("provenance_id", "stable_id"))))
+        regular = keyed.join(odd, ["k1", "k2"], "left_anti")
+        # from the last such node of a walk upwards, the path of its parent goes on
+        out = links.join(odd.select(F.col("k1").alias("p1"), F.col("k2").alias("p2")), ["p1", "p2"], "left_anti")
+        above = regular.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "depth", "path")
+        out = out.join(above, ["p1", "p2"]).select(key("k1", "k2").alias("dst"), "depth", F.posexplode("path").alias("at", "ancestor"))
+        own = odd.select(key("k1", "k2").alias("src"), key("k1", "k2").alias("dst"), F.lit(0).alias("distance"))
+        further = pairs.unionByName(own).join(out, "dst").select("src", "ancestor", (F.col("distance") + 1 + F.col("depth") - F.col("at")).alias("distance"))
+        found = found.unionByName(further.groupBy("src", "ancestor").agg(F.min("distance").alias("distance")))
+    whose = named.select(key("k1", "k2").alias("src"), "provenance_id", F.col("stable_id").alias("descendant"))
+    found = found.join(whose, "src").select("provenance_id", "ancestor", "descendant", "distance")
+    return descendants(regular).unionByName(found)

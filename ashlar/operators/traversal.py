@@ -84,6 +84,23 @@ def transitive_closure(edges: DataFrame, most_hops: int | None = None) -> DataFr
     return seen.df
 
 
+def least_distances(edges: DataFrame) -> DataFrame:
+    """src, dst, distance (least number of edges) of all pairs of two nodes joined by edges; rounds double the distance.
+
+    A pair further apart than the distances known so far has a node on a shortest path just that far from its src.
+    """
+    edges = _clean(edges).distinct().filter("src <> dst").withColumn("distance", F.lit(1))
+    seen = _Seen(edges, "distances")
+    span = 1
+    while True:
+        half = seen.df.filter(F.col("distance") == span).select("src", F.col("dst").alias("mid"))
+        step = half.join(seen.df.select(F.col("src").alias("mid"), "dst", "distance"), "mid").filter("src <> dst")
+        step = step.groupBy("src", "dst").agg((F.min("distance") + span).alias("distance"))
+        if not seen.add(step.join(seen.df.select("src", "dst"), ["src", "dst"], "left_anti")):
+            return seen.df
+        span *= 2
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most_hops: int, nearest_only: bool = False, interior: DataFrame | None = None) -> DataFrame:
     """origin, target, hops and path (nodes) of a shortest path from each start (column node) to each target (column
     node) within ``most_hops``; of equally short ones the least by order of its nodes.

@@ -72,7 +72,8 @@ def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return trees.descendants(p5_hierarchy(spark, d))
+    e, r, _ = _graph(spark, d)
+    return trees.all_descendants(e, r)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_scripts, p1_table, p2_found, p2_keys, p3_found, p3_cascade, p3_report, p4_found, p5_found, p5_hierarchy, p5_descendants)}

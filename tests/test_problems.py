@@ -206,6 +206,48 @@ def test_paths_and_descendants(spark):
     assert {("a", "d", 3), ("c", "d", 1)} <= pairs
 
 
+def _distances(links, ids):
+    """All pairs of two different nodes with the least number of links from the descendant up, by plain walks."""
+    up = {}
+    for child, parent in links:
+        if child in ids and parent in ids:
+            up.setdefault(child, set()).add(parent)
+    found = set()
+    for x in ids:
+        dist, front = {x: 0}, [x]
+        for y in front:
+            for p in up.get(y, set()) - set(dist):
+                dist[p] = dist[y] + 1
+                front.append(p)
+        found |= {(a, x, n) for a, n in dist.items() if n}
+    return found
+
+
+def _pairs(df):
+    rows = [(x["ancestor"], x["descendant"], x["distance"]) for x in df.collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_descendants_below_cycles_and_of_all_parents(spark):
+    e, r = graph(spark)
+    found = _pairs(hierarchy.all_descendants(e, r))
+    norm = {"p.ts:1:2:3:4:slot": "p.ts:1:2:3:4", "p.ts:9:2:9:4:0": "p.ts:9:2:9:4"}
+    links = [(norm.get(c, c), norm.get(p, p)) for k, a, b in LINKS if k in hierarchy.CHILD_TO_PARENT + hierarchy.PARENT_TO_CHILD for c, p in [(a, b) if k in hierarchy.CHILD_TO_PARENT else (b, a)]]
+    assert found == _distances(links, set(IDS))
+    assert {("x", "t2", 2), ("z", "t2", 4), ("y", "x", 1), ("x", "y", 2), ("a", "m", 1), ("n", "m", 1), ("a", "n", 2)} <= found
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_descendants_equal_plain_walks(spark, several):
+    rng = random.Random(5)
+    ids = [f"n{i:02}" for i in range(60)]
+    links = [(c, rng.choice(ids)) for c in ids[:50]] + ([(c, rng.choice(ids)) for c in ids[:50:3]] + [("n00", "nobody")] if several else [])
+    e = entities(spark, [(i, x, None, None, None, "r1") for i, x in enumerate(ids)])
+    r = rels(spark, [(i, c, p, "NESTED_IN", None, "r1") for i, (c, p) in enumerate(links)])
+    assert _pairs(hierarchy.all_descendants(e, r)) == _distances(links, set(ids))
+
+
 def test_orphans_on_dirt(spark):
     e = entities(spark, [(1, "a", None, None, None, "r1"), (2, "late", None, None, None, "r3"), (3, "p.ts:1:0:2:0", None, None, None, "r2"), (4, None, None, None, None, "r2"), (5, "a", None, None, None, "r1")])
     r = rels(spark, [(10, "a", "late", "CALLS", None, "r2"), (11, "a", None, "CALLS", None, "r1"), (12, r"p.ts:1:0:2:0:arg0", "gone", None, None, "r2"), (12, r"p.ts:1:0:2:0:arg0", "gone", None, None, "r2"), (13, "", "a", "CALLS", None, "s1"), (14, "a", "a", "CALLS", None, "nowhere")])
