@@ -250,8 +250,8 @@ def call_cycle_lengths(spark: SparkSession, d: str) -> DataFrame:
 UNION SELECT w.origin, deps.dst, w.depth + 1 FROM w JOIN deps ON deps.src = w.node WHERE w.depth < 3), r AS (SELECT origin, node, min(depth) AS depth FROM w GROUP BY ALL)
 SELECT origin, count(*) AS nodes, max(depth)::INTEGER AS depth, count(*) > 2000 AS overflow FROM r GROUP BY ALL""")
 def bounded_dependency_closure(spark: SparkSession, d: str) -> DataFrame:
-    """What each interface element needs within 3 steps; more than 2,000 nodes are flagged."""
-    reach = traversal.reachable(levels.dependency_edges(edges(spark, d)), labelled(spark, d, "UiAffordance"), 3)
+    """What each interface element needs within 8 steps; more than 2,000 nodes are flagged."""
+    reach = traversal.reachable(levels.dependency_edges(edges(spark, d)), labelled(spark, d, "UiAffordance"), 8)
     return reach.groupBy("origin").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), (F.count(F.lit(1)) > 2000).alias("overflow"))
 
 

@@ -13,6 +13,7 @@ from ashlar.functions.json_values import facts, spelled
 from ashlar.operators import classification as cl
 from ashlar.operators import levels, relational, traversal
 from ashlar.operators import runtime_events as rt
+from ashlar.plans import graph_queries
 from tests import brute
 
 EDGE = "src string, dst string"
@@ -250,3 +251,18 @@ def test_empty_runtime(spark):
     for df in (rt.merged_nodes(none), rt.causal_links(rt.merged_nodes(none)), rt.causal_candidates(none), rt.session_coverage(none, e), rt.iterations(none), rt.branch_segments(rt.iterations(none)), rt.transitions(none, r), rt.guard_cases(none), rt.completeness(none), rt.trace_buckets(none), rt.uncovered(e, none, "Fn"), rt.recent_window(none)):
         assert df.isEmpty()
     assert F is not None
+
+
+def graph_folder(spark, path, labelled, links):
+    """A folder of the graph's two tables: labels by id, and (from, type, to)."""
+    spark.createDataFrame([("r", i, x) for i, x in labelled.items()], "provenance_id string, stable_id string, labels array<string>").write.parquet(f"{path}/raw_entities.parquet")
+    spark.createDataFrame([("r", a, b, t) for a, t, b in links], "provenance_id string, from_id string, to_id string, rel_type string").write.parquet(f"{path}/raw_relationships.parquet")
+    return str(path)
+
+
+def test_dependency_closure_has_eight_steps(spark, tmp_path):
+    chain = [(f"a{i}", "CALLS", f"a{i + 1}") for i in range(12)]
+    fan = [("b0", "CALLS", "b1"), ("b1", "CALLS", "b2"), ("b2", "CALLS", "b3"), ("b3", "CALLS", "b4")] + [("b4", "CALLS", f"c{i}") for i in range(2000)]
+    d = graph_folder(spark, tmp_path, {"a0": ["UiAffordance"], "b0": ["UiAffordance"]}, chain + fan)
+    got = {(x["origin"], x["nodes"], x["depth"], x["overflow"]) for x in graph_queries.bounded_dependency_closure(spark, d).collect()}
+    assert got == {("r a0", 9, 8, False), ("r b0", 2005, 5, True)}
