@@ -6,6 +6,8 @@ and rows seen before are taken out by an anti-join, so cycles end.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,9 +103,9 @@ def least_distances(edges: DataFrame) -> DataFrame:
         span *= 2
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most_hops: int, nearest_only: bool = False, interior: DataFrame | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most_hops: int | None = None, nearest_only: bool = False, interior: DataFrame | None = None) -> DataFrame:
     """origin, target, hops and path (nodes) of a shortest path from each start (column node) to each target (column
-    node) within ``most_hops``; of equally short ones the least by order of its nodes.
+    node) within ``most_hops`` if given; of equally short ones the least by order of its nodes.
 
     ``nearest_only``: a start's walk ends at the round of its first hit. ``interior``: nodes that a path may pass
     through (column node); starts and targets needn't be among them.
@@ -113,7 +115,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most
     first = starts.select(F.col("node").alias("origin"), "node").na.drop().distinct().withColumn("path", F.array("node"))
     seen = _Seen(first, "paths")
     live = seen.newest
-    for _ in range(most_hops):
+    for _ in count() if most_hops is None else range(most_hops):
         if interior is not None and live is not first:
             live = live.filter("origin = node").unionByName(live.filter("origin <> node").join(interior.select("node"), "node", "left_semi").select(*live.columns))
         step = live.withColumnRenamed("node", "src").join(edges, "src").select("origin", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
@@ -273,15 +275,15 @@ def contract_chains(edges: DataFrame, anchors: DataFrame) -> DataFrame:
         pointer = step
 
 
-def cycle_witness(edges: DataFrame, starts: DataFrame, most_hops: int) -> DataFrame:
-    """origin, hops, path of a shortest walk from each start back to itself within ``most_hops``; starts without one
+def cycle_witness(edges: DataFrame, starts: DataFrame, most_hops: int | None = None) -> DataFrame:
+    """origin, hops, path of a shortest walk from each start back to itself within ``most_hops`` if given; starts without one
     don't come out. Of equally short ones the least."""
     edges = WorkTable(_clean(edges).distinct(), "edges").df
     first = starts.select(F.col("node").alias("origin")).na.drop().distinct()
     live = first.withColumn("node", F.col("origin")).withColumn("path", F.array("origin"))
     seen = _Seen(live.limit(0), "witness")
     found = None
-    for _ in range(most_hops):
+    for _ in count() if most_hops is None else range(most_hops):
         step = live.withColumnRenamed("node", "src").join(edges, "src").select("origin", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("origin", "node").agg(F.min("path").alias("path"))
         if not seen.add(step.join(seen.df.select("origin", "node"), ["origin", "node"], "left_anti")):
@@ -293,7 +295,7 @@ def cycle_witness(edges: DataFrame, starts: DataFrame, most_hops: int) -> DataFr
     return found.select("origin", (F.size("path") - 1).alias("hops"), "path")
 
 
-def common_reach(edges: DataFrame, branches: DataFrame, order: Column | None = None, most_hops: int = 64) -> DataFrame:
+def common_reach(edges: DataFrame, branches: DataFrame, order: Column | None = None, most_hops: int | None = 64) -> DataFrame:
     """branch, node, depth: the nearest node that every start of a branch reaches; ``branches``: branch, node (start)."""
     reach = reachable(edges, branches.select("node"), most_hops)
     starts = branches.select("branch", F.col("node").alias("origin")).na.drop().distinct()

@@ -174,11 +174,11 @@ def flow_stages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def property_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Where values go with the members they are put under: reads pass on, blocks push, returns pop."""
+    """Where values go with the members they are put under, within 64 steps: reads pass on, blocks push, returns pop."""
     e = edges(spark, d)
     key = F.regexp_extract("dst", "([^/:]+):[0-9]+:", 1)
     op = F.when(F.col("rel_type") == "HAS_FLOW_BLOCK", "push").when(F.col("rel_type") == "RETURNS_VALUE", "pop").when(F.col("rel_type").isin("VALUE_FROM", "ASSIGNS_VALUE"), "pass")
     walks = e.select("src", "dst", op.alias("op"), F.when(op != "pass", key).alias("key")).filter("op is not null")
     starts = e.filter("rel_type = 'ASSIGNS_VALUE'").select(F.col("src").alias("node")).distinct()
-    found = ev.stack_walk(walks, starts, 6, 3)
+    found = ev.stack_walk(walks, starts, 64, 64)  # each step pushes one key at most
     return found.select("origin", "node", F.array_join("keys", ".").alias("keys"), "hops")

@@ -192,18 +192,18 @@ def containment_roots(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_E}, {_LABEL.format('s', 'UiAffordance')}, f AS (SELECT DISTINCT src, dst FROM e WHERE rel_type IN ('CALLS', 'READS_FROM', 'NEXT')),
 w AS (SELECT node, 0 AS depth FROM s UNION SELECT f.dst, w.depth + 1 FROM w JOIN f ON f.src = w.node WHERE w.depth < 6) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY ALL""")
 def depth_from_roots(spark: SparkSession, d: str) -> DataFrame:
-    """Least number of flow steps (6 at most) from any interface element."""
+    """Least number of flow steps from any interface element."""
     flow = edges(spark, d).filter(F.col("rel_type").isin("CALLS", "READS_FROM", "NEXT"))
-    return traversal.reachable(flow, labelled(spark, d, "UiAffordance"), 6, keep_origin=False)
+    return traversal.reachable(flow, labelled(spark, d, "UiAffordance"), keep_origin=False)
 
 
 @query(f"""WITH RECURSIVE {_E}, {_LABEL.format('s', 'UiAffordance')}, {_LABEL.format('t', 'StorageCell')}, f AS (SELECT DISTINCT src, dst FROM e WHERE rel_type IN ('CALLS', 'READS_FROM', 'NEXT')),
 w AS (SELECT node AS origin, node, 0 AS hops FROM s UNION SELECT w.origin, f.dst, w.hops + 1 FROM w JOIN f ON f.src = w.node WHERE w.hops < 4)
 SELECT origin, node AS target, min(hops)::INTEGER AS hops FROM w WHERE origin <> node AND node IN (SELECT node FROM t) GROUP BY ALL""")
 def shortest_path_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """From each interface element to each storage cell, at most 4 flow steps."""
+    """From each interface element to each storage cell that it reaches by flow steps."""
     flow = edges(spark, d).filter(F.col("rel_type").isin("CALLS", "READS_FROM", "NEXT"))
-    found = traversal.shortest_paths(flow, labelled(spark, d, "UiAffordance"), labelled(spark, d, "StorageCell"), 4)
+    found = traversal.shortest_paths(flow, labelled(spark, d, "UiAffordance"), labelled(spark, d, "StorageCell"))
     return found.select("origin", "target", "hops")
 
 
@@ -214,7 +214,7 @@ SELECT origin, target, hops FROM m QUALIFY row_number() OVER (PARTITION BY origi
 def nearest_target(spark: SparkSession, d: str) -> DataFrame:
     """The storage cell nearest to each interface element."""
     flow = edges(spark, d).filter(F.col("rel_type").isin("CALLS", "READS_FROM", "NEXT"))
-    found = traversal.shortest_paths(flow, labelled(spark, d, "UiAffordance"), labelled(spark, d, "StorageCell"), 4, nearest_only=True)
+    found = traversal.shortest_paths(flow, labelled(spark, d, "UiAffordance"), labelled(spark, d, "StorageCell"), nearest_only=True)
     return found.select("origin", "target", "hops")
 
 
@@ -232,18 +232,18 @@ w AS (SELECT start, start AS node, 0 AS depth FROM (SELECT DISTINCT start FROM b
 r AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL), m AS (SELECT branch, node, count(*) AS n, max(depth) AS depth FROM b JOIN r USING (start) GROUP BY ALL)
 SELECT branch, node, depth::INTEGER AS depth FROM m JOIN (SELECT branch, count(*) AS want FROM b GROUP BY ALL) USING (branch) WHERE n = want QUALIFY row_number() OVER (PARTITION BY branch ORDER BY depth, node) = 1""")
 def branch_join_points(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest node that all outcomes of a branch reach within 8 steps."""
+    """The nearest node that all outcomes of a branch reach."""
     e = edges(spark, d)
     outcomes = e.filter(F.col("rel_type").isin("TRUE", "FALSE")).select(F.col("src").alias("branch"), F.col("dst").alias("node"))
-    return traversal.common_reach(e.filter(F.col("rel_type").isin("NEXT", "TRUE", "FALSE")), outcomes, most_hops=8)
+    return traversal.common_reach(e.filter(F.col("rel_type").isin("NEXT", "TRUE", "FALSE")), outcomes, most_hops=None)
 
 
 @query(f"""WITH RECURSIVE {_E}, c AS (SELECT DISTINCT src, dst FROM e WHERE rel_type = 'CALLS'), w AS (SELECT src AS origin, dst AS node, 1 AS hops FROM c
 UNION SELECT w.origin, c.dst, w.hops + 1 FROM w JOIN c ON c.src = w.node WHERE w.hops < 5) SELECT origin, min(hops)::INTEGER AS hops FROM w WHERE origin = node GROUP BY ALL""")
 def call_cycle_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Callables that reach themselves by 1 to 5 calls, with the least number."""
+    """Callables that reach themselves by calls, with the least number."""
     calls = edges(spark, d).filter("rel_type = 'CALLS'")
-    return traversal.cycle_witness(calls, calls.select(F.col("src").alias("node")), 5).select("origin", "hops")
+    return traversal.cycle_witness(calls, calls.select(F.col("src").alias("node"))).select("origin", "hops")
 
 
 @query(f"""WITH RECURSIVE {_E}, {_DEPS}, {_LABEL.format('s', 'UiAffordance')}, w AS (SELECT node AS origin, node, 0 AS depth FROM s

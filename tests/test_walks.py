@@ -13,7 +13,7 @@ from ashlar.functions.json_values import facts, spelled
 from ashlar.operators import classification as cl
 from ashlar.operators import levels, relational, traversal
 from ashlar.operators import runtime_events as rt
-from ashlar.plans import graph_queries
+from ashlar.plans import context_queries, graph_queries
 from tests import brute
 
 EDGE = "src string, dst string"
@@ -266,3 +266,23 @@ def test_dependency_closure_has_eight_steps(spark, tmp_path):
     d = graph_folder(spark, tmp_path, {"a0": ["UiAffordance"], "b0": ["UiAffordance"]}, chain + fan)
     got = {(x["origin"], x["nodes"], x["depth"], x["overflow"]) for x in graph_queries.bounded_dependency_closure(spark, d).collect()}
     assert got == {("r a0", 9, 8, False), ("r b0", 2005, 5, True)}
+
+
+def test_walks_end_where_nothing_new_comes(spark, tmp_path):
+    """Far beyond the few steps that the queries once had, over cycles too."""
+    flow = [(f"a{i:02}", "NEXT", f"a{i + 1:02}") for i in range(11)]
+    ring = [(f"r{i}", "CALLS", f"r{(i + 1) % 8}") for i in range(8)]
+    fork = [("f", "TRUE", "x00"), ("f", "FALSE", "y00"), ("x11", "NEXT", "z"), ("y11", "NEXT", "z")] + [(f"{k}{i:02}", "NEXT", f"{k}{i + 1:02}") for k in "xy" for i in range(11)]
+    d = graph_folder(spark, tmp_path, {"a00": ["UiAffordance"], "r0": ["UiAffordance"], "a11": ["StorageCell"]}, flow + ring + fork)
+    rows = lambda q: {tuple(x) for x in q(spark, d).collect()}
+    assert rows(graph_queries.depth_from_roots) == {(f"r a{i:02}", i) for i in range(12)} | {(f"r r{i}", i) for i in range(8)}
+    assert rows(graph_queries.shortest_path_lengths) == rows(graph_queries.nearest_target) == {("r a00", "r a11", 11)}
+    assert rows(graph_queries.call_cycle_lengths) == {(f"r r{i}", 8) for i in range(8)}
+    assert rows(graph_queries.branch_join_points) == {("r f", "r z", 12)}
+
+
+def test_property_paths_of_ten_keys(spark, tmp_path):
+    links = [("s", "ASSIGNS_VALUE", "p0:1:")] + [(f"p{i}:1:", "HAS_FLOW_BLOCK", f"p{i + 1}:1:") for i in range(10)]
+    d = graph_folder(spark, tmp_path, {"s": ["Step"]}, links)
+    got = {x["hops"]: len([k for k in x["keys"].split(".") if k]) for x in context_queries.property_paths(spark, d).collect()}
+    assert got == {0: 0} | {i + 1: i for i in range(11)}
