@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ashlar.functions.ids import normalized_sql
 from ashlar.operators import hierarchy as trees
 from ashlar.operators import references, schema_drift, skew
 from ashlar.operators.snapshots import snapshot_changes
@@ -80,10 +81,9 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_scripts, p1_table, p2_found, p2_
 
 _RUNS = """runs AS (SELECT id AS provenance_id, json_extract_string(metadata_json, '$.workspace') AS workspace,
 row_number() OVER (PARTITION BY json_extract_string(metadata_json, '$.workspace') ORDER BY json_extract_string(metadata_json, '$.extracted_at')::TIMESTAMPTZ, id) AS seq FROM extraction_provenance)"""
-_NORM = r"CASE WHEN regexp_matches(replace({0}, '\', '/'), '^.+?:[0-9]+:[0-9]+:[0-9]+:[0-9]+(:.*)?$') THEN regexp_extract(replace({0}, '\', '/'), '^(.+?:[0-9]+:[0-9]+:[0-9]+:[0-9]+)(:.*)?$', 1) ELSE {0} END"
 _UP, _DOWN = (f"('{"', '".join(x)}')" for x in (trees.CHILD_TO_PARENT, trees.PARENT_TO_CHILD))
-_TREE = f"""n AS (SELECT DISTINCT provenance_id, {_NORM.format("stable_id")} AS id FROM raw_entities WHERE stable_id IS NOT NULL),
-raw AS (SELECT DISTINCT provenance_id, CASE WHEN rel_type IN {_UP} THEN {_NORM.format("from_id")} ELSE {_NORM.format("to_id")} END AS child, CASE WHEN rel_type IN {_UP} THEN {_NORM.format("to_id")} ELSE {_NORM.format("from_id")} END AS parent
+_TREE = f"""n AS (SELECT DISTINCT provenance_id, {normalized_sql("stable_id")} AS id FROM raw_entities WHERE stable_id IS NOT NULL),
+raw AS (SELECT DISTINCT provenance_id, CASE WHEN rel_type IN {_UP} THEN {normalized_sql("from_id")} ELSE {normalized_sql("to_id")} END AS child, CASE WHEN rel_type IN {_UP} THEN {normalized_sql("to_id")} ELSE {normalized_sql("from_id")} END AS parent
 FROM raw_relationships WHERE rel_type IN {_UP} OR rel_type IN {_DOWN}), l AS (SELECT r.* FROM raw r JOIN n a ON a.provenance_id = r.provenance_id AND a.id = r.child JOIN n b ON b.provenance_id = r.provenance_id AND b.id = r.parent)"""
 _WALK = f"""WITH RECURSIVE {_TREE}, w AS (SELECT provenance_id, id, id AS root, 0 AS depth, [id] AS path FROM n WHERE (provenance_id, id) NOT IN (SELECT (provenance_id, child) FROM l)
 UNION ALL SELECT l.provenance_id, l.child, w.root, w.depth + 1, list_append(w.path, l.child) FROM w JOIN l ON l.provenance_id = w.provenance_id AND l.parent = w.id)"""
@@ -94,8 +94,8 @@ UNION ALL SELECT provenance_id, 'rel_type', rel_type, 100 / 15.0 FROM raw_relati
 SELECT k.provenance_id, key_field, key_value FROM k JOIN t USING (provenance_id) WHERE key_value IS NOT NULL GROUP BY k.provenance_id, key_field, key_value, part, n HAVING count(*) * part >= n""",
     "p2_keys": """WITH k AS (SELECT provenance_id, 'from_id' AS key_field, from_id AS key_value, to_id, ordinal FROM raw_relationships UNION ALL SELECT provenance_id, 'rel_type', rel_type, to_id, ordinal FROM raw_relationships)
 SELECT provenance_id, key_field, key_value, count(*) AS row_count, count(DISTINCT to_id) AS distinct_neighbours, max(ordinal) AS ordinal, max_by(coalesce(to_id, chr(1)), ordinal) AS to_id_, FROM k WHERE key_value IS NOT NULL GROUP BY ALL""",
-    "p3_found": f"""WITH {_RUNS}, e AS (SELECT DISTINCT workspace, seq, {_NORM.format("stable_id")} AS id FROM raw_entities JOIN runs USING (provenance_id) WHERE stable_id IS NOT NULL), s AS (SELECT workspace, id, list(seq) AS seqs FROM e GROUP BY ALL),
-r AS (SELECT ordinal, workspace, seq, 'from_id' AS endpoint, {_NORM.format("from_id")} AS id FROM raw_relationships JOIN runs USING (provenance_id) UNION ALL SELECT ordinal, workspace, seq, 'to_id', {_NORM.format("to_id")} FROM raw_relationships JOIN runs USING (provenance_id))
+    "p3_found": f"""WITH {_RUNS}, e AS (SELECT DISTINCT workspace, seq, {normalized_sql("stable_id")} AS id FROM raw_entities JOIN runs USING (provenance_id) WHERE stable_id IS NOT NULL), s AS (SELECT workspace, id, list(seq) AS seqs FROM e GROUP BY ALL),
+r AS (SELECT ordinal, workspace, seq, 'from_id' AS endpoint, {normalized_sql("from_id")} AS id FROM raw_relationships JOIN runs USING (provenance_id) UNION ALL SELECT ordinal, workspace, seq, 'to_id', {normalized_sql("to_id")} FROM raw_relationships JOIN runs USING (provenance_id))
 SELECT ordinal, endpoint, CASE WHEN list_min(seqs) < seq THEN 'deleted' WHEN list_max(seqs) > seq THEN 'late' ELSE 'missing' END AS state FROM r LEFT JOIN s USING (workspace, id) WHERE id IS NOT NULL AND NOT coalesce(list_contains(seqs, seq), false)""",
     "p5_found": f"""WITH RECURSIVE {_TREE}, up AS (SELECT provenance_id, child AS origin, parent AS above FROM l UNION SELECT up.provenance_id, up.origin, l.parent FROM up JOIN l ON l.provenance_id = up.provenance_id AND l.child = up.above)
 SELECT DISTINCT provenance_id, origin AS stable_id FROM up WHERE origin = above""",

@@ -64,7 +64,7 @@ def innermost_owners(spark: SparkSession, d: str) -> DataFrame:
     return ev.innermost(own.select(F.concat_ws(" ", "provenance_id", "stable_id").alias("node"), F.concat_ws(" ", "provenance_id", "target").alias("owner")).distinct())
 
 
-_ID = "regexp_extract(stable_id, '^(.+?):([0-9]+):([0-9]+):([0-9]+):([0-9]+)$', {0})"
+_ID = "regexp_extract(stable_id, '^(.*):([0-9]+):([0-9]+):([0-9]+):([0-9]+)$', {0})"
 
 
 @query(f"""WITH x AS (SELECT DISTINCT provenance_id, stable_id, {_ID.format(1)} AS file, TRY_CAST({_ID.format(2)} AS BIGINT) AS a, TRY_CAST({_ID.format(4)} AS BIGINT) AS b, list_contains(labels, 'Fn') AS fn, list_contains(labels, 'Step') AS step FROM raw_entities WHERE {_ID.format(1)} <> ''),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ashlar.functions.ids import normalized_sql
 from ashlar.operators import levels, traversal
 from ashlar.operators.hierarchy import parent_links
 from ashlar.runtime import materialize
@@ -158,8 +159,7 @@ def dag_levels(spark: SparkSession, d: str) -> DataFrame:
 _LINKS = """l AS (SELECT DISTINCT provenance_id || ' ' || CASE WHEN rel_type IN ('AST_CHILD', 'HAS_FLOW_BLOCK') THEN norm(to_id) ELSE norm(from_id) END AS child,
 provenance_id || ' ' || CASE WHEN rel_type IN ('AST_CHILD', 'HAS_FLOW_BLOCK') THEN norm(from_id) ELSE norm(to_id) END AS parent FROM raw_relationships
 WHERE rel_type IN ('AST_CHILD', 'HAS_FLOW_BLOCK', 'PARENT_FOLDER', 'IN_FOLDER', 'DECLARED_IN', 'NESTED_IN') AND from_id IS NOT NULL AND to_id IS NOT NULL)"""
-_NORM = r"CASE WHEN regexp_matches(replace({0}, '\', '/'), '^.+?:[0-9]+:[0-9]+:[0-9]+:[0-9]+(:.*)?$') THEN regexp_extract(replace({0}, '\', '/'), '^(.+?:[0-9]+:[0-9]+:[0-9]+:[0-9]+)(:.*)?$', 1) ELSE {0} END"
-_LINKS = _LINKS.replace("norm(to_id)", _NORM.format("to_id")).replace("norm(from_id)", _NORM.format("from_id"))
+_LINKS = _LINKS.replace("norm(to_id)", normalized_sql("to_id")).replace("norm(from_id)", normalized_sql("from_id"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:

@@ -78,7 +78,7 @@ def label_membership(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_AT = r"regexp_extract(replace({0}, '\', '/'), '^(.+?):([0-9]+):([0-9]+):([0-9]+):([0-9]+)(:.*)?$', {1})"
+_AT = r"regexp_extract(replace({0}, '\', '/'), '^(.*):([0-9]+):([0-9]+):([0-9]+):([0-9]+)(:.*)?$', {1})"
 
 
 @query("WITH c AS (SELECT DISTINCT " + ", ".join(f"{_AT.format(c, i)} AS {n}_{k}" for n, c in (("a", "from_id"), ("b", "to_id")) for i, k in ((1, "p"), (2, "sl"), (3, "sc"), (4, "el"), (5, "ec"))) + """, from_id, to_id, provenance_id FROM raw_relationships WHERE rel_type = 'AST_CHILD' AND from_id IS NOT NULL AND to_id IS NOT NULL)
@@ -311,7 +311,7 @@ def preceding_artifact(spark: SparkSession, d: str) -> DataFrame:
     return rel.latest_before(reads, writes, ["provenance_id", "from_id"], "ordinal", ["to_id"]).select("ordinal", "latest_to_id")
 
 
-@query(r"""WITH p AS (SELECT DISTINCT replace(substr(stable_id, 6), '\', '/') AS file FROM raw_entities WHERE starts_with(stable_id, 'file:')), s AS (SELECT DISTINCT stable_id, regexp_extract(stable_id, '^(.+?):[0-9]+:[0-9]+:[0-9]+:[0-9]+$', 1) AS file FROM raw_entities WHERE regexp_matches(stable_id, '^.+?:[0-9]+:[0-9]+:[0-9]+:[0-9]+$'))
+@query(r"""WITH p AS (SELECT DISTINCT replace(substr(stable_id, 6), '\', '/') AS file FROM raw_entities WHERE starts_with(stable_id, 'file:')), s AS (SELECT DISTINCT stable_id, regexp_extract(stable_id, '^(.*):[0-9]+:[0-9]+:[0-9]+:[0-9]+$', 1) AS file FROM raw_entities WHERE regexp_matches(stable_id, '^.*:[0-9]+:[0-9]+:[0-9]+:[0-9]+$'))
 SELECT p.file, min(s.stable_id) AS stable_id FROM p LEFT JOIN s USING (file) GROUP BY ALL""")
 def first_by_prefix(spark: SparkSession, d: str) -> DataFrame:
     """The first entity whose id begins with each file's path."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ashlar.functions.ids import normalized_sql
 from ashlar.operators import relational, traversal
 from ashlar.operators import runtime_events as rt
-from ashlar.plans.graph_queries import _NORM
 from ashlar.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -65,7 +65,7 @@ def causal_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rt.causal_candidates(records(spark, d))
 
 
-@query(f"""WITH r AS (SELECT session_id, node_id, {_NORM.format('function_stable_id')} AS f FROM runtime_records WHERE session_id IS NOT NULL), k AS (SELECT DISTINCT {_NORM.format('stable_id')} AS f FROM raw_entities)
+@query(f"""WITH r AS (SELECT session_id, node_id, {normalized_sql('function_stable_id')} AS f FROM runtime_records WHERE session_id IS NOT NULL), k AS (SELECT DISTINCT {normalized_sql('stable_id')} AS f FROM raw_entities)
 SELECT session_id, count(*) AS events, count(DISTINCT node_id) AS nodes, count(DISTINCT f) AS functions, count(DISTINCT f) FILTER (f IN (SELECT f FROM k WHERE f IS NOT NULL)) AS anchored FROM r GROUP BY ALL""")
 def event_sessions_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rt.session_coverage(records(spark, d), table(spark, d, "raw_entities"))
@@ -112,7 +112,7 @@ def guard_cases(spark: SparkSession, d: str) -> DataFrame:
     return rt.guard_cases(records(spark, d))
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT DISTINCT {_NORM.format('source')} AS source, {_NORM.format('target')} AS target FROM pr WHERE source <> target), s AS (SELECT DISTINCT {_NORM.format('from_id')} AS source, {_NORM.format('to_id')} AS target
+@query(f"""WITH {_PAIRS}, r AS (SELECT DISTINCT {normalized_sql('source')} AS source, {normalized_sql('target')} AS target FROM pr WHERE source <> target), s AS (SELECT DISTINCT {normalized_sql('from_id')} AS source, {normalized_sql('to_id')} AS target
 FROM raw_relationships WHERE rel_type = 'CALLS' AND from_id IS NOT NULL AND to_id IS NOT NULL), r2 AS (SELECT * FROM r WHERE source <> target)
 SELECT coalesce(r2.source, s.source) AS source, coalesce(r2.target, s.target) AS target, CASE WHEN r2.source IS NULL THEN 'static-only' WHEN s.source IS NULL THEN 'runtime-only' ELSE 'matched' END AS status
 FROM r2 FULL JOIN s ON r2.source = s.source AND r2.target = s.target""")
@@ -120,8 +120,8 @@ def runtime_static_transitions(spark: SparkSession, d: str) -> DataFrame:
     return rt.transitions(records(spark, d), table(spark, d, "raw_relationships"))
 
 
-@query(r"""SELECT key, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(replace(function_stable_id, '\', '/'), '^.+?:[0-9]+:[0-9]+:[0-9]+:[0-9]+(:.*)?$') THEN 'coord:' || regexp_extract(replace(function_stable_id, '\', '/'), '^(.+?):([0-9]+):[0-9]+:[0-9]+:[0-9]+(:.*)?$', 1)
-|| ':' || regexp_extract(replace(function_stable_id, '\', '/'), '^(.+?):([0-9]+):[0-9]+:[0-9]+:[0-9]+(:.*)?$', 2)::BIGINT ELSE function_stable_id END AS key FROM runtime_records WHERE function_stable_id IS NOT NULL) GROUP BY ALL""")
+@query(r"""SELECT key, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(replace(function_stable_id, '\', '/'), '^.*:[0-9]+:[0-9]+:[0-9]+:[0-9]+(:.*)?$') THEN 'coord:' || regexp_extract(replace(function_stable_id, '\', '/'), '^(.*):([0-9]+):[0-9]+:[0-9]+:[0-9]+(:.*)?$', 1)
+|| ':' || regexp_extract(replace(function_stable_id, '\', '/'), '^(.*):([0-9]+):[0-9]+:[0-9]+:[0-9]+(:.*)?$', 2)::BIGINT ELSE function_stable_id END AS key FROM runtime_records WHERE function_stable_id IS NOT NULL) GROUP BY ALL""")
 def coordinate_key_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = records(spark, d).filter("function_stable_id is not null")
     return rows.groupBy(rt.coordinate_key("function_stable_id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
@@ -145,7 +145,7 @@ def trace_buckets(spark: SparkSession, d: str) -> DataFrame:
     return rt.trace_buckets(records(spark, d))
 
 
-@query(f"""SELECT DISTINCT {_NORM.format('stable_id')} AS stable_id FROM raw_entities WHERE list_contains(labels, 'Fn') AND {_NORM.format('stable_id')} NOT IN (SELECT {_NORM.format('function_stable_id')} FROM runtime_records WHERE function_stable_id IS NOT NULL)""")
+@query(f"""SELECT DISTINCT {normalized_sql('stable_id')} AS stable_id FROM raw_entities WHERE list_contains(labels, 'Fn') AND {normalized_sql('stable_id')} NOT IN (SELECT {normalized_sql('function_stable_id')} FROM runtime_records WHERE function_stable_id IS NOT NULL)""")
 def coverage_targets_uncovered(spark: SparkSession, d: str) -> DataFrame:
     return rt.uncovered(table(spark, d, "raw_entities"), records(spark, d), "Fn")
 

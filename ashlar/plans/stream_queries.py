@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ashlar.functions.ids import normalized_sql
 from ashlar.runtime import work_folder
 from ashlar.sources.tables import table
 from ashlar.streaming import runtime_stream as rs
 
 _T = "CASE WHEN score > 0 THEN score ELSE epoch_ms(ingested_at) END"
-_NORM = r"CASE WHEN regexp_matches(replace({0}, '\', '/'), '^.+?:[0-9]+:[0-9]+:[0-9]+:[0-9]+(:.*)?$') THEN regexp_extract(replace({0}, '\', '/'), '^(.+?:[0-9]+:[0-9]+:[0-9]+:[0-9]+)(:.*)?$', 1) ELSE {0} END"
 
 
 def _run(spark: SparkSession, d: str, view, mode: str = "complete") -> DataFrame:
@@ -55,5 +55,5 @@ ORACLE_SQL = {
     + ", ".join(f"arg_min({c}, (t, event_id)) FILTER ({c} IS NOT NULL) AS {c}" for c in ("parent_node_id", "session_id", "correlation_id", "kind"))
     + f", count(*) AS events, coalesce(bool_or(update_only), false) AS update_merged FROM (SELECT *, {_T} AS t FROM runtime_records) WHERE node_id IS NOT NULL GROUP BY ALL",
     "stream_window_counts": f"SELECT time_bucket(INTERVAL '5 minutes', make_timestamp({_T} * 1000), TIMESTAMP '1970-01-01') AS window_start, kind, count(*) AS events FROM runtime_records GROUP BY ALL",
-    "stream_anchored_events": f"SELECT event_id, {_NORM.format('function_stable_id')} AS anchor, coalesce({_NORM.format('function_stable_id')} IN (SELECT {_NORM.format('stable_id')} FROM raw_entities WHERE stable_id IS NOT NULL), false) AS known FROM runtime_records WHERE node_id IS NOT NULL",
+    "stream_anchored_events": f"SELECT event_id, {normalized_sql('function_stable_id')} AS anchor, coalesce({normalized_sql('function_stable_id')} IN (SELECT {normalized_sql('stable_id')} FROM raw_entities WHERE stable_id IS NOT NULL), false) AS known FROM runtime_records WHERE node_id IS NOT NULL",
 }

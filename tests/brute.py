@@ -8,13 +8,19 @@ from collections import Counter, defaultdict
 from datetime import datetime
 from fractions import Fraction
 
-COORD = re.compile(r"^(.+?:\d+:\d+:\d+:\d+)(?::.*)?$")
-
 
 def norm(i):
+    """By parts: the last place where four numbers follow each other, with a path before it and lines from 1 on."""
     s = i.replace("\\", "/")
-    m = COORD.match(s)
-    return m[1] if m else i
+    parts = s.split(":")
+    for k in range(len(parts) - 4, 0, -1):
+        four = parts[k : k + 4]
+        if all(re.fullmatch("[0-9]+", x) for x in four):
+            path = ":".join(parts[:k])
+            if not path or int(four[0]) < 1 or int(four[2]) < 1:
+                return s
+            return ":".join([path, *(str(int(x)) for x in four)])
+    return s
 
 
 def runs(prov):

@@ -3,12 +3,13 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ashlar.functions.ids import normalize_id
+from ashlar.functions.ids import coordinate, normalize_id, normalized_sql
 from ashlar.functions.json_values import facts, spelled
 from ashlar.operators import classification as cl
 from ashlar.operators import levels, relational, traversal
@@ -231,15 +232,58 @@ def test_json_spelling_keeps_equality(value, other):
     assert (spelled(same) == spelled(facts('{"k": 1}')["k"])) == (brute.canon(value) == brute.canon(1))
 
 
-IDS = [r"a\b.ts:1:2:3:4", "a/b.ts:1:2:3:4:slot", "a.ts:1:2:3:4:0", r"C:\x\y.ts:1:2:3:4", "package:@x/y", r"file:a\b", "", None, "a:1:2:3", ":1:2:3:4", "a.ts:1:2:3:4:x:y\nz"]
+#: Written by hand from the rules of the id format.
+IDS = {
+    "p.ts:1:2:3:4": "p.ts:1:2:3:4",
+    "p.ts:1:2:3:4:slot": "p.ts:1:2:3:4",
+    "p.ts:1:2:3:4:slot:more": "p.ts:1:2:3:4",
+    "p.ts:1:2:3:4:": "p.ts:1:2:3:4",
+    "p.ts:1:2:3:4:0": "p.ts:1:2:3:4:0",  # path p.ts:1, lines 2 to 4
+    "p.ts:1:2:3:4:5:6": "p.ts:1:2:3:4:5:6",  # path p.ts:1:2
+    "p.ts:1:2:3:4:slot:5": "p.ts:1:2:3:4",
+    "p.ts:1:2:3:4:x:5:6:7:8": "p.ts:1:2:3:4:x:5:6:7:8",  # the last four numbers are the coordinates
+    "p.ts:5:0:7:1:0": "p.ts:5:0:7:1:0",  # path p.ts:5, line 0: not of the form
+    "p.ts:0:0:0:0": "p.ts:0:0:0:0",
+    "p.ts:0:0:0:0:slot": "p.ts:0:0:0:0:slot",
+    "p.ts:1:2:0:4:slot": "p.ts:1:2:0:4:slot",
+    "p.ts:007:00:8:010:slot": "p.ts:7:0:8:10",
+    "p.ts:01:2:3:4": "p.ts:1:2:3:4",
+    r"a\b.ts:1:2:3:4": "a/b.ts:1:2:3:4",
+    r"a\b.ts:1:2:3:4:slot": "a/b.ts:1:2:3:4",
+    r"C:\x\y.ts:1:2:3:4": "C:/x/y.ts:1:2:3:4",
+    ":1:2:3:4": ":1:2:3:4",
+    "1:2:3:4": "1:2:3:4",
+    "a:1:2:3": "a:1:2:3",
+    "package:@x/y": "package:@x/y",
+    r"file:a\b": "file:a/b",
+    "": "",
+    None: None,
+}
 
 
 def test_ids(spark):
     df = spark.createDataFrame([(i,) for i in IDS], "i string")
-    got = {r["i"]: r["n"] for r in df.select("i", normalize_id("i").alias("n")).collect()}
-    want = {i: i if i is None else brute.norm(i) for i in IDS if "\n" not in (i or "")}
-    assert {k: v for k, v in got.items() if "\n" not in (k or "")} == want
-    assert rt.coordinate_key("i") is not None
+    assert {r["i"]: r["n"] for r in df.select("i", normalize_id("i").alias("n")).collect()} == IDS
+    assert {i: None if i is None else brute.norm(i) for i in IDS} == IDS
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t (i VARCHAR)")
+    c.executemany("INSERT INTO t VALUES (?)", [(i,) for i in IDS])
+    assert dict(c.execute(f"SELECT i, {normalized_sql('i')} FROM t").fetchall()) == IDS
+
+
+def test_ids_of_a_known_file(spark):
+    """Prefixes before the path that the record tells go."""
+    rows = [("flow:call:a/b.ts:3:1:3:9:arg0:call0", "a/b.ts", "a/b.ts:3:1:3:9"), ("a/b.ts:3:1:3:9:x", "", "a/b.ts:3:1:3:9"), ("a/b.ts:3:1:3:9", None, "a/b.ts:3:1:3:9"), ("c.ts:3:1:3:9", "a/b.ts", "c.ts:3:1:3:9")]
+    df = spark.createDataFrame(rows, "i string, f string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", normalize_id("i", "f").alias("got")).collect())
+
+
+def test_coordinates(spark):
+    df = spark.createDataFrame([("p.ts:1:2:3:4:0",), ("p.ts:1:2:3:4:s",), ("nothing",)], "i string")
+    got = [r["c"] for r in df.select(coordinate("i").alias("c")).collect()]
+    assert (got[0]["path"], got[0]["start_line"], got[0]["suffix"]) == ("p.ts:1", 2, None)
+    assert (got[1]["path"], got[1]["end_col"], got[1]["suffix"]) == ("p.ts", 4, "s")
+    assert got[2] is None
 
 
 def test_empty_runtime(spark):
