@@ -1,102 +1,142 @@
-"""References to records that do not exist: direct orphans by endpoint, and the cascade to what hangs below them."""
+"""References to records that do not exist, by a fixpoint: direct orphans first, then what hangs below them."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions.ids import key128, normalize_id
-from ashlar.operators.hierarchy import parent_links
-from ashlar.operators.skew import salted_left_join
-from ashlar.runtime import WorkTable, checked_broadcast
+from ashlar.operators.hierarchy import CHILD_TO_PARENT, PARENT_TO_CHILD
+from ashlar.operators.skew import Salted, lookup_join, salted_left_join
+from ashlar.runtime import WorkTable, materialize
 from ashlar.sources.tables import runs
 
 ENDPOINTS = ("from_id", "to_id")
+_REFERENCE = ["ordinal", "provenance_id", "rel_type", "endpoint", "state", "level"]
 
 
-def _placed(df: DataFrame, known: DataFrame) -> DataFrame:
+def _placed(df: DataFrame, known: DataFrame, spread: str) -> DataFrame:
     """With workspace and seq; a run that provenance doesn't know is the only one of a workspace of its own."""
     own = F.concat(F.lit("?"), F.coalesce("provenance_id", F.lit("")))
     return (
-        df.join(known, "provenance_id", "left")
+        lookup_join(df, known, ["provenance_id"], spread)
         .withColumn("workspace", F.coalesce("workspace", own))
         .withColumn("seq", F.coalesce("seq", F.lit(1)))
     )
 
 
-def orphan_references(relationships: DataFrame, entities: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Each endpoint of a relationship row that is no entity of the row's run: ordinal, provenance_id, rel_type,
-    endpoint (``from_id``, ``to_id``) and state: ``deleted`` if an earlier run of the workspace has the entity, else
-    ``late`` if a later one has, else ``missing``.
+def _child_end() -> Column:
+    """The column that names the child of a parent link; null for other types."""
+    return F.when(F.col("rel_type").isin(*CHILD_TO_PARENT), "from_id").when(F.col("rel_type").isin(*PARENT_TO_CHILD), "to_id")
 
-    Ids are compared as ``normalize_id`` spells them. Null endpoints refer to nothing; an empty id is an id. Repeated
-    rows come out once each. Entities with a null id are none. Empty entities leave every reference missing.
+
+def _direct(relationships: DataFrame, entities: DataFrame, provenance: DataFrame) -> DataFrame:
+    """The first round: ``_REFERENCE`` of each endpoint that is no entity of its row's run, and the other end's key.
 
     Both sides are shuffled once, by a 16-byte key of workspace and id; the references of a heavy key are salted, so
     that no task gets them all.
     """
-    known = checked_broadcast(runs(provenance))
+    known = runs(provenance)
     key = lambda c: key128("workspace", normalize_id(c))
     present = (
-        _placed(entities.select("provenance_id", "stable_id").filter(F.col("stable_id").isNotNull()), known)
+        _placed(entities.select("provenance_id", "stable_id").filter(F.col("stable_id").isNotNull()), known, "stable_id")
         .select(*key("stable_id"), "seq")
         .groupBy("k1", "k2")
         .agg(F.collect_set("seq").alias("at"))
     )
-    rows = _placed(relationships.select("ordinal", "provenance_id", "rel_type", *ENDPOINTS), known)
+    rows = _placed(relationships.select("ordinal", "provenance_id", "rel_type", *ENDPOINTS), known, "ordinal")
     refs = None
-    for end in ENDPOINTS:
-        side = rows.filter(F.col(end).isNotNull()).select("ordinal", "provenance_id", "rel_type", F.lit(end).alias("endpoint"), "seq", *key(end))
+    for end, other in (ENDPOINTS, ENDPOINTS[::-1]):
+        # the child of the link, where the parent is what is referred to
+        child = [F.when(_child_end() == other, k).alias(n) for k, n in zip(key128("provenance_id", normalize_id(other)), ("c1", "c2"))]
+        side = rows.filter(F.col(end).isNotNull()).select("ordinal", "provenance_id", "rel_type", F.lit(end).alias("endpoint"), "seq", *key(end), *child)
         refs = side if refs is None else refs.union(side)
     at: Column = F.col("at")
-    state = (
-        F.when(F.array_min(at) < F.col("seq"), "deleted").when(F.array_max(at) > F.col("seq"), "late").otherwise("missing")
-    )
+    state = F.when(F.array_min(at) < F.col("seq"), "deleted").when(F.array_max(at) > F.col("seq"), "late").otherwise("missing")
     orphans = salted_left_join(refs, present, ["k1", "k2"], "ordinal").filter(at.isNull() | ~F.array_contains(at, F.col("seq")))
-    return orphans.select("ordinal", "provenance_id", "rel_type", "endpoint", state.alias("state"))
+    return orphans.withColumn("state", state).withColumn("level", F.lit(1)).select(*_REFERENCE, "c1", "c2")
+
 
+class Orphans:
+    """The fixpoint over the references of all runs.
 
-def orphan_cascade(relationships: DataFrame, entities: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """The entities that hang below a record that does not exist, by the parent links of each run: provenance_id,
-    stable_id, kind (``direct``: a parent is no entity of the run; ``inherited``: a parent is itself orphaned) and
-    level (1 for direct ones).
+    ``references``: ordinal, provenance_id, rel_type, endpoint, state and level. Level 1 are the direct orphans: the
+    endpoint is no entity of its row's run, and ``state`` is ``deleted`` if an earlier run of the workspace has the
+    entity, else ``late`` if a later one has, else ``missing``. Level n + 1 are parent links whose parent is a record
+    orphaned at level n; their state is ``inherited``. A parent link makes its child a record orphaned at its level
+    (the least one counts), if the child is an entity of the run.
 
-    A fixpoint: each round joins the newest orphans down to their children and leaves out those seen before, so cycles
-    end. One round per level of the deepest orphaned tree.
+    Each round joins the newest orphaned records with the links by a semi-join and takes those seen before out by an
+    anti-join, so cycles end; it goes on until a round brings nothing new, however deep that is. The links of a heavy
+    parent are salted, so no task gets them all.
+
+    Ids are compared as ``normalize_id`` spells them. Null endpoints refer to nothing; an empty id is an id. Repeated
+    rows come out once each. Entities with a null id are none. Empty entities leave every reference missing.
     """
-    nodes = entities.filter(F.col("stable_id").isNotNull()).select("provenance_id", normalize_id("stable_id").alias("stable_id")).distinct()
-    links = parent_links(relationships).join(nodes.withColumnRenamed("stable_id", "child"), ["provenance_id", "child"], "left_semi")
-    links = WorkTable(links.distinct(), "cascade-links")
-    on_parent = ["provenance_id", "parent"]
-    missing = links.df.join(nodes.withColumnRenamed("stable_id", "parent"), on_parent, "left_anti")
-    found = [WorkTable(missing.select("provenance_id", F.col("child").alias("stable_id")).distinct().withColumn("level", F.lit(1)), "cascade")]
-    for level in range(2, most_rounds):
-        newest = found[-1].df.select("provenance_id", F.col("stable_id").alias("parent"))
-        below = links.df.join(newest, on_parent, "left_semi").select("provenance_id", F.col("child").alias("stable_id")).distinct()
-        for seen in found:
-            below = below.join(seen.df.select("provenance_id", "stable_id"), ["provenance_id", "stable_id"], "left_anti")
-        step = WorkTable(below.withColumn("level", F.lit(level)), "cascade")
-        if step.df.isEmpty():
-            step.drop()
-            break
-        found.append(step)
-        if len(found) > 8:  # one table again, so that plans stay small
-            merged = found[0].df
-            for t in found[1:-1]:
-                merged = merged.unionByName(t.df)
-            merged = WorkTable(merged, "cascade")
-            for t in found[:-1]:
-                t.drop()
-            found = [merged, found[-1]]
-    out = found[0].df
-    for t in found[1:]:
-        out = out.unionByName(t.df)
-    return out.select("provenance_id", "stable_id", F.when(F.col("level") == 1, "direct").otherwise("inherited").alias("kind"), "level")
-
-
-def orphan_report(relationships: DataFrame, entities: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Counts by run: references by rel_type, endpoint and state (kind ``direct``), and orphaned entities by kind."""
-    refs = orphan_references(relationships, entities, provenance).groupBy("provenance_id", "rel_type", "endpoint", "state")
-    refs = refs.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("reference"))
-    below = orphan_cascade(relationships, entities).groupBy("provenance_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return refs.unionByName(below, allowMissingColumns=True)
+
+    def __init__(self, relationships: DataFrame, entities: DataFrame, provenance: DataFrame):
+        self.entities = entities
+        first = WorkTable(_direct(relationships, entities, provenance), "orphans").df
+        named = entities.filter(F.col("stable_id").isNotNull()).select(*key128("provenance_id", normalize_id("stable_id")))
+        child = first.filter("c1 is not null").select(F.col("c1").alias("k1"), F.col("c2").alias("k2")).distinct()
+        # rows of the newest round first; an entity may have several rows, so they are the filtering side
+        newest = WorkTable(child.join(named, ["k1", "k2"], "left_semi").withColumn("level", F.lit(1)), "orphaned")
+        found, records = [first.select(*_REFERENCE)], [newest]
+        links = None if newest.df.isEmpty() else self._links(relationships, named)
+        for level in count(2):
+            if links is None:
+                break
+            parents = newest.df.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"))
+            hit = WorkTable(links.semi(parents), "orphans")
+            reached = hit.df.select("k1", "k2").distinct()
+            for seen in records:
+                reached = reached.join(seen.df.select("k1", "k2"), ["k1", "k2"], "left_anti")
+            newest = WorkTable(reached.withColumn("level", F.lit(level)), "orphaned")
+            found.append(hit.df.select(*_REFERENCE[:-2], F.lit("inherited").alias("state"), F.lit(level).alias("level")))
+            if newest.df.isEmpty():
+                break
+            records.append(newest)
+            if len(records) > 8:  # one table again, so that plans stay small
+                whole = WorkTable(_union([t.df for t in records[:-1]]), "orphaned")
+                for t in records[:-1]:
+                    t.drop()
+                records = [whole, newest]
+                found = [materialize(_union(found), "orphans")]
+        self.references = _union(found)
+        self.keys = _union([t.df for t in records])
+
+    @staticmethod
+    def _links(relationships: DataFrame, named: DataFrame) -> Salted:
+        """The parent links whose child is an entity: keys of child and parent, and what ``references`` needs."""
+        up = _child_end() == "from_id"
+        rows = relationships.filter(_child_end().isNotNull() & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
+        end = lambda a, b, names: [k.alias(n) for k, n in zip(key128("provenance_id", F.when(up, normalize_id(a)).otherwise(normalize_id(b))), names)]
+        rows = rows.select(
+            "ordinal", "provenance_id", "rel_type", F.when(up, "to_id").otherwise("from_id").alias("endpoint"),
+            *end("from_id", "to_id", ("k1", "k2")), *end("to_id", "from_id", ("p1", "p2")),
+        )
+        return Salted(rows.join(named, ["k1", "k2"], "left_semi"), ["p1", "p2"], "ordinal")
+
+    def records(self) -> DataFrame:
+        """The entities that hang below a record that does not exist: provenance_id, stable_id, kind (``direct``: a
+        parent is no entity of the run; ``inherited``: a parent is itself orphaned) and level (1 for direct ones)."""
+        named = self.entities.filter(F.col("stable_id").isNotNull()).select("provenance_id", normalize_id("stable_id").alias("stable_id"))
+        named = named.withColumns(dict(zip(("k1", "k2"), key128("provenance_id", "stable_id"))))
+        named = named.join(self.keys, ["k1", "k2"]).select("provenance_id", "stable_id", "level").distinct()
+        return named.select("provenance_id", "stable_id", F.when(F.col("level") == 1, "direct").otherwise("inherited").alias("kind"), "level")
+
+    def report(self) -> DataFrame:
+        """Counts by run: references by rel_type, endpoint and state (kind ``reference``), and orphaned records by kind."""
+        refs = self.references.filter("level = 1").groupBy("provenance_id", "rel_type", "endpoint", "state")
+        refs = refs.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("reference"))
+        below = self.records().groupBy("provenance_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+        return refs.unionByName(below, allowMissingColumns=True)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

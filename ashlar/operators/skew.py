@@ -85,6 +85,34 @@ def salted_left_join(rows: DataFrame, other: DataFrame, keys: list[str], spread:
     return mine.join(theirs, [*keys, "salt"], "left").drop("salt")
 
 
+def lookup_join(rows: DataFrame, known: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """``rows`` left-joined with a lookup table of unique keys: broadcast where it is counted to be small, else shuffled,
+    with the rows of heavy keys spread over salts drawn from ``spread``. Null keys match nothing."""
+    small = checked_broadcast(known)
+    return rows.join(small, keys, "left") if small is not known else salted_left_join(rows, known, keys, spread)
+
+
+class Salted:
+    """Rows kept with a salt by their heavy keys, for many semi-joins with small or large sets of keys."""
+
+    def __init__(self, rows: DataFrame, keys: list[str], spread: str, share: float = HEAVY_SHARE, rows_per_salt: int = ROWS_PER_SALT):
+        self.keys = keys
+        rows = materialize(rows, "salted")
+        self.heavy = materialize(heavy_keys(rows.select(*keys).na.drop(), keys, share, rows_per_salt), "heavy-keys")
+        salt = F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("salts")).cast("int"), F.lit(0)).alias("salt")
+        self.rows = rows.join(F.broadcast(self.heavy), keys, "left").select(*rows.columns, salt)
+
+    def semi(self, wanted: DataFrame) -> DataFrame:
+        """The rows whose key is among ``wanted`` (distinct keys). A set counted to be small is broadcast; of a large one
+        the heavy keys come once for each of their salts."""
+        small = checked_broadcast(wanted)
+        if small is not wanted:
+            return self.rows.join(small, self.keys, "left_semi").drop("salt")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        wanted = wanted.join(F.broadcast(self.heavy), self.keys, "left").select(*self.keys, copies)
+        return self.rows.join(wanted, [*self.keys, "salt"], "left_semi").drop("salt")
+
+
 def relationship_keys(relationships: DataFrame, results: tuple[str, ...] = ("row_count", "distinct_neighbours", "latest")) -> DataFrame:
     """``salted_summary`` of the ``from_id`` and ``rel_type`` values of each run; ids as written. Neighbours are ``to_id``."""
     both = None

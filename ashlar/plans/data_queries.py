@@ -43,18 +43,19 @@ def p2_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The direct orphans: the first round of the fixpoint."""
     e, r, p = _graph(spark, d)
-    return references.orphan_references(r, e, p).select("ordinal", "endpoint", "state")
+    return references.Orphans(r, e, p).references.filter("level = 1").select("ordinal", "endpoint", "state")
 
 
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
-    e, r, _ = _graph(spark, d)
-    return references.orphan_cascade(r, e)
+    e, r, p = _graph(spark, d)
+    return references.Orphans(r, e, p).records()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     e, r, p = _graph(spark, d)
-    return references.orphan_report(r, e, p)
+    return references.Orphans(r, e, p).report()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

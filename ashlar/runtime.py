@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it was counted to have at most so many rows.
+#: A side of a join is broadcast only when it was counted to have at most so many rows and bytes.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 _OWN_FOLDER: dict[str, str] = {}
 _WRITTEN: set[str] = set()
@@ -69,9 +70,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return WorkTable(df, name).df
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (a shuffled join then).
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and, as text, ``size`` bytes; reads no more than ``rows + 1`` of them."""
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, b = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(text.cast("long"))).first()
+    return n <= rows and (b or 0) <= size
+
+
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is small by rows and bytes, else as it is (a shuffled join then).
 
     Give it only tables that are cheap to count: the count is an action.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows, size) else df

@@ -13,6 +13,7 @@ from ashlar.functions.merge_patch import composed, patched
 from ashlar.operators import canonical, hierarchy, references, schema_drift, skew, snapshots
 from ashlar.operators.components import cyclic_nodes, strongly_connected
 from ashlar.plans import data_queries
+from ashlar.runtime import checked_broadcast, is_small
 from tests import brute
 
 ENTITY = "ordinal long, stable_id string, labels array<string>, props_json string, source_kind string, provenance_id string, workspace string, seq int, k1 string, path string, side int"
@@ -158,8 +159,8 @@ def test_empty_tables(spark):
     assert schema_drift.drift(e, p).isEmpty()
     assert schema_drift.consistent_table(e, p).isEmpty()
     assert skew.dominant_keys(r, {"from_id": 0.05, "rel_type": 0.15}).isEmpty()
-    assert references.orphan_references(r, e, p).isEmpty()
-    assert references.orphan_cascade(r, e).isEmpty()
+    assert references.Orphans(r, e, p).references.isEmpty()
+    assert references.Orphans(r, e, p).records().isEmpty()
     assert hierarchy.parent_cycles(e, r).isEmpty()
     assert hierarchy.hierarchy(e, r).isEmpty()
     assert canonical.merge_entities(e).isEmpty()
@@ -251,7 +252,7 @@ def test_descendants_equal_plain_walks(spark, several):
 def test_orphans_on_dirt(spark):
     e = entities(spark, [(1, "a", None, None, None, "r1"), (2, "late", None, None, None, "r3"), (3, "p.ts:1:0:2:0", None, None, None, "r2"), (4, None, None, None, None, "r2"), (5, "a", None, None, None, "r1")])
     r = rels(spark, [(10, "a", "late", "CALLS", None, "r2"), (11, "a", None, "CALLS", None, "r1"), (12, r"p.ts:1:0:2:0:arg0", "gone", None, None, "r2"), (12, r"p.ts:1:0:2:0:arg0", "gone", None, None, "r2"), (13, "", "a", "CALLS", None, "s1"), (14, "a", "a", "CALLS", None, "nowhere")])
-    found = got(references.orphan_references(r, e, provenance(spark)), "ordinal", "endpoint", "state")
+    found = got(references.Orphans(r, e, provenance(spark)).references.filter("level = 1"), "ordinal", "endpoint", "state")
     want = Counter({(10, "from_id", "deleted"): 1, (10, "to_id", "late"): 1, (12, "to_id", "missing"): 2, (13, "from_id", "missing"): 1, (13, "to_id", "missing"): 1, (14, "from_id", "missing"): 1, (14, "to_id", "missing"): 1})
     assert found == want
 
@@ -259,10 +260,38 @@ def test_orphans_on_dirt(spark):
 def test_cascade(spark):
     e = entities(spark, [(i, x, None, None, None, "r1") for i, x in enumerate(["b", "c", "d", "ok", "x", "y"])])
     r = rels(spark, [(i, f, t, "NESTED_IN", None, "r1") for i, (f, t) in enumerate([("b", "missing"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("x", "d"), ("c", "b")])])
-    found = {(x["stable_id"], x["kind"], x["level"]) for x in references.orphan_cascade(r, e).collect()}
+    found = {(x["stable_id"], x["kind"], x["level"]) for x in references.Orphans(r, e, provenance(spark)).records().collect()}
     assert found == {("b", "direct", 1), ("c", "inherited", 2), ("d", "inherited", 3), ("x", "inherited", 4), ("y", "inherited", 5)}
 
 
+def test_cascade_has_no_deepest_level(spark):
+    """A chain far deeper than the tables that are kept apart, below one missing record; its links count as references."""
+    ids = [f"n{i:02}" for i in range(30)]
+    e = entities(spark, [(i, x, None, None, None, "r1") for i, x in enumerate(ids)])
+    r = rels(spark, [(i, x, ids[i - 1] if i else "missing", "NESTED_IN", None, "r1") for i, x in enumerate(ids)])
+    o = references.Orphans(r, e, provenance(spark))
+    assert {x["stable_id"]: x["level"] for x in o.records().collect()} == {x: i + 1 for i, x in enumerate(ids)}
+    assert {x["ordinal"]: (x["level"], x["state"]) for x in o.references.collect()} == {i: (i + 1, "inherited" if i else "missing") for i in range(30)}
+
+
+def test_salted_semi_join(spark, monkeypatch):
+    """A set too large for a broadcast: the heavy key's rows are split, none is lost or doubled."""
+    rows = [(n, "hot" if n % 2 else f"k{n % 9}", "t", "CALLS", None, "r1") for n in range(400)]
+    kept = skew.Salted(rels(spark, rows).select("ordinal", "from_id"), ["from_id"], "ordinal", share=0.1, rows_per_salt=10)
+    wanted = spark.createDataFrame([("hot",), ("k2",), ("nobody",)], "from_id string")
+    want = sorted(n for n, f, *_ in rows if f in ("hot", "k2"))
+    assert sorted(x["ordinal"] for x in kept.semi(wanted).collect()) == want
+    monkeypatch.setattr(skew, "checked_broadcast", lambda df: df)
+    assert sorted(x["ordinal"] for x in kept.semi(wanted).collect()) == want
+    assert skew.lookup_join(rels(spark, rows).select("ordinal", "from_id"), wanted.withColumn("v", F.lit(1)), ["from_id"], "ordinal").filter("v = 1").count() == len(want)
+
+
+def test_small_by_bytes(spark):
+    wide = spark.createDataFrame([("x" * 5000,)] * 3, "t string")
+    assert is_small(wide) and not is_small(wide, rows=2) and not is_small(wide, size=10_000)
+    assert is_small(wide.limit(0)) and checked_broadcast(wide, size=10_000) is wide
+
+
 def test_salted_summary_with_a_hot_key(spark):
     rng = random.Random(1)
     rows = [(n, "hot" if n % 3 == 0 else f"k{rng.randrange(40)}", f"t{rng.randrange(60)}" if n % 7 else None, "CALLS" if n % 2 else None, None, "r1") for n in range(900)]
@@ -364,6 +393,6 @@ def test_no_operator_makes_local_checkpoints():
 
 def test_hot_references_stay_whole(spark):
     rows = [(n, "hot", f"t{n % 5}", "CALLS", None, "r1") for n in range(300)]
-    found = references.orphan_references(rels(spark, rows), entities(spark, [(1, "t0", None, None, None, "r1")]), provenance(spark))
+    found = references.Orphans(rels(spark, rows), entities(spark, [(1, "t0", None, None, None, "r1")]), provenance(spark)).references
     assert found.count() == 300 + 240
     assert found.agg(F.count_distinct("ordinal")).first()[0] == 300
