@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ashlar.functions.ids import key128, normalize_id
 from ashlar.operators.hierarchy import CHILD_TO_PARENT, PARENT_TO_CHILD
 from ashlar.operators.skew import Salted, lookup_join, salted_left_join
-from ashlar.runtime import WorkTable, materialize
+from ashlar.runtime import WorkTable
 from ashlar.sources.tables import runs
 
 ENDPOINTS = ("from_id", "to_id")
@@ -81,30 +81,25 @@ class Orphans:
         first = WorkTable(_direct(relationships, entities, provenance), "orphans").df
         named = entities.filter(F.col("stable_id").isNotNull()).select(*key128("provenance_id", normalize_id("stable_id")))
         child = first.filter("c1 is not null").select(F.col("c1").alias("k1"), F.col("c2").alias("k2")).distinct()
-        # rows of the newest round first; an entity may have several rows, so they are the filtering side
         newest = WorkTable(child.join(named, ["k1", "k2"], "left_semi").withColumn("level", F.lit(1)), "orphaned")
-        found, records = [first.select(*_REFERENCE)], [newest]
-        links = None if newest.df.isEmpty() else self._links(relationships, named)
-        for level in count(2):
-            if links is None:
-                break
-            parents = newest.df.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"))
-            hit = WorkTable(links.semi(parents), "orphans")
-            reached = hit.df.select("k1", "k2").distinct()
-            for seen in records:
-                reached = reached.join(seen.df.select("k1", "k2"), ["k1", "k2"], "left_anti")
-            newest = WorkTable(reached.withColumn("level", F.lit(level)), "orphaned")
-            found.append(hit.df.select(*_REFERENCE[:-2], F.lit("inherited").alias("state"), F.lit(level).alias("level")))
-            if newest.df.isEmpty():
-                break
-            records.append(newest)
-            if len(records) > 8:  # one table again, so that plans stay small
-                whole = WorkTable(_union([t.df for t in records[:-1]]), "orphaned")
-                for t in records[:-1]:
-                    t.drop()
-                records = [whole, newest]
-                found = [materialize(_union(found), "orphans")]
-        self.references = _union(found)
+        records, self.references = [newest], first.select(*_REFERENCE)
+        if not newest.df.isEmpty():
+            links = self._links(relationships, named)
+            for level in count(2):
+                reached = links.semi(_as_parents(newest.df)).select("k1", "k2").distinct()
+                reached = reached.join(_union([t.df for t in records]), ["k1", "k2"], "left_anti")
+                newest = WorkTable(reached.withColumn("level", F.lit(level)), "orphaned")
+                if newest.df.isEmpty():
+                    break
+                records.append(newest)
+                if len(records) > 8:  # one table again, so that plans stay small
+                    whole = WorkTable(_union([t.df for t in records[:-1]]), "orphaned")
+                    for t in records[:-1]:
+                        t.drop()
+                    records = [whole, newest]
+            below = links.inner(_as_parents(_union([t.df for t in records]), "level"))
+            below = below.withColumn("level", F.col("level") + 1).withColumn("state", F.lit("inherited"))
+            self.references = self.references.unionByName(below.select(*_REFERENCE))
         self.keys = _union([t.df for t in records])
 
     @staticmethod
@@ -129,12 +124,16 @@ class Orphans:
 
     def report(self) -> DataFrame:
         """Counts by run: references by rel_type, endpoint and state (kind ``reference``), and orphaned records by kind."""
-        refs = self.references.filter("level = 1").groupBy("provenance_id", "rel_type", "endpoint", "state")
+        refs = self.references.filter("state <> 'inherited'").groupBy("provenance_id", "rel_type", "endpoint", "state")
         refs = refs.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("reference"))
         below = self.records().groupBy("provenance_id", "kind").agg(F.count(F.lit(1)).alias("n"))
         return refs.unionByName(below, allowMissingColumns=True)
 
 
+def _as_parents(keys: DataFrame, *more: str) -> DataFrame:
+    return keys.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), *more)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

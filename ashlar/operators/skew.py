@@ -102,15 +102,22 @@ class Salted:
         salt = F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("salts")).cast("int"), F.lit(0)).alias("salt")
         self.rows = rows.join(F.broadcast(self.heavy), keys, "left").select(*rows.columns, salt)
 
+    def _join(self, other: DataFrame, how: str) -> DataFrame:
+        small = checked_broadcast(other)
+        if small is not other:
+            return self.rows.join(small, self.keys, how).drop("salt")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        other = other.join(F.broadcast(self.heavy), self.keys, "left").select(*other.columns, copies)
+        return self.rows.join(other, [*self.keys, "salt"], how).drop("salt")
+
     def semi(self, wanted: DataFrame) -> DataFrame:
         """The rows whose key is among ``wanted`` (distinct keys). A set counted to be small is broadcast; of a large one
         the heavy keys come once for each of their salts."""
-        small = checked_broadcast(wanted)
-        if small is not wanted:
-            return self.rows.join(small, self.keys, "left_semi").drop("salt")
-        copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
-        wanted = wanted.join(F.broadcast(self.heavy), self.keys, "left").select(*self.keys, copies)
-        return self.rows.join(wanted, [*self.keys, "salt"], "left_semi").drop("salt")
+        return self._join(wanted, "left_semi")
+
+    def inner(self, other: DataFrame) -> DataFrame:
+        """The rows with the columns of ``other`` (unique keys), where it has their key; joined like ``semi``."""
+        return self._join(other, "inner")
 
 
 def relationship_keys(relationships: DataFrame, results: tuple[str, ...] = ("row_count", "distinct_neighbours", "latest")) -> DataFrame:
