@@ -2,24 +2,30 @@
 
 The rows of all runs are range-partitioned and sorted by (workspace, stable_id, run, ordinal) and each range is read
 once as a stream: neighbouring groups of rows are the two sides of the merge. The range keys end with the unique
-``ordinal``, so ranges are of equal size however many rows one key has; groups that cross the border of two ranges are
-carried to a second merge over at most four groups a range.
+``ordinal``, so ranges are of equal size however many rows one key has, and as many as the counted bytes ask for. Groups
+that cross the border of two ranges are carried on as the ranges' edges, four groups each at most, which are merged by
+blocks of neighbouring ranges until one block is left. ``SnapshotStore`` keeps the last snapshot in that order for the
+next one.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.functions.json_values import facts, spelled
+from ashlar.operators.skew import lookup_join
 from ashlar.runtime import checked_broadcast, materialize
 from ashlar.sources.tables import runs
 
-_OUT = "kind string, workspace string, stable_id string, seq int, change string, state string, place long"
+_OUT = "kind string, workspace string, stable_id string, seq int, change string, state string, place long, done boolean"
+#: Bytes of props in a range, about, and how many ranges have their edges merged in one task.
+RANGE_BYTES, TOGETHER = 64 << 20, 1024
 #: Rows of one entity in a run are folded into one state whenever so many wait.
 _FOLD = 64
 
@@ -101,70 +107,97 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[_Group]:
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64())
-    names = ("kind", "workspace", "stable_id", "seq", "change", "state", "place")
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+    names = ("kind", "workspace", "stable_id", "seq", "change", "state", "place", "done")
     columns = list(zip(*rows)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], list(names))
 
 
-def _merge_range(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Changes inside a range, and as kind ``edge`` its first two and last two groups; ``place`` tells which, in all ranges' order."""
-    from pyspark import TaskContext
+def _merge(groups: Iterable[tuple[_Group, bool]], part: int, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Compares neighbouring groups; each comes with whether it was compared with the one before it already.
 
-    part = TaskContext.get().partitionId()
-    edge = lambda g, i: ("edge", *g.key, g.seq, "", g.dump(), part * 4 + i)
+    The first and the last group may go on in the neighbouring ranges, so their pairs wait: the first two and the last
+    two groups come out as kind ``edge`` (``done``: compared with the edge before). With ``whole`` nothing lies beyond.
+    """
     out: list[tuple] = []
-    second = before = last = None
+    edges: list[tuple[_Group, bool]] = []
+    before, last = None, (None, True)
     n = 0
-    for g in _groups(batches):
+    for g, done in groups:
+        if n and last[0].key == g.key and last[0].seq == g.seq:
+            last[0].join(g)
+            continue
+        if n >= 3 or whole:
+            if not last[1]:
+                out.extend(("change", *x, "", 0, False) for x in _changes(before, last[0]))
+            if len(out) >= 10_000:
+                yield _emit(out)
+                out = []
         n += 1
-        if n == 1:
-            out.append(edge(g, 0))
-        elif n == 2:
-            second = g
-        if n >= 4:  # the pair before the newest group lies inside
-            if n == 4:
-                out.append(edge(second, 1))
-            out.extend(("change", *x, "", 0) for x in _changes(before, last))
-        before, last = last, g
-        if len(out) >= 10_000:
-            yield _emit(out)
-            out = []
-    if n == 3:
-        out.append(edge(before, 2))
-    elif n >= 4:
-        out.append(edge(before, 2))
-    if n >= 2:
-        out.append(edge(last, 3))
+        before, last = last[0], (g, done if n > 1 else False)
+        if n <= 2:
+            edges.append(last)
+    if whole:
+        if n:
+            out.extend(("change", *x, "", 0, False) for x in [*([] if last[1] else _changes(before, last[0])), *_changes(last[0], None)])
+    else:
+        if n >= 4:
+            edges += [(before, True), last]
+        elif n == 3:
+            edges.append(last)
+        out.extend(("edge", *g.key, g.seq, "", g.dump(), part * 4 + i, done) for i, (g, done) in enumerate(edges))
     yield _emit(out)
 
 
-def _stitch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The changes at the borders; gets the edges of all ranges in order."""
-    out: list[tuple] = []
-    before = last = None  # the last group may go on in the next range, so it is compared once another one comes
-    gap = False  # what lies between the two was compared in their range
-    place = 0
+def _merge_range(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The changes inside a range, and its edges."""
+    from pyspark import TaskContext
+
+    yield from _merge(((g, False) for g in _groups(batches)), TaskContext.get().partitionId())
 
-    def compared() -> list[tuple]:
-        return [] if gap else [("change", *x, "", 0) for x in _changes(before, last)]
 
+def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[_Group, bool, int]]:
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("workspace", "stable_id", "seq", "state", "place")]
-        for workspace, stable_id, seq, state, at in zip(*columns):
-            g = _Group.load((workspace, stable_id), seq, state)
-            if last is not None and last.key == g.key and last.seq == g.seq:
-                last.join(g)
-            else:
-                out += compared()
-                before, last, gap = last, g, place % 4 == 1  # after a range's second group of at least four
-            place = at
-    out += compared()
-    out.extend(("change", *x, "", 0) for x in _changes(last, None))
-    yield _emit(out)
+        columns = [batch.column(n).to_pylist() for n in ("workspace", "stable_id", "seq", "state", "place", "done")]
+        for workspace, stable_id, seq, state, place, done in zip(*columns):
+            yield _Group.load((workspace, stable_id), seq, state), done, place // 4
+
+
+def _stitch(ranges: int | None):
+    """Merges the edges of ``ranges`` neighbouring ranges to the edges of one; of all ranges without a number."""
 
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, some in groupby(_edges(batches), lambda e: e[2] // ranges if ranges else 0):
+            yield from _merge(((g, done) for g, done, _ in some), to, whole=ranges is None)
 
-def snapshot_changes(entities: DataFrame, provenance: DataFrame) -> DataFrame:
+    return over
+
+
+def _compared(rows: DataFrame, size: int, together: int) -> DataFrame:
+    """The changes of rows (workspace, stable_id, seq, ordinal, labels, props_json) by ``_merge`` over ranges of about
+    ``size`` bytes; the edges of ``together`` ranges are merged at a time, in as many steps as that takes."""
+    order = ["workspace", "stable_id", "seq", "ordinal"]
+    width = F.coalesce(F.octet_length("props_json"), F.lit(0)) + 64
+    total = rows.agg(F.sum(width.cast("long"))).first()[0] or 0
+    n = int(max(1, -(-total // size), rows.sparkSession.sparkContext.defaultParallelism if total > size // 4 else 1))
+    step = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_merge_range, _OUT), "snapshot-merge")
+    changes = step.filter("kind = 'change'")
+    while n > together:
+        n = -(-n // together)
+        block = F.floor(F.col("place") / (4 * together))
+        edges = step.filter("kind = 'edge'").repartition(n, block).sortWithinPartitions("place")
+        step = materialize(edges.mapInArrow(_stitch(together), _OUT), "snapshot-edges")
+        changes = changes.union(step.filter("kind = 'change'"))
+    last = step.filter("kind = 'edge'").repartition(1).sortWithinPartitions("place").mapInArrow(_stitch(None), _OUT)
+    return changes.union(last.filter("kind = 'change'")).select("workspace", "seq", "stable_id", "change")
+
+
+def _rows(entities: DataFrame, known: DataFrame) -> DataFrame:
+    rows = entities.select("stable_id", "provenance_id", "ordinal", "labels", "props_json").filter(F.col("stable_id").isNotNull())
+    return lookup_join(rows, known, ["provenance_id"], "stable_id").filter("seq is not null").select("workspace", "stable_id", "seq", "ordinal", "labels", "props_json")
+
+
+def snapshot_changes(entities: DataFrame, provenance: DataFrame, size: int = RANGE_BYTES, together: int = TOGETHER) -> DataFrame:
     """The entities added, removed or changed between consecutive runs of a workspace.
 
     Columns: provenance_id (the later run), stable_id, change (``added``, ``removed``, ``changed``).
@@ -176,15 +209,65 @@ def snapshot_changes(entities: DataFrame, provenance: DataFrame) -> DataFrame:
     tables give an empty result; other columns are ignored.
     """
     known = runs(provenance)
-    rows = (
-        entities.select("stable_id", "provenance_id", "ordinal", "labels", "props_json")
-        .filter(F.col("stable_id").isNotNull())
-        .join(checked_broadcast(known), "provenance_id")
-        .select("workspace", "stable_id", "seq", "ordinal", "labels", "props_json")
-    )
-    order = ["workspace", "stable_id", "seq", "ordinal"]
-    merged = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_merge_range, _OUT)
-    merged = materialize(merged, "snapshot-merge")
-    border = merged.filter("kind = 'edge'").repartition(1).sortWithinPartitions("place").mapInArrow(_stitch, _OUT)
-    changes = merged.filter("kind = 'change'").union(border).select("workspace", "seq", "stable_id", "change")
+    changes = _compared(_rows(entities, known), size, together)
     return changes.join(checked_broadcast(known), ["workspace", "seq"]).select("provenance_id", "stable_id", "change")
+
+
+class SnapshotStore:
+    """The last snapshot of each workspace, kept in a folder range-partitioned and sorted by (workspace, stable_id,
+    ordinal), so that new runs are compared without reading the older ones again.
+
+    ``add`` takes the runs delivered since, all of whose rows must be there; a run at or before the kept one of its
+    workspace is refused. A new state is written beside the old one and becomes the current one by one small file, so a
+    failure leaves the old state; the one before it is kept for jobs that still read it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def state(self) -> int:
+        """The number of the current state, 0 if there is none."""
+        path, fs = self._at("")
+        if not fs.exists(path):
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return max((int(n.removeprefix("current-")) for n in names if n.startswith("current-")), default=0)
+
+    def rows(self) -> DataFrame | None:
+        """The kept rows with their run; None before the first ``add``."""
+        n = self.state()
+        return self.spark.read.parquet(f"{self.folder}/state-{n}") if n else None
+
+    def add(self, entities: DataFrame, provenance: DataFrame) -> DataFrame:
+        """The changes that the new runs bring, as ``snapshot_changes`` gives them."""
+        kept, n = self.rows(), self.state()
+        new = provenance.select("id", "metadata_json")
+        if kept is not None:
+            old = self.spark.read.parquet(f"{self.folder}/runs-{n}")
+            order = runs(old.withColumn("old", F.lit(1)).unionByName(new, allowMissingColumns=True))
+            order = materialize(order.join(old.select(F.col("id").alias("provenance_id"), F.lit(True).alias("old")), "provenance_id", "left"), "runs")
+            if not order.filter("old and seq > 1").isEmpty():
+                raise ValueError("a run isn't later than the kept one of its workspace")
+            entities = kept.select("stable_id", "provenance_id", "ordinal", "labels", "props_json").unionByName(entities.select("stable_id", "provenance_id", "ordinal", "labels", "props_json"))
+            new = old.union(new)
+        else:
+            order = materialize(runs(new), "runs")
+        rows = _rows(entities, order)
+        changes = materialize(_compared(rows, RANGE_BYTES, TOGETHER).join(checked_broadcast(order), ["workspace", "seq"]).select("provenance_id", "stable_id", "change"), "snapshot-changes")
+        last = order.groupBy("workspace").agg(F.max("seq").alias("seq")).join(order, ["workspace", "seq"]).select("workspace", "seq", "provenance_id")
+        last = last.join(new.groupBy(F.col("id").alias("provenance_id")).agg(F.min("metadata_json").alias("metadata_json")), "provenance_id")
+        last = materialize(last, "last-runs")
+        last.select(F.col("provenance_id").alias("id"), "metadata_json").write.parquet(f"{self.folder}/runs-{n + 1}")
+        state = rows.join(checked_broadcast(last.drop("metadata_json")), ["workspace", "seq"]).drop("seq")
+        by = ["workspace", "stable_id", "ordinal"]
+        state.repartitionByRange(*by).sortWithinPartitions(*by).write.option("compression", "zstd").parquet(f"{self.folder}/state-{n + 1}")
+        path, fs = self._at(f"current-{n + 1}")
+        fs.create(path, False).close()
+        for old_name in (f"current-{n - 1}", f"state-{n - 1}", f"runs-{n - 1}"):
+            path, fs = self._at(old_name)
+            fs.delete(path, True)
+        return changes

@@ -79,18 +79,11 @@ def test_found_equals_plain_python(spark, data, name, columns):
     assert Counter(map(tuple, df.collect())) == Counter(want)
 
 
-@pytest.mark.parametrize("partitions", ["1", "3", "40"])
-def test_snapshot_changes_on_dirt(spark, partitions):
+@pytest.mark.parametrize("size, together", [(1 << 30, 2), (400_000, 2), (10_000, 2), (10_000, 3), (10_000, 1000)])
+def test_snapshot_changes_on_dirt(spark, size, together):
+    """One range, a few, and hundreds, whose edges are merged in several steps or in one."""
     rows = dirty_entities()
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        df = snapshots.snapshot_changes(entities(spark, rows), provenance(spark))
-        found = got(df, "provenance_id", "stable_id", "change")
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = got(snapshots.snapshot_changes(entities(spark, rows), provenance(spark), size, together), "provenance_id", "stable_id", "change")
     clean = [r for r in as_dicts(rows, E_NAMES) if r["provenance_id"] != "unknown"]
     assert found == Counter(brute.p4(clean, P_DICTS))
 
@@ -99,17 +92,27 @@ def test_one_key_with_a_third_of_all_rows(spark):
     """Groups that span many ranges, of one entity whose rows add up differently in each run."""
     rows = [(n, f"id{n % 50}", ["A"], json.dumps({"v": n % 50}), "k", ("r1", "r2", "r3")[n // 200]) for n in range(600)]
     rows += [(1000 + n, "hot", [f"L{n % 7}"], json.dumps({f"k{n % 5}": n if run == "r3" else n % 5}), "k", run) for n, run in enumerate(["r1"] * 100 + ["r2"] * 100 + ["r3"] * 100)]
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "60")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        found = got(snapshots.snapshot_changes(entities(spark, rows), provenance(spark)), "provenance_id", "stable_id", "change")
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    found = got(snapshots.snapshot_changes(entities(spark, rows), provenance(spark), 1000, 4), "provenance_id", "stable_id", "change")
     assert found == Counter(brute.p4(as_dicts(rows, E_NAMES), P_DICTS)) == Counter({("r3", "hot", "changed"): 1})
 
 
+def test_snapshot_store_takes_run_after_run(spark, tmp_path):
+    """Each delivery is compared with the kept snapshot only; together they give what all runs at once give."""
+    rows = [r for r in dirty_entities() if r[5] != "unknown"]
+    store = snapshots.SnapshotStore(spark, f"file://{tmp_path}/kept")
+    assert store.rows() is None
+    found = Counter()
+    for some in (RUNS[:1] + RUNS[3:], RUNS[1:2], [("empty", "w", "2025-01-01T12:00:00Z")], RUNS[2:3]):
+        mine = [r for r in rows if r[5] in {i for i, *_ in some}]
+        found += got(store.add(entities(spark, mine), provenance(spark, some)), "provenance_id", "stable_id", "change")
+        assert {r["provenance_id"] for r in store.rows().select("provenance_id").distinct().collect()} <= {i for i, *_ in RUNS}
+    runs = [*RUNS, ("empty", "w", "2025-01-01T12:00:00Z")]
+    assert found == got(snapshots.snapshot_changes(entities(spark, rows), provenance(spark, runs)), "provenance_id", "stable_id", "change")
+    assert store.state() == 4 and len([x for x in (tmp_path / "kept").iterdir() if not x.name.startswith(".")]) == 6
+    with pytest.raises(ValueError):
+        store.add(entities(spark, []), provenance(spark, RUNS[1:2]))
+
+
 def test_drift_on_dirt(spark):
     rows = dirty_entities()
     found = got(schema_drift.drift(entities(spark, rows), provenance(spark)), "provenance_id", "source_kind", "change", "old_name", "new_name")
