@@ -6,8 +6,11 @@ from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ashlar.functions import json_projection as jp
 from ashlar.functions import tree_edit as te
 from ashlar.functions.merge_patch import composed, patched
 from ashlar.operators import canonical, hierarchy, references, schema_drift, skew, snapshots
@@ -137,22 +140,65 @@ def test_drift_finds_renames(spark):
     assert all("last~" in r["props"] and "old" not in r["props"] for r in table) and all("Came" in r["labels"] for r in table)
 
 
-def test_names_move_up_together():
-    import pyarrow as pa
+def test_plans_move_and_cast():
+    plan = jp.Plan({("a",): ("b",), ("b",): ("c",), ("s", "f"): ("s", "from"), ("s", "t"): ("t",), ("m",): ("s", "m"), ("l", "[]", "x"): ("l", "[]", "y")}, {("n",): ("number", ""), ("w",): ("object", "value")})
+    assert plan.apply('{"a":1,"b":2}') == {"b": "1", "c": "2"}
+    assert plan.apply('{"s":{"f":1.50,"t":2},"m":9}') == {"s": '{"from":1.50,"m":9}', "t": "2"}
+    assert plan.apply('{"l":[{"x":1},{"x":2,"y":3},4]}') == {"l": '[{"y":1},{"x":2,"y":3},4]'}
+    assert plan.apply('{"n":"12.50","w":"x"}') == {"n": "12.50", "w": '{"value":"x"}'}
+    assert plan.apply('{"n":"no","s":1,"m":2}') == {"n": '"no"', "s": "1", "m": "2"}  # what can't be done leaves the value
+    assert plan.apply("[]") is None and plan.apply("{") is None
+    again = jp.Plan.load(plan.dump())
+    assert (again.moves, again.casts) == (plan.moves, plan.casts)
 
-    batch = pa.RecordBatch.from_pylist(
-        [{"ordinal": 1, "provenance_id": "r", "source_kind": "k", "stable_id": "s", "labels": ["L"], "props_json": '{"a":1,"b":2}', "fields": [{"key": "a", "value": "b"}, {"key": "b", "value": "c"}]}]
-    )
-    assert next(schema_drift._renamed([batch])).column("props").to_pylist() == [[("b", "1"), ("c", "2")]]
-    assert schema_drift._compose([(2, "a", "b"), (3, "b", "c")], 3) == {3: {}, 2: {"b": "c"}, 1: {"a": "c"}}
-    assert schema_drift._compose([(2, "a", "b"), (2, "b", "a")], 2) == {2: {}, 1: {"a": "b", "b": "a"}}
+
+@pytest.mark.parametrize("value, want, found", [("1", "string", '"1"'), ("true", "number", "1"), ("0", "boolean", "false"), ("2", "boolean", "2"), ('"1e5"', "number", "1e5"), ('"x"', "list", '["x"]'), ('["x"]', "string", '"x"'), ('["x","y"]', "string", '["x","y"]'), ('{"value":3}', "number", "3"), ("null", "string", "null")])
+def test_casts_lose_nothing(value, want, found):
+    assert jp.Plan({}, {("k",): (want, "")}).apply('{"k":%s}' % value) == {"k": found}
+
+
+def test_members_keep_number_texts():
+    assert jp.members(' {"a": 1.50000000000000000001 , "b":"x\\u00fc","c":{"x": [1, 2.0,null]},"a":2e5} ') == {"a": "2e5", "b": '"xü"', "c": '{"x":[1,2.0,null]}'}
+    assert jp.members('{"k\\ud800":"\\ud800","e":""}') == {"k\\ud800": '"\\ud800"', "e": '""'} and jp.members("{ }") == {}
+    assert [jp.members(t) for t in ("", "{", "[1]", "null", '{"a":1} x', '{"a":}', '{"a" 1}', '{"a":1,}', "{1:2}")] == [None] * 9
+
+
+@given(st.dictionaries(st.text(), st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)), max_size=6))
+def test_members_of_any_object(value):
+    for source in (json.dumps(value), json.dumps(value, ensure_ascii=False, indent=1)):
+        assert {k: json.loads(v) for k, v in jp.members(source).items()} == value
+        assert jp.Plan({}, {}).apply(source) == jp.members(source)
+
+
+def test_one_table_for_all_workspaces(spark):
+    """Names with signs of paths, drift inside objects and of types, and a workspace that ends under another spelling."""
+    shapes = {
+        "r1": lambda i: {"a, b": i, "s/t": {"from": i, "unit": "x"}, "n": str(i)},
+        "r2": lambda i: {"c, d": i, "s/t": {"start": i, "unit": "x"}, "n": i},
+        "s1": lambda i: {"C_D": i, "s/t": {"start": i, "unit": "x"}, "n": {"value": i}},
+    }
+    rows = [(10 * k + i, f"e{i}", ["Old" if run == "r1" else "New", "Stay"], json.dumps(shape(i)), "k", run) for k, (run, shape) in enumerate(shapes.items()) for i in range(1, 6)]
+    rows += [(90 + i, f"f{i}", ["New"], json.dumps({"c, d": i, "n": i}), "k", "q1") for i in range(3)]
+    table = schema_drift.consistent_table(entities(spark, rows), provenance(spark, [*RUNS, ("q1", "u", "2025-01-01T00:00:00Z")])).collect()
+    assert len(table) == len(rows)
+    for r in table:
+        want = {"c, d": str(r["ordinal"] % 10), "n": str(r["ordinal"] % 10)}
+        if r["provenance_id"] != "q1":
+            want["s/t"] = '{"start":%d,"unit":"x"}' % (r["ordinal"] % 10)
+        assert r["props"] == want and r["labels"][0] == "New", r
+
+
+def test_fields_that_some_run_has_both_stay_apart(spark):
+    rows = [(n, f"e{n}", None, json.dumps({"max-size": n} if n < 3 else {"maxSize": n}), "k", "r1" if n < 6 else "s1") for n in range(9)]
+    got = {r["ordinal"]: r["props"] for r in schema_drift.consistent_table(entities(spark, rows), provenance(spark)).collect()}
+    assert got == {n: {"max-size": str(n)} if n < 3 else {"maxSize": str(n)} for n in range(9)}
 
 
 def test_consistent_table_keeps_values(spark):
     texts = ['{"a":1.50,"b":"x\\u00e9","c":[1,{"d":null}],"e":null}', None, "[1]", "no json", "null", "{}", '{"old":1,"new":2}']
     rows = [(n, f"e{n}", None, t, "k", "r1") for n, t in enumerate(texts)] + [(50 + n, f"v{n}", ["A"], json.dumps({"old": n}), "k", "r1") for n in range(3)] + [(90 + n, f"v{n}", ["A"], json.dumps({"new": n}), "k", "r2") for n in range(3)]
     got = {r["ordinal"]: r["props"] for r in schema_drift.consistent_table(entities(spark, rows), provenance(spark)).collect()}
-    assert got[0] == {"a": "1.5", "b": '"x\\u00e9"', "c": '[1,{"d":null}]', "e": "null"} and [got[i] for i in (1, 2, 3, 4, 5)] == [None, None, None, None, {}]
+    assert got[0] == {"a": "1.50", "b": '"xé"', "c": '[1,{"d":null}]', "e": "null"} and [got[i] for i in (1, 2, 3, 4, 5)] == [None, None, None, None, {}]
     assert got[6] == {"old": "1", "new": "2"} and len(got) == len(rows)
 
 
