@@ -5,14 +5,15 @@
    that the examples lack are found, and words of code, which go with every area, are not.
 3. Cues, over all documents: terms of sentences that name an area which the rest of the text never takes up.
 4. Chain: one logistic model per area on term and structure features and on the areas decided before it, calibrated on
-   held-out folds; a beam search finds the likeliest combination.
+   examples that neither its lexicon nor its models have seen; a beam search finds the likeliest combination.
+
+Texts are tokenised once; the three passes over them work on arrays of term codes.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.terms import sentences, terms
+from ashlar.llm.terms import sentences
+from ashlar.llm.tokens import HEADING, Words, as_batch, sums, tokenised
+from ashlar.runtime import materialize
 
 #: Labelled rows that are fitted on: all up to this many, else those with the least hashed ids.
 MOST_EXAMPLES = 20_000
-#: Terms of the lexicon, the most frequent ones: the size bound of what is sent to every task.
-MOST_TERMS = 50_000
+#: Every fifth example is held out for the calibration.
+HELD_OUT = 5
+#: Terms of the lexicon, and cues, that are sent to every task: the most frequent ones. The others, if there are more,
+#: are joined to the documents that have them.
+SENT_TERMS = 50_000
 #: A term enters from so many sentences shared with area terms, and this divergence from the base rate (in nats).
 LEAST_SEEN, LEAST_DIVERGENCE = 5, 0.9
 #: A term is a cue if at this rate its sentences name an area that the text has nowhere else; a mention passes by if
@@ -34,10 +40,8 @@ CUE_RATE, CUE_SHARE, AROUND = 0.5, 0.45, 4
 BEAM = 8
 #: Each area is one model of the chain; more are an error.
 MOST_AREAS = 1000
-_HELD = 200_000
-_FENCE = re.compile(r"^\s*```", re.M)
-_LIST = re.compile(r"^\s*[*+-] ", re.M)
-_HEADING = re.compile(r"^\s*#{1,6} .*$", re.M)
+#: Texts of a batch that are worked on together.
+TOGETHER = 2_000
 
 
 @dataclass
@@ -48,50 +52,44 @@ class Lexicon:
     shares: dict[str, np.ndarray]
     cues: set[str] = field(default_factory=set)
 
-
-@dataclass
-class Reading:
-    """The mentions in a text: by sentence, the area weights and the terms; headings stand apart."""
-
-    sentences: list[list[str]]
-    mentions: list[tuple[int, str]]
-    weights: np.ndarray
-    heading: list[str]
-
-
-def read(text: str, lexicon: Lexicon) -> Reading:
-    """Mentions weighted by what the term and the rest of the text say together (so an ambiguous term follows its text)."""
-    heading = [t for h in _HEADING.findall(text) for t in terms(h)]
-    found = sentences(_HEADING.sub("", text))
-    mentions = [(i, t) for i, s in enumerate(found) for t in s if t in lexicon.shares]
-    if not mentions:
-        return Reading(found, [], np.zeros((0, len(lexicon.areas))), heading)
-    kinds = {t: i for i, t in enumerate(dict.fromkeys(t for _, t in mentions))}
-    of = np.array([kinds[t] for _, t in mentions])
-    q = np.array([lexicon.shares[t] for t in kinds])
-    n = np.bincount(of).astype(float)[:, None]
-    r = q
-    for _ in range(6):  # each term goes by the other terms of the text, not by its own repetitions
-        told = n * r
-        r = q * (told.sum(0) - told + 0.05)
-        r /= r.sum(1, keepdims=True)
-    return Reading(found, mentions, r[of], heading)
-
-
-def passing(reading: Reading, lexicon: Lexicon) -> list[bool]:
+    def with_rest(self, rest: dict[str, np.ndarray | None]) -> Lexicon:
+        """With further terms (None for cues), those of one batch."""
+        if not rest:
+            return self
+        more = {t: s for t, s in rest.items() if s is not None}
+        return Lexicon(self.areas, self.shares | more, self.cues | {t for t, s in rest.items() if s is None and t not in more})
+
+
+class Mentions:
+    """The area terms of a batch: ``at`` (places among its words) and ``weights`` (by area)."""
+
+    def __init__(self, words: Words, lexicon: Lexicon):
+        known = [(i, lexicon.shares[t]) for i, t in enumerate(words.terms) if t in lexicon.shares]
+        self.known = np.zeros(words.size, bool)
+        self.known[[i for i, _ in known]] = True
+        k = len(lexicon.areas)
+        q = np.zeros((words.size, k))
+        if known:
+            q[[i for i, _ in known]] = [s for _, s in known]
+        self.at = np.flatnonzero(self.known[words.code]) if words.size else np.zeros(0, np.int64)
+        key, self.kind, n = np.unique(words.doc[self.at] * max(words.size, 1) + words.code[self.at], return_inverse=True, return_counts=True)
+        doc, q = key // max(words.size, 1), q[key % max(words.size, 1)] if words.size else np.zeros((0, k))
+        r, n = q, n[:, None]
+        for _ in range(6):  # each term goes by the other terms of the text, not by its own repetitions
+            told = n * r
+            r = q * (sums(told, doc, words.docs)[doc] - told + 0.05)
+            r = r / r.sum(1, keepdims=True)
+        self.weights = r[self.kind]
+
+
+def passing(words: Words, mentions: Mentions, lexicon: Lexicon) -> np.ndarray:
     """For each mention, whether it is made in passing."""
-    if not lexicon.cues:
-        return [False] * len(reading.mentions)
-    at: dict[int, list[int]] = {}
-    out = []
-    for i, t in reading.mentions:
-        s = reading.sentences[i]
-        place = s.index(t, at[i][-1] + 1 if i in at else 0)
-        at.setdefault(i, []).append(place)
-        around = s[max(0, place - AROUND) : place] + s[place + 1 : place + 1 + AROUND]
-        cues = sum(x in lexicon.cues for x in around)
-        out.append(bool(around) and cues >= CUE_SHARE * len(around))
-    return out
+    cue = np.array([t in lexicon.cues for t in words.terms], bool)[words.code] if words.size else np.zeros(0, bool)
+    before = np.concatenate([[0], np.cumsum(cue)])
+    at, sent = mentions.at, words.sent[mentions.at]
+    low, high = np.maximum(words.begins[sent], at - AROUND), np.minimum(words.ends[sent], at + AROUND + 1)
+    cues, around = before[high] - before[low] - cue[at], high - low - 1
+    return (around > 0) & (cues > 0) & (cues >= CUE_SHARE * around)
 
 
 def seeds(texts: list[str], labels: np.ndarray, langs: list[str]) -> dict[str, np.ndarray]:
@@ -101,7 +99,7 @@ def seeds(texts: list[str], labels: np.ndarray, langs: list[str]) -> dict[str, n
     total, area_of = Counter(langs), defaultdict(lambda: np.zeros(labels.shape[1]))
     for text, y, lang in zip(texts, labels, langs):
         area_of[lang] += y
-        for t in {t for s in sentences(_HEADING.sub("", text)) for t in s}:
+        for t in {t for s in sentences(HEADING.sub("", text)) for t in s}:
             seen[t] += 1
             by_area[t] += y
             in_lang[t][lang] += 1
@@ -111,7 +109,7 @@ def seeds(texts: list[str], labels: np.ndarray, langs: list[str]) -> dict[str, n
             continue
         base = sum(area_of[lang] * k / total[lang] for lang, k in in_lang[t].items()) / n
         share = (by_area[t] + base) / (n + 1)
-        first, second = np.argsort(-share)[:2]
+        first, second = np.argsort(-share)[:2] if len(share) > 1 else (0, 0)
         z = (by_area[t][first] - n * base[first]) / np.sqrt(n * base[first] * (1 - base[first]) + 1e-9)
         if (share[first] >= 0.7 and z >= 2.5) or (share[first] + share[second] >= 0.85 and z >= 5 and n >= 10):
             rest = np.maximum(share - base, 0) + 1e-3
@@ -119,142 +117,180 @@ def seeds(texts: list[str], labels: np.ndarray, langs: list[str]) -> dict[str, n
     return out
 
 
-def _sums(df: DataFrame, function, names: list[str]) -> DataFrame:
-    """Sums by term of what ``function`` gathers in each task."""
-    rows = df.select("text").filter("text is not null").mapInArrow(function, "term string, " + ", ".join(f"{n} double" for n in names))
-    return rows.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+Counted = tuple[np.ndarray, np.ndarray]
 
 
-def _gather(one, width: int, names: list[str]):
-    """Runs ``one(text, add)`` over the texts of a task and hands on sums by term."""
+def company(words: Words, lexicon: Lexicon) -> Counted:
+    """For each term (its code, and sums over sentences), the areas of the other mentions in its sentences."""
+    m = Mentions(words, lexicon)
+    n = len(words.begins)
+    sent = words.sent[m.at]
+    whole = sums(m.weights, sent, n)
+    with_mention = np.zeros(n, bool)
+    with_mention[sent] = True
+    here = with_mention[words.sent]
+    size = max(words.size, 1)
+    pair = np.unique(words.sent[here] * size + words.code[here])
+    own = sums(m.weights, np.searchsorted(pair, sent * size + words.code[m.at]), len(pair))
+    others = whole[pair // size] - own
+    total = others.sum(1)
+    kept = total > 0.3
+    terms, at = np.unique(pair[kept] % size, return_inverse=True)
+    return terms, sums(others[kept] / total[kept, None], at, len(terms))
 
-    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-
-        def add(term: str, value: np.ndarray) -> None:
-            if term in held:
-                held[term] += value
-            else:
-                held[term] = value.copy()
-
-        def emit() -> pa.RecordBatch:
-            table = np.array(list(held.values())) if held else np.zeros((0, width))
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *[pa.array(table[:, i]) for i in range(width)]], ["term", *names])
-            held.clear()
-            return batch
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                one(text, add)
-            if len(held) > _HELD:
-                yield emit()
-        yield emit()
-
-    return over
-
-
-def _company(lexicon):
-    """For each term, the areas of the other mentions in its sentences."""
-
-    def one(text: str, add) -> None:
-        r = read(text, lexicon.value)
-        if not r.mentions:
-            return
-        by: dict[int, np.ndarray] = {}
-        own: dict[tuple[int, str], np.ndarray] = {}
-        for (i, t), w in zip(r.mentions, r.weights):
-            by[i] = by[i] + w if i in by else w
-            own[i, t] = own[i, t] + w if (i, t) in own else w
-        for i, whole in by.items():
-            for t in set(r.sentences[i]):
-                others = whole - own[i, t] if (i, t) in own else whole
-                total = others.sum()
-                if total > 0.3:
-                    add(t, others / total)
-
-    return one
-
-
-def _isolated(lexicon):
+
+def isolated(words: Words, lexicon: Lexicon) -> Counted:
     """For each term that is no area term, the sentences with a mention, and those whose area the text has nowhere else."""
+    m = Mentions(words, lexicon)
+    n = len(words.begins)
+    sent = words.sent[m.at]
+    by = sums(m.weights, sent, n)
+    with_mention = np.zeros(n, bool)
+    with_mention[sent] = True
+    rest = sums(m.weights, words.doc[m.at], words.docs)[words.doc_of] - by
+    with_mention &= rest.sum(1) >= 2
+    alone = ((rest < 0.25) * by).sum(1) / np.maximum(by.sum(1), 1e-300)
+    here = with_mention[words.sent] & ~m.known[words.code] if words.size else np.zeros(0, bool)
+    size = max(words.size, 1)
+    pair = np.unique(words.sent[here] * size + words.code[here])
+    terms, at = np.unique(pair % size, return_inverse=True)
+    return terms, sums(np.column_stack([np.ones(len(pair)), alone[pair // size]]), at, len(terms))
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, TOGETHER):
+            yield b.slice(at, TOGETHER)
+
+
+def _rest(piece: pa.RecordBatch, which: int) -> dict[str, np.ndarray | None]:
+    """The further terms that a batch's documents were joined with, for the lexicon of this number."""
+    if "rest" not in piece.schema.names:
+        return {}
+    found = {}
+    for some in piece.column("rest").to_pylist():
+        for r in some or ():
+            if r["which"] == which:
+                found.setdefault(r["term"], np.array(r["shares"]) if r["shares"] is not None else None)
+    return found
+
+
+def _counts(tokens: DataFrame, count: Callable[[Words, Lexicon], Counted], lexicons: list[Lexicon], width: int) -> DataFrame:
+    """term and the sums c0, c1, ... of what ``count`` gives by term, ``width`` for each of the lexicons."""
+    sent = tokens.sparkSession.sparkContext.broadcast(lexicons)
+    names = [f"c{i}" for i in range(width * len(lexicons))]
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            words = Words(piece.column("body"))
+            table, seen = np.zeros((words.size, len(names))), np.zeros(words.size, bool)
+            for j, lexicon in enumerate(sent.value):
+                terms, values = count(words, lexicon.with_rest(_rest(piece, j)))
+                table[terms, j * width : (j + 1) * width] = values
+                seen[terms] = True
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([words.terms[i] for i in at], pa.string()), *[pa.array(table[at, i]) for i in range(len(names))]], ["term", *names])
+
+    rows = tokens.mapInArrow(over, "term string, " + ", ".join(f"{n} double" for n in names))
+    return rows.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
 
-    def one(text: str, add) -> None:
-        r = read(text, lexicon.value)
-        total = r.weights.sum(0)
-        by: dict[int, np.ndarray] = {}
-        for (i, _), w in zip(r.mentions, r.weights):
-            by[i] = by[i] + w if i in by else w
-        for i, w in by.items():
-            rest = total - w
-            if rest.sum() < 2:
-                continue
-            value = np.array([1.0, float((rest < 0.25) @ (w / w.sum()))])
-            for t in set(r.sentences[i]):
-                if t not in lexicon.value.shares:
-                    add(t, value)
-
-    return one
-
-
-def grow(documents: DataFrame, areas: list[str], start: dict[str, np.ndarray]) -> Lexicon:
-    """The lexicon over all documents, from seeds."""
-    sc = documents.sparkSession.sparkContext
+
+def _with_rest(tokens: DataFrame, rest: list[DataFrame]) -> DataFrame:
+    """``tokens`` with the column rest: those terms of tables too large to be sent (term, which, shares) that a document has.
+
+    The join is shuffled by term; the frequent terms were sent, so none of these is hot.
+    """
+    if not rest:
+        return tokens
+    table = rest[0]
+    for r in rest[1:]:
+        table = table.unionByName(r)
+    words = tokens.select("row", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "body", "heading"), " "))).alias("term"))
+    found = words.join(table, "term").groupBy("row").agg(F.collect_list(F.struct("term", "which", "shares")).alias("rest"))
+    return materialize(tokens.join(found, "row", "left"), "tokens")
+
+
+def _split(kept: DataFrame, most: int, examples: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that are sent, the ``most`` most frequent ones by n and those of the examples' terms, and the others if
+    there are any."""
+    if kept.count() <= most:
+        return kept, None
+    frequent = kept.orderBy(F.desc("n"), "term").limit(most)
+    sent = materialize(frequent.union(kept.join(F.broadcast(examples), "term", "left_semi")).distinct(), "sent-terms")
+    return sent, kept.join(sent.select("term"), "term", "left_anti")
+
+
+def grow(tokens: DataFrame, areas: list[str], starts: list[dict[str, np.ndarray]], texts: list[str], most: int = SENT_TERMS) -> tuple[list[Lexicon], DataFrame]:
+    """The lexicons over all documents, one from each set of seeds, and the tokens with what these lack as ``rest``. They
+    lack no term of ``texts``, the examples."""
     k = len(areas)
-    names = [f"c{i}" for i in range(k)]
-    lexicon = sc.broadcast(Lexicon(areas, start))
-    counts = _sums(documents, _gather(_company(lexicon), k, names), names).cache()
-    base = counts.agg(*[F.sum(n) for n in names]).first()
-    base = np.array([x or 0.0 for x in base]) + 1e-9
-    base /= base.sum()
-    n = sum((F.col(c) for c in names), F.lit(0.0))
-    share = [(F.col(c) + float(b)) / (n + 1) for c, b in zip(names, base)]
-    divergence = sum((p * F.log(p / float(b)) for p, b in zip(share, base)), F.lit(0.0))
-    kept = counts.withColumn("n", n).filter((n >= LEAST_SEEN) & (divergence >= LEAST_DIVERGENCE))
-    kept = kept.orderBy(F.desc("n"), "term").limit(MOST_TERMS).select("term", "n", *names).toArrow()
-    counts.unpersist()
-    table = np.array([kept.column(c).to_numpy() for c in names]).T
-    shares = {t: (v + base) / (v.sum() + 1) for t, v in zip(kept.column("term").to_pylist(), table)}
-    shares = {t: shares.get(t, v) for t, v in start.items()} | shares
-    grown = Lexicon(areas, shares)
-    lexicon = sc.broadcast(grown)
-    cues = _sums(documents, _gather(_isolated(lexicon), 2, ["n", "alone"]), ["n", "alone"])
-    cues = cues.filter((F.col("n") >= LEAST_SEEN) & (F.col("alone") >= CUE_RATE * F.col("n"))).orderBy(F.desc("n"), "term").limit(MOST_TERMS)
-    grown.cues = {r["term"] for r in cues.select("term").collect()}
-    return grown
-
-
-def features(text: str, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """A row of term features for each area, and the structure features of the text."""
-    k = len(lexicon.areas)
-    x = np.zeros((k, 8))
-    r = read(text, lexicon)
-    shape = np.array([bool(_FENCE.search(text)), bool(_LIST.search(text)), bool(r.heading), np.log1p(len(r.sentences)) / 4], float)
-    for t in r.heading:
-        if t in lexicon.shares:
-            x[:, 7] = np.maximum(x[:, 7], lexicon.shares[t])
-    if not r.mentions:
-        return x, shape
-    by: dict[int, np.ndarray] = {}
-    kinds = defaultdict(set)
-    passed = np.zeros(k)
-    for (i, t), w, by_the_way in zip(r.mentions, r.weights, passing(r, lexicon)):
-        if by_the_way:
-            passed += w
-        else:
-            by[i] = by[i] + w if i in by else w
-            kinds[int(w.argmax())].add(t)
-    taken = sum((np.minimum(w, 1) for w in by.values()), np.zeros(k))
-    told = sum(by.values(), np.zeros(k))
-    x[:, 0] = np.minimum(told, 1)
-    x[:, 1] = np.minimum(taken, 1)
-    x[:, 2] = np.clip(taken - 1, 0, 1)
-    x[:, 3] = np.log1p(np.clip(taken - 2, 0, None))
-    x[:, 4] = told / max(told.sum(), 1)
-    x[:, 5] = np.minimum(passed, 2)
-    x[:, 6] = [min(len(kinds[a]), 3) / 3 for a in range(k)]
+    own = as_batch(texts)
+    own = {t for c in ("body", "heading") for t in Words(own.column(c)).terms}
+    own = tokens.sparkSession.createDataFrame([(t,) for t in sorted(own)], "term string")
+    counts = materialize(_counts(tokens, company, [Lexicon(areas, s) for s in starts], k), "company")
+    lexicons, rest = [], []
+    for j, start in enumerate(starts):
+        names = [f"c{i}" for i in range(j * k, (j + 1) * k)]
+        base = np.array([x or 0.0 for x in counts.agg(*[F.sum(n) for n in names]).first()]) + 1e-9
+        base /= base.sum()
+        n = sum((F.col(c) for c in names), F.lit(0.0))
+        share = [(F.col(c) + float(b)) / (n + 1) for c, b in zip(names, base)]
+        divergence = sum((p * F.log(p / float(b)) for p, b in zip(share, base)), F.lit(0.0))
+        kept = counts.withColumn("n", n).filter((n >= LEAST_SEEN) & (divergence >= LEAST_DIVERGENCE)).select("term", "n", F.array(*share).alias("shares"))
+        sent, others = _split(kept, most, own)
+        shares = {r["term"]: np.array(r["shares"]) for r in sent.select("term", "shares").toLocalIterator()}
+        if others is not None:
+            rest.append(others.select("term", F.lit(j).alias("which"), "shares"))
+        lexicons.append(Lexicon(areas, {t: shares.get(t, v) for t, v in start.items()} | shares))
+    tokens = _with_rest(tokens, rest)
+    cues = materialize(_counts(tokens, isolated, lexicons, 2), "cues")
+    more = []
+    for j, lexicon in enumerate(lexicons):
+        n, alone = F.col(f"c{2 * j}"), F.col(f"c{2 * j + 1}")
+        sent, others = _split(cues.filter((n >= LEAST_SEEN) & (alone >= CUE_RATE * n)).select("term", n.alias("n")), most, own)
+        lexicon.cues = {r["term"] for r in sent.select("term").toLocalIterator()}
+        if others is not None:
+            more.append(others.select("term", F.lit(j).alias("which"), F.lit(None).cast("array<double>").alias("shares")))
+    return lexicons, _with_rest(tokens.drop("rest"), rest + more) if more else tokens
+
+
+def batch_features(piece: pa.RecordBatch, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of a batch a row of term features for each area, and its structure features."""
+    words, k, d = Words(piece.column("body")), len(lexicon.areas), piece.num_rows
+    x = np.zeros((d, k, 8))
+    heading = Words(piece.column("heading"))
+    shape = np.column_stack([
+        piece.column("fence").to_numpy(zero_copy_only=False), piece.column("list").to_numpy(zero_copy_only=False),
+        np.bincount(heading.doc, minlength=d) > 0, np.log1p(words.sentences) / 4,
+    ]).astype(float)
+    for doc, code in zip(heading.doc, heading.code):
+        if heading.terms[code] in lexicon.shares:
+            x[doc, :, 7] = np.maximum(x[doc, :, 7], lexicon.shares[heading.terms[code]])
+    m = Mentions(words, lexicon)
+    by_the_way = passing(words, m, lexicon)
+    passed = sums(m.weights[by_the_way], words.doc[m.at[by_the_way]], d)
+    at, weights = m.at[~by_the_way], m.weights[~by_the_way]
+    by = sums(weights, words.sent[at], len(words.begins))
+    taken, told = sums(np.minimum(by, 1), words.doc_of, d), sums(by, words.doc_of, d)
+    if len(at):
+        key = np.unique((words.doc[at] * k + weights.argmax(1)) * words.size + words.code[at]) // words.size
+        kinds = np.bincount(key, minlength=d * k).reshape(d, k)
+    else:
+        kinds = np.zeros((d, k))
+    x[:, :, 0] = np.minimum(told, 1)
+    x[:, :, 1] = np.minimum(taken, 1)
+    x[:, :, 2] = np.clip(taken - 1, 0, 1)
+    x[:, :, 3] = np.log1p(np.clip(taken - 2, 0, None))
+    x[:, :, 4] = told / np.maximum(told.sum(1, keepdims=True), 1)
+    x[:, :, 5] = np.minimum(passed, 2)
+    x[:, :, 6] = np.minimum(kinds, 3) / 3
     return x, shape
 
 
+def features(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    return batch_features(as_batch(texts), lexicon)
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Weights of a logistic model (last: the constant) by Newton steps with a ridge penalty."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -312,17 +348,16 @@ class Chain:
         return out
 
 
-def _fit_chain(lexicon: Lexicon, data: list, y: np.ndarray) -> Chain:
+def _fit_chain(lexicon: Lexicon, x: np.ndarray, shape: np.ndarray, y: np.ndarray) -> Chain:
     k = len(lexicon.areas)
     order = list(np.argsort(-y.sum(0), kind="stable"))
-    x = np.array([d[0] for d in data])
     pooled = _fit(x.reshape(-1, x.shape[2]), y.reshape(-1), 1.0)
     chain = Chain(lexicon, order, pooled, [], np.array([1.0, 0.0]))
     scores = _score(x, pooled)
     for j, area in enumerate(order):
-        before = np.zeros((len(data), k))
+        before = np.zeros((len(x), k))
         before[:, :j] = y[:, order[:j]]
-        rows = np.array([chain.link(s, d[1], b) for s, d, b in zip(scores[:, area], data, before)])
+        rows = np.array([chain.link(s, f, b) for s, f, b in zip(scores[:, area], shape, before)])
         # the pooled score is kept as an offset of weight about 1: only deviations from it are penalised
         chain.links.append(_fit_offset(rows, y[:, area], 8.0))
     return chain
@@ -343,28 +378,42 @@ def _fit_offset(rows: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
-def train(lexicon: Lexicon, texts: list[str], labels: np.ndarray, folds: int = 5) -> Chain:
-    """The chain on labelled texts; its calibration from folds held out in turn."""
-    data = [features(t, lexicon) for t in texts]
-    chain = _fit_chain(lexicon, data, labels)
-    if len(texts) >= 10 * folds:
-        z, y = [], []
-        for f in range(folds):
-            out = np.arange(len(texts)) % folds == f
-            part = _fit_chain(lexicon, [d for d, o in zip(data, out) if not o], labels[~out])
-            for i in np.nonzero(out)[0]:
-                s = _score(data[i][0], part.pooled)
-                before = np.zeros(labels.shape[1])
-                for j, area in enumerate(part.order):
-                    z.append(float(_score(part.link(s[area], data[i][1], before)[None], part.links[j])[0]))
-                    y.append(labels[i, area])
-                    before[j] = labels[i, area]
-        chain.calibration = _fit(np.array(z)[:, None], np.array(y), 1e-3)
-    return chain
+def calibration(chain: Chain, x: np.ndarray, shape: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Slope and constant of the chain's scores, from texts that it hasn't seen."""
+    z, y = [], []
+    scores = _score(x, chain.pooled)
+    for i in range(len(x)):
+        before = np.zeros(labels.shape[1])
+        for j, area in enumerate(chain.order):
+            z.append(float(_score(chain.link(scores[i, area], shape[i], before)[None], chain.links[j])[0]))
+            y.append(labels[i, area])
+            before[j] = labels[i, area]
+    return _fit(np.array(z)[:, None], np.array(y), 1e-3)
 
 
-def fit(documents: DataFrame, examples: DataFrame, areas: DataFrame, most_examples: int = MOST_EXAMPLES) -> Chain | None:
-    """The model from labelled examples and the terms of all documents; None if there is no area or no example.
+def train(tokens: DataFrame, areas: list[str], texts: list[str], labels: np.ndarray, langs: list[str], most: int = SENT_TERMS) -> tuple[Chain, DataFrame]:
+    """The chain on labelled texts and the tokens of all documents; also these tokens as the chain reads them.
+
+    Its calibration comes from a chain whose lexicon, models and all haven't seen the held-out texts.
+    """
+    out = np.arange(len(texts)) % HELD_OUT == HELD_OUT - 1
+    some = lambda which: ([t for t, w in zip(texts, which) if w], labels[which], [g for g, w in zip(langs, which) if w])
+    starts = [seeds(texts, labels, langs)]
+    if out.sum() >= 10:
+        starts.append(seeds(*some(~out)))
+    lexicons, tokens = grow(tokens, areas, starts, texts, most)
+    chain = _fit_chain(lexicons[0], *features(texts, lexicons[0]), labels)
+    if len(lexicons) > 1:
+        fitted, _, _ = some(~out)
+        held, y, _ = some(out)
+        part = _fit_chain(lexicons[1], *features(fitted, lexicons[1]), labels[~out])
+        chain.calibration = calibration(part, *features(held, lexicons[1]), y)
+    return chain, tokens
+
+
+def fit(documents: DataFrame, examples: DataFrame, areas: DataFrame, most_examples: int = MOST_EXAMPLES, most: int = SENT_TERMS) -> tuple[Chain, DataFrame] | None:
+    """The model from labelled examples and the terms of all documents, and the documents' tokens; None if there is no
+    area or no example.
 
     Labels that are no area count as none; null texts are left out.
     """
@@ -376,39 +425,36 @@ def fit(documents: DataFrame, examples: DataFrame, areas: DataFrame, most_exampl
     if not names or not rows:
         return None
     labels = np.array([[float(a in r["areas"]) for a in names] for r in rows])
-    texts = [r["text"] for r in rows]
-    lexicon = grow(documents, names, seeds(texts, labels, [r["lang"] for r in rows]))
-    return train(lexicon, texts, labels)
+    return train(tokenised(documents), names, [r["text"] for r in rows], labels, [r["lang"] for r in rows], most)
 
 
-def predict(documents: DataFrame, chain: Chain | None) -> DataFrame:
-    """doc_id and area, one row for each area of a document."""
-    if chain is None:
-        return documents.select("doc_id", F.lit("").alias("area")).limit(0)
-    model = documents.sparkSession.sparkContext.broadcast(chain)
+def predict(tokens: DataFrame, chain: Chain) -> DataFrame:
+    """doc_id and area, one row for each area of a document, from its tokens."""
+    model = tokens.sparkSession.sparkContext.broadcast(chain)
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = model.value
-        for b in batches:
-            docs, xs, shapes = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                x, shape = features(text, c.lexicon)
-                if x.any():  # a text without any term of an area has none
-                    docs.append(doc), xs.append(x), shapes.append(shape)
-            found = np.argwhere(c.decode(np.array(xs), np.array(shapes))) if docs else []
-            ids, names = [docs[i] for i, _ in found], [c.lexicon.areas[a] for _, a in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], ["doc_id", "area"])
+        for piece in _pieces(batches):
+            x, shape = batch_features(piece, c.lexicon.with_rest(_rest(piece, 0)))
+            with_terms = np.flatnonzero(x.any((1, 2)))  # a text without any term of an area has none
+            found = np.argwhere(c.decode(x[with_terms], shape[with_terms]))
+            ids = piece.column("doc_id").take(pa.array(with_terms[found[:, 0]]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([c.lexicon.areas[a] for a in found[:, 1]], pa.string())], ["doc_id", "area"])
 
-    return documents.select("doc_id", "text").filter("text is not null").mapInArrow(over, "doc_id long, area string")
+    return tokens.mapInArrow(over, "doc_id long, area string")
 
 
-def subject_areas(documents: DataFrame, examples: DataFrame, areas: DataFrame) -> DataFrame:
+def subject_areas(documents: DataFrame, examples: DataFrame, areas: DataFrame, most: int = SENT_TERMS) -> DataFrame:
     """doc_id, area: the areas that each document treats.
 
     Null, empty and blank texts, and texts without a term of an area, have none. Whole texts are read. Repeated rows
     come out repeatedly. Other columns are ignored; examples have no ``source``, so it is no feature.
     """
-    return predict(documents, fit(documents, examples, areas))
+    fitted = fit(documents, examples, areas, most=most)
+    if fitted is None:
+        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("area")).limit(0)
+    chain, tokens = fitted
+    return predict(tokens, chain)
 
 
 def area_shares(found: DataFrame, documents: DataFrame) -> DataFrame:

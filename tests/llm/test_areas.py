@@ -6,6 +6,7 @@ import pytest
 from ashlar.llm import areas
 from ashlar.llm.queries import ORACLE_SQL, QUERIES
 from ashlar.llm.terms import sentences, terms
+from ashlar.llm.tokens import Words, as_batch, tokenised
 
 DOC = "doc_id long, text string, area string, term string, n long"
 
@@ -28,26 +29,43 @@ def test_held_out_accuracy(tables):
     labels = np.array([[float(a in (r["areas"] or ())) for a in names] for r in rows])
     order = np.random.default_rng(0).permutation(len(rows))
     fit, out = order[:450], order[450:]
-    lexicon = areas.grow(docs, names, areas.seeds([rows[i]["text"] for i in fit], labels[fit], [rows[i]["lang"] for i in fit]))
-    chain = areas.train(lexicon, [rows[i]["text"] for i in fit], labels[fit])
-    got = [areas.features(rows[i]["text"], lexicon) for i in out]
-    y = chain.decode(np.array([x for x, _ in got]), np.array([s for _, s in got]))
+    texts, langs = [r["text"] for r in rows], [r["lang"] or "" for r in rows]
+    pick = lambda x, at: [x[i] for i in at]
+    chain, _ = areas.train(tokenised(docs), names, pick(texts, fit), labels[fit], pick(langs, fit))
+    y = chain.decode(*areas.features(pick(texts, out), chain.lexicon))
     both = (y * labels[out]).sum()
     assert both / y.sum() > 0.88 and both / labels[out].sum() > 0.88  # some labels are wrong
 
 
 def test_dirt_has_no_area(spark, tables):
     docs, examples, names = tables
-    chain = areas.fit(docs, examples, names)
+    chain, _ = areas.fit(docs, examples, names)
     texts = [None, "", "  \n", "n/a", "TBD wip", "The compiler and the linker broke the bytecode. The bundler needs a mutex.", "The judge read the verdict. " * 30_000, "\u0000�👩‍💻"]
     found = {}
-    for r in areas.predict(documents(spark, texts), chain).collect():
+    for r in areas.predict(tokenised(documents(spark, texts)), chain).collect():
         found.setdefault(r["doc_id"], set()).add(r["area"])
     assert found == {5: {"software"}, 6: {"law"}}
-    twice = areas.predict(documents(spark, texts[5:6]).union(documents(spark, texts[5:6])), chain)
+    twice = areas.predict(tokenised(documents(spark, texts[5:6]).union(documents(spark, texts[5:6]))), chain)
     assert twice.count() == 2
 
 
+def test_terms_that_are_not_sent_are_joined(tables):
+    """With room for few terms in what every task gets, the same documents have the same areas."""
+    found = [sorted(map(tuple, areas.subject_areas(*tables, most=n).collect())) for n in (areas.SENT_TERMS, 40)]
+    assert found[0] == found[1] and found[0]
+
+
+def test_words_of_a_batch():
+    texts = ["One two. Two three!", "", "# Head line\n\n- four five\n```x```", "..."]
+    batch = as_batch(texts)
+    w = Words(batch.column("body"))
+    assert [(w.terms[c], d, s) for c, d, s in zip(w.code, w.doc, w.sent)] == [("one", 0, 0), ("two", 0, 0), ("two", 0, 1), ("three", 0, 1), ("four", 2, 2), ("five", 2, 2)]
+    assert w.sentences.tolist() == [2, 0, 1, 0] and w.begins.tolist() == [0, 2, 4] and w.ends.tolist() == [2, 4, 6]
+    assert batch.column("heading").to_pylist() == ["", "", "head line", ""] and batch.column("list").to_pylist() == [False, False, True, False]
+    none = Words(as_batch([]).column("body"))
+    assert none.size == 0 and len(none.sent) == 0
+
+
 def test_empty_tables(spark, tables):
     docs, examples, names = tables
     none = documents(spark, [])
@@ -81,7 +99,9 @@ def test_beam_finds_the_likeliest_combination():
 
 def test_passing_mentions():
     lexicon = areas.Lexicon(["a", "b"], {"garlic": np.array([0.99, 0.01]), "loan": np.array([0.01, 0.99])}, {"word", "old", "comment", "only", "metaphor"})
-    x, _ = areas.features("The loan is due. The word garlic in the old comment was only a metaphor.", lexicon)
+    x, _ = areas.features(["nothing", "The loan is due. The word garlic in the old comment was only a metaphor."], lexicon)
+    assert not x[0].any()
+    x = x[1]
     assert x[1, 1] > 0.9 and x[0, 1] < 0.1 and x[0, 5] > 0.9
 
 
