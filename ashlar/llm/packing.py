@@ -19,6 +19,8 @@ CAPACITY = 2048
 WINDOW = 1024
 #: Containers that stay open for the next window.
 OPEN = 64
+#: Rows of a range of the curve, about: one task packs it.
+RANGE_ROWS = 500_000
 
 
 def _project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +111,14 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, p
     """
     points = materialize(encoding.encode(documents, path).mapInArrow(_project, "row long, doc_id long, n_tokens long, " + ", ".join(f"x{i} double" for i in range(curve.DIMENSIONS))), "points")
     dims = range(curve.DIMENSIONS)
-    some = points.filter("n_tokens > 0").agg(*[F.avg(f"x{i}") for i in dims], *[F.stddev_pop(f"x{i}") for i in dims]).first()
-    mean, deviation = np.array([[x or 0.0 for x in some[: len(dims)]], [x or 0.0 for x in some[len(dims) :]]])
+    some = points.filter("n_tokens > 0").agg(F.count(F.lit(1)), *[F.avg(f"x{i}") for i in dims], *[F.stddev_pop(f"x{i}") for i in dims]).first()
+    rows, *some = [x or 0.0 for x in some]
+    mean, deviation = np.array([some[: len(dims)], some[len(dims) :]])
+    # as many ranges as the rows ask for; few rows are still spread over the cores
+    n = int(max(1, -(-rows // RANGE_ROWS), min(documents.sparkSession.sparkContext.defaultParallelism, rows // (16 * window))))
     keyed = points.mapInArrow(_key(mean, deviation), "row long, doc_id long, n_tokens long, curve long")
     order = ["curve", "n_tokens", "row"]
-    ranges = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return ranges.mapInArrow(_pack(capacity, window), "container_id long, row long, doc_id long, piece long, pieces long, start long, n_tokens long")
 
 
