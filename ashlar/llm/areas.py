@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ CUE_RATE, CUE_SHARE, AROUND = 0.5, 0.45, 4
 BEAM = 8
 #: Each area is one model of the chain; more are an error.
 MOST_AREAS = 1000
-#: Texts of a batch that are worked on together.
-TOGETHER = 2_000
+#: Texts that are worked on together, and their bytes of terms (a longer one is worked on alone).
+TOGETHER, TOGETHER_BYTES = 2_000, 8 << 20
 
 
 @dataclass
@@ -128,9 +129,9 @@ def company(words: Words, lexicon: Lexicon) -> Counted:
     whole = sums(m.weights, sent, n)
     with_mention = np.zeros(n, bool)
     with_mention[sent] = True
-    here = with_mention[words.sent]
     size = max(words.size, 1)
-    pair = np.unique(words.sent[here] * size + words.code[here])
+    pair = words.pairs()
+    pair = pair[with_mention[pair // size]]
     own = sums(m.weights, np.searchsorted(pair, sent * size + words.code[m.at]), len(pair))
     others = whole[pair // size] - own
     total = others.sum(1)
@@ -150,17 +151,23 @@ def isolated(words: Words, lexicon: Lexicon) -> Counted:
     rest = sums(m.weights, words.doc[m.at], words.docs)[words.doc_of] - by
     with_mention &= rest.sum(1) >= 2
     alone = ((rest < 0.25) * by).sum(1) / np.maximum(by.sum(1), 1e-300)
-    here = with_mention[words.sent] & ~m.known[words.code] if words.size else np.zeros(0, bool)
     size = max(words.size, 1)
-    pair = np.unique(words.sent[here] * size + words.code[here])
+    pair = words.pairs()
+    pair = pair[with_mention[pair // size]]
+    pair = pair[~m.known[pair % size]] if words.size else pair
     terms, at = np.unique(pair % size, return_inverse=True)
     return terms, sums(np.column_stack([np.ones(len(pair)), alone[pair // size]]), at, len(terms))
 
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, TOGETHER):
-            yield b.slice(at, TOGETHER)
+        ends = np.cumsum(pc.binary_length(b.column("body")).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER_BYTES, "right"))
+            to = min(max(to, at + 1), at + TOGETHER)
+            yield b.slice(at, to - at)
+            at = to
 
 
 def _rest(piece: pa.RecordBatch, which: int) -> dict[str, np.ndarray | None]:

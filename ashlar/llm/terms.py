@@ -9,6 +9,7 @@ import unicodedata
 _WORD = re.compile(r"[^\W_]+(?:-[^\W\d_]+)*")
 _HUMP = re.compile(r"(?<=[^\W\d_A-ZÀ-ÖØ-Þ])(?=[A-ZÀ-ÖØ-Þ])|(?<=\d)(?=[^\W\d_])")
 _END = re.compile(r"[\n\r]+|(?<=[.?!)])\s+")
+_WORD_OR_END = re.compile(f"{_WORD.pattern}|{_END.pattern}")
 _INVISIBLE = re.compile("[\u200b\u200c\u200d\ufeff\u00ad]")
 
 
@@ -38,8 +39,35 @@ def terms(sentence: str) -> list[str]:
     return [part for word in _WORD.findall(sentence) for part in _parts(word)]
 
 
+#: Stands between sentences; no term is a single sign.
+MARK = "."
+_MOST_KEPT = 200_000
+
+
+class _Spelled(dict):
+    """The terms of a word, and the mark of an end, by what was matched."""
+
+    def __missing__(self, match: str) -> str:
+        found = " ".join(_parts(match)) if match[0].isalnum() else MARK
+        if len(self) >= _MOST_KEPT:
+            self.clear()
+        self[match] = found
+        return found
+
+
+_spelled = _Spelled()
+
+
+def clean(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+
+
+def sequence(text: str) -> str:
+    """What ``sentences`` gives, as one text: terms and marks, with a space between; some are empty."""
+    return " ".join(map(_spelled.__getitem__, _WORD_OR_END.findall(clean(text))))
+
+
 def sentences(text: str) -> list[list[str]]:
     """The terms of each sentence or line, empty ones left out."""
-    text = text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    found = (terms(s) for s in _END.split(text))
+    found = (terms(s) for s in _END.split(clean(text)))
     return [t for t in found if t]

@@ -11,11 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.terms import sentences, terms
+from ashlar.llm.terms import MARK, sequence, terms
 from ashlar.runtime import materialize
 
-#: Stands between sentences; no term is a single sign.
-MARK = "."
 _FENCE = re.compile(r"^\s*```", re.M)
 _LIST = re.compile(r"^\s*[*+-] ", re.M)
 HEADING = re.compile(r"^\s*#{1,6} .*$", re.M)
@@ -24,8 +22,8 @@ _FIELDS = [("row", pa.int64()), ("doc_id", pa.int64()), ("body", pa.string()), (
 
 def read(text: str) -> tuple[str, str, bool, bool]:
     """The terms of a text by sentence, those of its headings, and whether it has fenced code and lists."""
-    heading = [t for h in HEADING.findall(text) for t in terms(h)]
-    body = f" {MARK} ".join(" ".join(s) for s in sentences(HEADING.sub("", text) if heading or "#" in text else text))
+    heading = [t for h in HEADING.findall(text) for t in terms(h)] if "#" in text else []
+    body = sequence(HEADING.sub("", text) if "#" in text else text)
     return body, " ".join(heading), bool(_FENCE.search(text)), bool(_LIST.search(text))
 
 
@@ -69,9 +67,9 @@ class Words:
         self.size = len(self.terms)
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(self.docs), lengths)
-        gap = np.isin(codes, [i for i, t in enumerate(self.terms) if t in ("", MARK)])
-        part = (np.cumsum(gap) + doc)[~gap]
-        self.code, self.doc = codes[~gap], doc[~gap]
+        kept = ~np.isin(codes, [i for i, t in enumerate(self.terms) if t in ("", MARK)])
+        part = (np.cumsum(np.isin(codes, [i for i, t in enumerate(self.terms) if t == MARK])) + doc)[kept]
+        self.code, self.doc = codes[kept], doc[kept]
         new = np.ones(len(part), bool)
         new[1:] = part[1:] != part[:-1]
         self.sent = np.cumsum(new) - 1
@@ -79,3 +77,10 @@ class Words:
         self.ends = np.append(self.begins[1:], len(part)).astype(np.int64)
         self.doc_of = self.doc[self.begins]
         self.sentences = np.bincount(self.doc_of, minlength=self.docs)
+        self._pairs = None
+
+    def pairs(self) -> np.ndarray:
+        """The distinct terms of each sentence, as sentence * size + code, sorted."""
+        if self._pairs is None:
+            self._pairs = np.unique(self.sent * max(self.size, 1) + self.code)
+        return self._pairs

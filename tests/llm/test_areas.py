@@ -5,7 +5,7 @@ import pytest
 
 from ashlar.llm import areas
 from ashlar.llm.queries import ORACLE_SQL, QUERIES
-from ashlar.llm.terms import sentences, terms
+from ashlar.llm.terms import MARK, sentences, sequence, terms
 from ashlar.llm.tokens import Words, as_batch, tokenised
 
 DOC = "doc_id long, text string, area string, term string, n long"
@@ -110,6 +110,26 @@ def test_terms_of_identifiers():
     assert sentences("One two.\nThree​four! ") == [["one", "two"], ["threefour"]]
 
 
+@pytest.mark.parametrize("text", ["", "  ", "One two.\nThree​four! 12 x_y", "e.g. (so) it\r\n\r\n# goes", "a-b-c loadLedger2Go. ÄpfelBirnen ¡qué! ﬁve 漢字。仮名", "...", "1.5 2,5\n", "naïve co\u00adoperate"])
+def test_sequences_are_sentences(text):
+    assert _split(sequence(text)) == sentences(text)
+
+
+def test_sequences_of_all_documents(tables):
+    for r in tables[0].filter("text is not null").collect():
+        assert _split(sequence(r["text"])) == sentences(r["text"])
+
+
+def _split(found):
+    out = [[]]
+    for t in found.split(" "):
+        if t == MARK:
+            out.append([])
+        elif t:
+            out[-1].append(t)
+    return [s for s in out if s]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, data, name):
     df = QUERIES[name](spark, data)
