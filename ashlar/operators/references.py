@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ashlar.functions.ids import key128, normalize_id
 from ashlar.operators.hierarchy import CHILD_TO_PARENT, PARENT_TO_CHILD
 from ashlar.operators.skew import Salted, lookup_join, salted_left_join
-from ashlar.runtime import WorkTable
+from ashlar.runtime import WorkTable, materialize
 from ashlar.sources.tables import runs
 
 ENDPOINTS = ("from_id", "to_id")
@@ -62,11 +62,11 @@ def _direct(relationships: DataFrame, entities: DataFrame, provenance: DataFrame
 class Orphans:
     """The fixpoint over the references of all runs.
 
-    ``references``: ordinal, provenance_id, rel_type, endpoint, state and level. Level 1 are the direct orphans: the
+    ``direct`` (level 1) and ``references`` (all levels): ordinal, provenance_id, rel_type, endpoint, state and level. Level 1 are the direct orphans: the
     endpoint is no entity of its row's run, and ``state`` is ``deleted`` if an earlier run of the workspace has the
     entity, else ``late`` if a later one has, else ``missing``. Level n + 1 are parent links whose parent is a record
     orphaned at level n; their state is ``inherited``. A parent link makes its child a record orphaned at its level
-    (the least one counts), if the child is an entity of the run.
+    (the least one counts), if the child is an entity of the run; ``records`` gives these.
 
     Each round joins the newest orphaned records with the links by a semi-join and takes those seen before out by an
     anti-join, so cycles end; it goes on until a round brings nothing new, however deep that is. The links of a heavy
@@ -77,16 +77,16 @@ class Orphans:
     """
 
     def __init__(self, relationships: DataFrame, entities: DataFrame, provenance: DataFrame):
-        self.entities = entities
-        first = WorkTable(_direct(relationships, entities, provenance), "orphans").df
-        named = entities.filter(F.col("stable_id").isNotNull()).select(*key128("provenance_id", normalize_id("stable_id")))
-        child = first.filter("c1 is not null").select(F.col("c1").alias("k1"), F.col("c2").alias("k2")).distinct()
-        newest = WorkTable(child.join(named, ["k1", "k2"], "left_semi").withColumn("level", F.lit(1)), "orphaned")
-        records, self.references = [newest], first.select(*_REFERENCE)
+        self.relationships, self.entities = relationships, entities
+        self.direct = WorkTable(_direct(relationships, entities, provenance), "orphans").df
+        self.named = entities.filter(F.col("stable_id").isNotNull()).select(*key128("provenance_id", normalize_id("stable_id")))
+        child = self.direct.filter("c1 is not null").select(F.col("c1").alias("k1"), F.col("c2").alias("k2")).distinct()
+        newest = WorkTable(child.join(self.named, ["k1", "k2"], "left_semi").withColumn("level", F.lit(1)), "orphaned")
+        records = [newest]
         if not newest.df.isEmpty():
-            links = self._links(relationships, named)
+            inner = self._inner()
             for level in count(2):
-                reached = links.semi(_as_parents(newest.df)).select("k1", "k2").distinct()
+                reached = inner.semi(_as_parents(newest.df)).select("k1", "k2").distinct()
                 reached = reached.join(_union([t.df for t in records]), ["k1", "k2"], "left_anti")
                 newest = WorkTable(reached.withColumn("level", F.lit(level)), "orphaned")
                 if newest.df.isEmpty():
@@ -97,34 +97,52 @@ class Orphans:
                     for t in records[:-1]:
                         t.drop()
                     records = [whole, newest]
-            below = links.inner(_as_parents(_union([t.df for t in records]), "level"))
-            below = below.withColumn("level", F.col("level") + 1).withColumn("state", F.lit("inherited"))
-            self.references = self.references.unionByName(below.select(*_REFERENCE))
-        self.keys = _union([t.df for t in records])
-
-    @staticmethod
-    def _links(relationships: DataFrame, named: DataFrame) -> Salted:
-        """The parent links whose child is an entity: keys of child and parent, and what ``references`` needs."""
+        #: Keys and levels of the orphaned records, of those that are nobody's parent only the direct ones.
+        self.parents = _union([t.df for t in records])
+        self._below = None
+
+    def _ends(self) -> DataFrame:
+        """The parent links: keys of child and parent, and what ``references`` needs."""
         up = _child_end() == "from_id"
-        rows = relationships.filter(_child_end().isNotNull() & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
+        rows = self.relationships.filter(_child_end().isNotNull() & F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
         end = lambda a, b, names: [k.alias(n) for k, n in zip(key128("provenance_id", F.when(up, normalize_id(a)).otherwise(normalize_id(b))), names)]
-        rows = rows.select(
+        return rows.select(
             "ordinal", "provenance_id", "rel_type", F.when(up, "to_id").otherwise("from_id").alias("endpoint"),
             *end("from_id", "to_id", ("k1", "k2")), *end("to_id", "from_id", ("p1", "p2")),
         )
-        return Salted(rows.join(named, ["k1", "k2"], "left_semi"), ["p1", "p2"], "ordinal")
+
+    def _inner(self) -> Salted:
+        """The distinct links whose child is an entity and a parent itself: most children are nobody's parent and take
+        their level from their parents in the end, so only these are gone over in each round."""
+        ends = materialize(self._ends().select("k1", "k2", "p1", "p2").distinct(), "links")
+        parents = ends.select(F.col("p1").alias("k1"), F.col("p2").alias("k2")).distinct()
+        return Salted(ends.join(parents, ["k1", "k2"], "left_semi").join(self.named, ["k1", "k2"], "left_semi"), ["p1", "p2"], "k1")
+
+    @property
+    def below(self) -> DataFrame:
+        """The parent links of inherited orphans, with the keys of their children: one more join over all links."""
+        if self._below is None:
+            links = Salted(self._ends().join(self.named, ["k1", "k2"], "left_semi"), ["p1", "p2"], "ordinal")
+            found = links.inner(_as_parents(self.parents, "level")).withColumn("level", F.col("level") + 1)
+            self._below = materialize(found.withColumn("state", F.lit("inherited")), "inherited")
+        return self._below
+
+    @property
+    def references(self) -> DataFrame:
+        return self.direct.select(*_REFERENCE).unionByName(self.below.select(*_REFERENCE))
 
     def records(self) -> DataFrame:
         """The entities that hang below a record that does not exist: provenance_id, stable_id, kind (``direct``: a
         parent is no entity of the run; ``inherited``: a parent is itself orphaned) and level (1 for direct ones)."""
+        keys = self.parents.unionByName(self.below.select("k1", "k2", "level")).groupBy("k1", "k2").agg(F.min("level").alias("level"))
         named = self.entities.filter(F.col("stable_id").isNotNull()).select("provenance_id", normalize_id("stable_id").alias("stable_id"))
-        named = named.withColumns(dict(zip(("k1", "k2"), key128("provenance_id", "stable_id"))))
-        named = named.join(self.keys, ["k1", "k2"]).select("provenance_id", "stable_id", "level").distinct()
-        return named.select("provenance_id", "stable_id", F.when(F.col("level") == 1, "direct").otherwise("inherited").alias("kind"), "level")
+        named = named.withColumns(dict(zip(("k1", "k2"), key128("provenance_id", "stable_id")))).join(keys, ["k1", "k2"])
+        kind = F.when(F.col("level") == 1, "direct").otherwise("inherited")
+        return named.select("provenance_id", "stable_id", kind.alias("kind"), "level").distinct()
 
     def report(self) -> DataFrame:
         """Counts by run: references by rel_type, endpoint and state (kind ``reference``), and orphaned records by kind."""
-        refs = self.references.filter("state <> 'inherited'").groupBy("provenance_id", "rel_type", "endpoint", "state")
+        refs = self.direct.groupBy("provenance_id", "rel_type", "endpoint", "state")
         refs = refs.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("reference"))
         below = self.records().groupBy("provenance_id", "kind").agg(F.count(F.lit(1)).alias("n"))
         return refs.unionByName(below, allowMissingColumns=True)

@@ -45,7 +45,7 @@ def p2_keys(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The direct orphans: the first round of the fixpoint."""
     e, r, p = _graph(spark, d)
-    return references.Orphans(r, e, p).references.filter("state <> 'inherited'").select("ordinal", "endpoint", "state")
+    return references.Orphans(r, e, p).direct.select("ordinal", "endpoint", "state")
 
 
 def p3_cascade(spark: SparkSession, d: str) -> DataFrame:
