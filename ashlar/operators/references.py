@@ -36,7 +36,7 @@ def _direct(relationships: DataFrame, entities: DataFrame, provenance: DataFrame
     """The first round: ``_REFERENCE`` of each endpoint that is no entity of its row's run, and the other end's key.
 
     Both sides are shuffled once, by a 16-byte key of workspace and id; the references of a heavy key are salted, so
-    that no task gets them all.
+    that no task gets them all. Heavy keys are looked for among the ids as written first, which costs no normalisation.
     """
     known = runs(provenance)
     key = lambda c: key128("workspace", normalize_id(c))
@@ -51,11 +51,11 @@ def _direct(relationships: DataFrame, entities: DataFrame, provenance: DataFrame
     for end, other in (ENDPOINTS, ENDPOINTS[::-1]):
         # the child of the link, where the parent is what is referred to
         child = [F.when(_child_end() == other, k).alias(n) for k, n in zip(key128("provenance_id", normalize_id(other)), ("c1", "c2"))]
-        side = rows.filter(F.col(end).isNotNull()).select("ordinal", "provenance_id", "rel_type", F.lit(end).alias("endpoint"), "seq", *key(end), *child)
+        side = rows.filter(F.col(end).isNotNull()).select("ordinal", "provenance_id", "rel_type", F.lit(end).alias("endpoint"), "seq", F.col(end).alias("written"), *key(end), *child)
         refs = side if refs is None else refs.union(side)
     at: Column = F.col("at")
     state = F.when(F.array_min(at) < F.col("seq"), "deleted").when(F.array_max(at) > F.col("seq"), "late").otherwise("missing")
-    orphans = salted_left_join(refs, present, ["k1", "k2"], "ordinal").filter(at.isNull() | ~F.array_contains(at, F.col("seq")))
+    orphans = salted_left_join(refs, present, ["k1", "k2"], "ordinal", by="written").filter(at.isNull() | ~F.array_contains(at, F.col("seq")))
     return orphans.withColumn("state", state).withColumn("level", F.lit(1)).select(*_REFERENCE, "c1", "c2")
 
 

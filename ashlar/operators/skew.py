@@ -16,18 +16,23 @@ MOST_SALTS = 4096
 CELLS = 65_536
 
 
-def heavy_keys(rows: DataFrame, keys: list[str], share: float = HEAVY_SHARE, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def heavy_keys(rows: DataFrame, keys: list[str], share: float = HEAVY_SHARE, rows_per_salt: int = ROWS_PER_SALT, by: str | None = None) -> DataFrame:
     """The keys that hold at least ``share`` of the rows, with their number of salts; at most ``1 / share`` rows.
 
     Exact counts, in two passes: rows by ``CELLS`` hash cells first, which shuffles next to nothing; a heavy key lies in
     a heavy cell, and only keys of such cells, of which there are few too, are counted themselves. Partial counts per
     task come before the shuffle, so no task gets a heavy key's rows.
+
+    ``by``: a column to take the cells from where the keys are dear to compute; a key whose rows have several values of
+    it (spellings) is sure to be found if it holds the share with one of them.
     """
-    cell = F.pmod(F.xxhash64(*keys), F.lit(CELLS)).alias("_cell")
-    cells = materialize(rows.groupBy(cell).agg(F.count(F.lit(1)).alias("n")), "cells")
+    cell = F.pmod(F.xxhash64(*([by] if by else keys)), F.lit(CELLS))
+    cells = materialize(rows.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")), "cells")
     least = max(2, int((cells.agg(F.sum("n")).first()[0] or 0) * share))
+    heavy = [r["_cell"] for r in cells.filter(F.col("n") >= least).select("_cell").collect()]  # 1 / share at most
     salts = F.least(F.lit(MOST_SALTS), F.greatest(F.lit(2), F.ceil(F.col("n") / rows_per_salt))).cast("int")
-    inside = rows.withColumn("_cell", cell).join(F.broadcast(cells.filter(F.col("n") >= least).select("_cell")), "_cell", "left_semi")
+    # literals, so that the filter goes below whatever computes the keys
+    inside = rows.filter(cell.isin(heavy))
     return inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(*keys, salts.alias("salts"))
 
 
@@ -71,13 +76,18 @@ def salted_summary(
     return out.select(*keys, *results)
 
 
-def salted_left_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: str, share: float = HEAVY_SHARE, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def salted_left_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: str, share: float = HEAVY_SHARE, rows_per_salt: int = ROWS_PER_SALT, by: str | None = None) -> DataFrame:
     """``rows`` left-joined with ``other`` (unique keys), with the rows of heavy keys spread over salts.
 
     The salt of a row is drawn from the hash of ``spread``; ``other``'s rows of heavy keys, at most ``1 / share``, come
-    once for each of their salts. No row is lost or doubled. Null keys match nothing.
+    once for each of their salts. No row is lost or doubled. Null keys match nothing. ``by``: see ``heavy_keys``; the
+    column isn't kept.
     """
-    heavy = materialize(heavy_keys(rows.select(*keys).na.drop(), keys, share, rows_per_salt), "heavy-keys")
+    some = rows.select(*keys, *([by] if by else []))
+    for k in keys:
+        some = some.filter(F.col(k).isNotNull()) if rows.schema[k].nullable else some
+    heavy = materialize(heavy_keys(some, keys, share, rows_per_salt, by), "heavy-keys")
+    rows = rows.drop(by) if by else rows
     salt = F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("salts")).cast("int"), F.lit(0)).alias("salt")
     mine = rows.join(F.broadcast(heavy), keys, "left").select(*rows.columns, salt)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
