@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 #: coordinates, and a suffix follows only where the text behind them isn't one more number.
 COORDINATE = r"^(.*):(\d+):(\d+):(\d+):(\d+)(?::(.*))?\z"
 
+#: No backslash, no number that begins with a zero, at most four colons.
+_PLAIN = r"^[^:\\]*+(?::(?!0\d)[^:\\]*+){0,4}+\z"
+#: Of what ends with its four numbers: a path and lines from 1 on; and the zeros that these numbers begin with.
+_VALID = r"^.+:0*[1-9]\d*:\d+:0*[1-9]\d*:\d+\z"
+_ZEROS = r"(?<=:)0+(?=\d+(?::\d+){0,3}\z)"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -28,21 +34,18 @@ def normalize_id(c: Column | str, source_path: Column | str | None = None) -> Co
 
     With ``source_path`` (the file that the id is known to lie in), a path that ends with it becomes it, so prefixes go.
 
-    Ids without a backslash, a leading zero and more than four colons can't change and skip the pattern.
+    Ids without a backslash, a leading zero and more than four colons can't change and skip the other patterns. The
+    expression is kept short, as generated code beyond some size isn't compiled.
     """
     c = _col(c)
-    few = F.length(c) - F.length(F.replace(c, F.lit(":"), F.lit(""))) <= 4
-    plain = ~F.contains(c, F.lit("\\")) & few & ~c.rlike(r":0\d")
-    s = _slashed(c)
-    part = lambda i: F.regexp_extract(s, COORDINATE, i)
-    number = lambda i: F.regexp_replace(part(i), r"^0+(?=\d)", "")
-    valid = s.rlike(COORDINATE) & (part(1) != "") & part(2).rlike("[1-9]") & part(4).rlike("[1-9]")
-    path = part(1)
+    plain, s = c.rlike(_PLAIN), _slashed(c)
+    bare = F.regexp_replace(s, COORDINATE, "$1:$2:$3:$4:$5")
     if source_path is not None:
         known = _slashed(_col(source_path))
-        path = F.when((known != "") & F.endswith(path, known), known).otherwise(path)
+        path = F.regexp_extract(bare, r"^(.*)(?::\d+){4}\z", 1)
+        bare = F.when((known != "") & F.endswith(path, known), F.concat(known, F.substring(bare, F.length(path) + 1, F.length(bare)))).otherwise(bare)
         plain = plain & F.coalesce(known == "", F.lit(True))
-    return F.when(plain, c).when(valid, F.concat_ws(":", path, *[number(i) for i in (2, 3, 4, 5)])).otherwise(s)
+    return F.when(plain, c).when(bare.rlike(_VALID), F.regexp_replace(bare, _ZEROS, "")).otherwise(s)
 
 
 def coordinate(c: Column | str) -> Column:

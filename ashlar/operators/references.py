@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ashlar.functions.ids import key128, normalize_id
 from ashlar.operators.hierarchy import CHILD_TO_PARENT, PARENT_TO_CHILD
 from ashlar.operators.skew import Salted, lookup_join, salted_left_join
-from ashlar.runtime import WorkTable, materialize
+from ashlar.runtime import WorkTable, materialize, together
 from ashlar.sources.tables import runs
 
 ENDPOINTS = ("from_id", "to_id")
@@ -87,18 +87,13 @@ class Orphans:
             inner = self._inner()
             for level in count(2):
                 reached = inner.semi(_as_parents(newest.df)).select("k1", "k2").distinct()
-                reached = reached.join(_union([t.df for t in records]), ["k1", "k2"], "left_anti")
+                reached = reached.join(together(records).select("k1", "k2"), ["k1", "k2"], "left_anti")
                 newest = WorkTable(reached.withColumn("level", F.lit(level)), "orphaned")
                 if newest.df.isEmpty():
                     break
                 records.append(newest)
-                if len(records) > 8:  # one table again, so that plans stay small
-                    whole = WorkTable(_union([t.df for t in records[:-1]]), "orphaned")
-                    for t in records[:-1]:
-                        t.drop()
-                    records = [whole, newest]
         #: Keys and levels of the orphaned records, of those that are nobody's parent only the direct ones.
-        self.parents = _union([t.df for t in records])
+        self.parents = together(records)
         self._below = None
 
     def _ends(self) -> DataFrame:
@@ -150,10 +145,3 @@ class Orphans:
 
 def _as_parents(keys: DataFrame, *more: str) -> DataFrame:
     return keys.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), *more)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

@@ -107,18 +107,18 @@ class Salted:
 
     def __init__(self, rows: DataFrame, keys: list[str], spread: str, share: float = HEAVY_SHARE, rows_per_salt: int = ROWS_PER_SALT):
         self.keys = keys
-        rows = materialize(rows, "salted")
-        self.heavy = materialize(heavy_keys(rows.select(*keys).na.drop(), keys, share, rows_per_salt), "heavy-keys")
-        salt = F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("salts")).cast("int"), F.lit(0)).alias("salt")
-        self.rows = rows.join(F.broadcast(self.heavy), keys, "left").select(*rows.columns, salt)
+        self.rows = materialize(rows, "salted")
+        self.heavy = materialize(heavy_keys(self.rows.select(*keys).na.drop(), keys, share, rows_per_salt), "heavy-keys")
+        self.salt = F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("salts")).cast("int"), F.lit(0)).alias("salt")
 
     def _join(self, other: DataFrame, how: str) -> DataFrame:
         small = checked_broadcast(other)
         if small is not other:
-            return self.rows.join(small, self.keys, how).drop("salt")
+            return self.rows.join(small, self.keys, how)
         copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
         other = other.join(F.broadcast(self.heavy), self.keys, "left").select(*other.columns, copies)
-        return self.rows.join(other, [*self.keys, "salt"], how).drop("salt")
+        mine = self.rows.join(F.broadcast(self.heavy), self.keys, "left").select(*self.rows.columns, self.salt)
+        return mine.join(other, [*self.keys, "salt"], how).drop("salt")
 
     def semi(self, wanted: DataFrame) -> DataFrame:
         """The rows whose key is among ``wanted`` (distinct keys). A set counted to be small is broadcast; of a large one

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ashlar.runtime import WorkTable
+from ashlar.runtime import WorkTable, together
 
 
 def _clean(edges: DataFrame, *more: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 class _Seen:
-    """Rows found so far, as few tables."""
+    """Rows found so far, a table for each round; all are read by one scan."""
 
     def __init__(self, first: DataFrame, name: str):
         self.name, self.tables = name, [WorkTable(first, name)]
@@ -38,19 +38,14 @@ class _Seen:
 
     @property
     def df(self) -> DataFrame:
-        return _union([t.df for t in self.tables])
+        return together(self.tables)
 
     def add(self, rows: DataFrame) -> bool:
         """Takes the next round's rows; False (and nothing kept) if there are none."""
-        step = WorkTable(rows, self.name)
+        step = WorkTable(rows.select(*self.tables[0].df.columns), self.name)
         if step.df.isEmpty():
             step.drop()
             return False
-        if len(self.tables) >= 8:
-            merged = WorkTable(self.df, self.name)
-            for t in self.tables:
-                t.drop()
-            self.tables = [merged]
         self.tables.append(step)
         return True
 

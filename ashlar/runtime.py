@@ -66,6 +66,13 @@ def clear_work(spark: SparkSession) -> int:
     return len(paths)
 
 
+def together(tables: list[WorkTable]) -> DataFrame:
+    """The rows of work tables of one schema by one scan, so that plans, and the code generated for them, stay the same
+    however many tables there are."""
+    spark = tables[0].spark
+    return spark.read.schema(tables[0].df.schema).parquet(*[t.path for t in tables])
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     return WorkTable(df, name).df
 
