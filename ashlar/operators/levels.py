@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.operators.components import SMALL_CORE, strongly_connected
-from ashlar.operators.traversal import reachable
 from ashlar.runtime import WorkTable, materialize
 
 #: Relationship types whose source depends on the target, those of the other direction, and those that
@@ -46,18 +45,22 @@ def dependency_edges(edges: DataFrame) -> DataFrame:
     return rows.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst")).distinct()
 
 
-def _small_waves(base: int):
-    """The levels of a small rest of a graph from ``base`` on: rows (src, dst) are edges, (src, null) nodes."""
+def _small_waves(base: int, marks: list[str]):
+    """The levels of a small rest of a graph from ``base`` on: rows (src, dst) are edges, (src, null) nodes with marks."""
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         consumers: dict = {}
         need: dict = {}
+        bits: dict = {}
         kind = pa.string()
         for b in batches:
             kind = b.column("src").type
-            for s, t in zip(b.column("src").to_pylist(), b.column("dst").to_pylist()):
+            own = list(zip(*[b.column(m).to_pylist() for m in marks])) if marks else [()] * b.num_rows
+            for s, t, m in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), own):
                 need.setdefault(s, 0)
-                if t is not None:
+                if t is None:
+                    bits[s] = list(m)
+                else:
                     need[s] += 1
                     consumers.setdefault(t, []).append(s)
         level = {n: base for n, k in need.items() if not k}
@@ -66,11 +69,14 @@ def _small_waves(base: int):
             t = queue.popleft()
             for s in consumers.get(t, ()):
                 need[s] -= 1
+                for i, m in enumerate(bits[t]):
+                    bits[s][i] |= m
                 if not need[s]:  # waves come in order, so the last prerequisite met is a highest one
                     level[s] = level[t] + 1
                     queue.append(s)
         names = list(need)
-        yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array([level.get(n, -1) for n in names], pa.int32())], ["node", "level"])
+        found = [pa.array(names, kind), pa.array([level.get(n, -1) for n in names], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*found, *[pa.array([bits[n][i] for n in names], pa.bool_()) for i in range(len(marks))]], ["node", "level", *marks])
 
     return over
 
@@ -109,40 +115,51 @@ def reconciled(levels: DataFrame, published: DataFrame) -> DataFrame:
     return found.unionByName(mixed.filter("n > 0").select(F.lit("mixed component").alias("problem"), "n"))
 
 
-def waves(edges: DataFrame, nodes: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
+def waves(edges: DataFrame, nodes: DataFrame, small_core: int = SMALL_CORE, marks: tuple[str, ...] = ()) -> DataFrame:
     """node, level: 0 without prerequisites, else 1 + the greatest level among them; -1 on a cycle or above one.
 
+    ``marks``: boolean columns of ``nodes``; they come out true for a node that has the mark itself or needs, however
+    indirectly, one that has it (not for nodes of level -1, whose marks are their own and those of finished ones).
+
     One round per level: a node is done once its last prerequisite was; edges into a finished level are dropped, so
     each round reads fewer. Once the nodes still open and the edges among them are counted to be few, one task finishes them.
     Parallel edges and repeated nodes count once; a self-loop is a cycle.
     """
     live = WorkTable(edges.select("src", "dst").na.drop().distinct(), "wave-edges")
-    nodes = nodes.select("node").na.drop().union(live.df.select("src")).union(live.df.select("dst")).distinct()
+    unmarked = [F.lit(False).alias(m) for m in marks]
+    nodes = nodes.select("node", *[F.coalesce(m, F.lit(False)).alias(m) for m in marks]).filter("node is not null")
+    nodes = nodes.union(live.df.select("src", *unmarked)).union(live.df.select("dst", *unmarked))
+    nodes = nodes.groupBy("node").agg(*[F.bool_or(m).alias(m) for m in marks]) if marks else nodes.distinct()
     need = live.df.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need"))
-    open_ = WorkTable(nodes.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need")), "waves")
+    open_ = WorkTable(nodes.join(need, "node", "left").select("node", F.coalesce("need", F.lit(0)).alias("need"), *marks), "waves")
+    left, among = open_.df.count(), live.df.count()
     done, level = [], 0
     while True:
-        if open_.df.count() + live.df.count() <= small_core:  # the ends of live edges are open
-            rest = live.df.select("src", "dst").union(open_.df.select(F.col("node").alias("src"), F.lit(None).alias("dst")))
+        if left + among <= small_core:  # the ends of live edges are open
+            none = [F.lit(None).cast("boolean").alias(m) for m in marks]
+            rest = live.df.select("src", "dst", *none).union(open_.df.select(F.col("node").alias("src"), F.lit(None).alias("dst"), *marks))
             kind = rest.schema["src"].dataType.simpleString()
-            done.append(rest.repartition(1).mapInArrow(_small_waves(level), f"node {kind}, level int"))
+            done.append(rest.repartition(1).mapInArrow(_small_waves(level, list(marks)), f"node {kind}, level int" + "".join(f", {m} boolean" for m in marks)))
             return _union(done)
-        ready = WorkTable(open_.df.filter("need = 0").select("node").withColumn("level", F.lit(level)), "waves").df
-        if ready.isEmpty():
+        ready = WorkTable(open_.df.filter("need = 0").select("node", F.lit(level).alias("level"), *marks), "waves").df
+        finished = ready.count()
+        if not finished:
             break
         done.append(ready)
-        newest = ready.select(F.col("node").alias("dst"))
-        met = live.df.join(newest, "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("met"))
-        rest = open_.df.filter("need > 0").join(met, "node", "left").select("node", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"))
+        newest = ready.select(F.col("node").alias("dst"), *[F.col(m).alias(f"_{m}") for m in marks])
+        met = live.df.join(newest, "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("met"), *[F.bool_or(f"_{m}").alias(f"_{m}") for m in marks])
+        rest = open_.df.filter("need > 0").join(met, "node", "left")
+        rest = rest.select("node", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), *[(F.col(m) | F.coalesce(f"_{m}", F.lit(False))).alias(m) for m in marks])
         rest = WorkTable(rest, "waves")
-        further = WorkTable(live.df.join(newest, "dst", "left_anti").select("src", "dst"), "wave-edges")
+        further = WorkTable(live.df.join(newest.select("dst"), "dst", "left_anti").select("src", "dst"), "wave-edges")
         for t in (open_, live):
             t.drop()
         open_, live = rest, further
+        left, among = left - finished, live.df.count()
         level += 1
         if len(done) > 16:
             done = [materialize(_union(done), "waves")]
-    return _union([*done, open_.df.select("node", F.lit(-1).alias("level"))])
+    return _union([*done, open_.df.select("node", F.lit(-1).alias("level"), *marks)])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -152,31 +169,35 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def dependency_levels(edges: DataFrame, nodes: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
+def dependency_levels(edges: DataFrame, nodes: DataFrame, unknown: DataFrame | None = None, small_core: int = SMALL_CORE) -> DataFrame:
     """node, component, component_level, structural_level, in_cycle, unknown_dependency_semantics, dependency_status.
 
     ``edges``: src needs dst. ``component_level`` counts waves of the graph of components, ``structural_level`` those of
     single nodes (-1 on or above a cycle). ``unknown`` (node): nodes at a relationship of unknown meaning; they and all
     their consumers are tainted. Statuses: ``cyclic-dependency``, ``depends-on-cycle``, ``acyclic``.
+
+    One wave over the components finds both levels: a node neither on nor above a cycle has the level of its component,
+    and that a prerequisite is on a cycle or tainted is carried up as a mark.
     """
     edges = materialize(edges.select("src", "dst").na.drop().distinct(), "dependency-edges")
-    parts = materialize(strongly_connected(edges, nodes), "dependency-components")
+    parts = materialize(strongly_connected(edges, nodes, small_core), "dependency-components")
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
-    between = edges.join(of("src"), "src").join(of("dst"), "dst").filter("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst"))
-    by_component = waves(between, parts.select(F.col("component").alias("node"))).select(F.col("node").alias("component"), F.col("level").alias("component_level"))
-    by_node = waves(edges, parts.select("node")).withColumnRenamed("level", "structural_level")
-    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
-    cyclic = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
-    cyclic = cyclic.union(parts.join(loops, "node", "left_semi").select("component")).distinct().withColumn("in_cycle", F.lit(True))
-    out = parts.join(by_component, "component").join(cyclic, "component", "left").join(by_node, "node")
-    out = out.withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
-    tainted = None
-    if unknown is not None:
-        consumers = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        tainted = reachable(consumers, unknown, keep_origin=False).select("node", F.lit(True).alias("_t"))
-    out = out.join(tainted, "node", "left") if tainted is not None else out.withColumn("_t", F.lit(None).cast("boolean"))
-    status = F.when(F.col("in_cycle"), "cyclic-dependency").when(F.col("structural_level") < 0, "depends-on-cycle").otherwise("acyclic")
-    return out.select("node", "component", "component_level", "structural_level", "in_cycle", F.coalesce("_t", F.lit(False)).alias("unknown_dependency_semantics"), status.alias("dependency_status"))
+    between = edges.join(of("src"), "src").join(of("dst"), "dst")
+    between = materialize(between.select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst"), (F.col("src") == F.col("dst")).alias("loop")).distinct(), "component-edges")
+    loops = between.filter("loop").select(F.col("src").alias("component"), F.lit(True).alias("_loop")).distinct()
+    odd = parts.select("node", "component") if unknown is None else parts.join(unknown.select("node").na.drop().distinct().withColumn("_odd", F.lit(True)), "node", "left")
+    odd = odd.withColumn("_odd", F.lit(False)) if unknown is None else odd
+    marked = odd.groupBy("component").agg((F.count(F.lit(1)) > 1).alias("large"), F.bool_or(F.coalesce("_odd", F.lit(False))).alias("tainted")).join(loops, "component", "left")
+    marked = marked.select(F.col("component").alias("node"), (F.col("large") | F.coalesce("_loop", F.lit(False))).alias("stuck"), "tainted")
+    marked = materialize(marked, "component-marks")
+    found = waves(between.filter("src <> dst"), marked, small_core, ("stuck", "tainted")).withColumnRenamed("level", "component_level")
+    found = found.join(marked.select("node", F.col("stuck").alias("in_cycle")), "node").withColumnRenamed("node", "component")
+    out = parts.join(found, "component")
+    status = F.when(F.col("in_cycle"), "cyclic-dependency").when(F.col("stuck"), "depends-on-cycle").otherwise("acyclic")
+    return out.select(
+        "node", "component", "component_level", F.when(F.col("stuck"), -1).otherwise(F.col("component_level")).alias("structural_level"),
+        "in_cycle", F.col("tainted").alias("unknown_dependency_semantics"), status.alias("dependency_status"),
+    )
 
 
 def level_violations(edges: DataFrame, levels: DataFrame) -> DataFrame:

@@ -330,3 +330,52 @@ def test_property_paths_of_ten_keys(spark, tmp_path):
     d = graph_folder(spark, tmp_path, {"s": ["Step"]}, links)
     got = {x["hops"]: len([k for k in x["keys"].split(".") if k]) for x in context_queries.property_paths(spark, d).collect()}
     assert got == {0: 0} | {i + 1: i for i in range(11)}
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_dependency_levels_by_either_way(spark, small):
+    """In rounds to the end, and finished in one task; against plain Python."""
+    pairs = [*random_pairs(8, 40, 45), ("z1", "z1"), ("z2", "z1"), ("z3", "z2"), ("c1", "c2"), ("c2", "c3")]
+    ids = sorted({x for p in pairs for x in p if x is not None} | {"alone"})
+    unknown = ["z3", "c3", ids[3]]
+    out = defaultdict(set)
+    for a, b in pairs:
+        if a is not None and b is not None:
+            out[a].add(b)
+
+    def reach(x):
+        seen, todo = set(), list(out[x])
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += out[y]
+        return seen
+
+    r = {x: reach(x) for x in ids}
+    part = {x: min({x} | {y for y in r[x] if x in r[y]}) for x in ids}
+
+    def height(c):
+        below = {part[b] for a in ids if part[a] == c for b in out[a]} - {c}
+        return max((height(b) + 1 for b in below), default=0)
+
+    want = {}
+    for x in ids:
+        cyclic, stuck = x in r[x], x in r[x] or any(y in r[y] for y in r[x])
+        status = "cyclic-dependency" if cyclic else "depends-on-cycle" if stuck else "acyclic"
+        want[x] = (part[x], height(part[x]), -1 if stuck else height(part[x]), cyclic, bool({x, *r[x]} & set(unknown)), status)
+    e, n = edges(spark, pairs), nodes(spark, ids)
+    found = levels.dependency_levels(e, n, nodes(spark, unknown), small_core=small)
+    assert {row[0]: tuple(row[1:]) for row in found.collect()} == want
+    plain = {row["node"]: row["level"] for row in levels.waves(e, n, small).collect()}
+    assert plain == {x: w[2] for x, w in want.items()}
+
+
+def test_level_violations_are_found(spark):
+    """Planted: an edge that isn't upwards, a node too high, and a node whose component has another level."""
+    e = edges(spark, [("b", "a"), ("c", "b"), ("d", "c")])
+    right = [("a", 0, 0), ("b", 1, 1), ("c", 2, 2), ("d", 3, 3)]
+    make = lambda rows: spark.createDataFrame(rows, "node string, component_level int, structural_level int")
+    assert levels.level_violations(e, make(right)).isEmpty()
+    wrong = [("a", 0, 0), ("b", 0, 0), ("c", 2, 2), ("d", 4, 3)]
+    assert {(r["violation"], r["n"]) for r in levels.level_violations(e, make(wrong)).collect()} == {("order", 1), ("recurrence", 2), ("component", 1)}
