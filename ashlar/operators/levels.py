@@ -93,16 +93,29 @@ def owner_id(order: str = "inventory", props: str = "props_json"):
     return F.coalesce(*[F.get_json_object(props, f"$.{k}") for k in OWNER_KEYS[order]])
 
 
-def ownership_edges(nodes: DataFrame) -> DataFrame:
+def ownership_edges(nodes: DataFrame, run: str | None = None) -> DataFrame:
     """src (owner), dst (direct child), distinct, by the owners that ``nodes`` (stable_id, labels, props_json) name: steps
-    and flow blocks belong to the block or function, others to their step. An owner that is no node has no edge.
+    and flow blocks belong to the block or function, others to their step. An owner that is no node has no edge. With
+    ``run``, a column, owners are looked for within it, and src and dst are led by it and a space.
 
     The key that depends on the labels is a column first, so the join is one on equality.
     """
     has = lambda x: F.array_contains(F.coalesce("labels", F.array().cast("array<string>")), x)
     key = F.when(has("Step") | (has("Flow") & has("Block")), owner_id("levels")).otherwise(F.get_json_object("props_json", "$.parentStepStableId"))
-    child = nodes.select(F.col("stable_id").alias("dst"), key.alias("src")).na.drop().filter("src <> dst")
-    return child.join(nodes.select(F.col("stable_id").alias("src")).distinct(), "src", "left_semi").select("src", "dst").distinct()
+    within = (lambda c: F.concat(F.col(run), F.lit(" "), c)) if run else lambda c: c
+    child = nodes.select(within(F.col("stable_id")).alias("dst"), within(key).alias("src")).na.drop().filter("src <> dst")
+    return child.join(nodes.select(within(F.col("stable_id")).alias("src")).distinct(), "src", "left_semi").select("src", "dst").distinct()
+
+
+def named_owners(entities: DataFrame) -> DataFrame:
+    """The rows of the entities that some row names an owner of, and of these owners: all that ``ownership_edges`` needs,
+    which is little where few entities have such keys."""
+    keys = ["provenance_id", "stable_id"]
+    rows = entities.filter(F.col("stable_id").isNotNull())
+    telling = rows.filter(F.rlike("props_json", F.lit('"parent[A-Za-z]*StableId"')))
+    owners = telling.select("provenance_id", F.explode(F.array(*[F.get_json_object("props_json", f"$.{k}") for k in OWNER_KEYS["inventory"]])).alias("stable_id"))
+    wanted = telling.select(*keys).union(owners.na.drop()).distinct()
+    return rows.join(wanted, keys, "left_semi").select(*entities.columns)
 
 
 def reconciled(levels: DataFrame, published: DataFrame) -> DataFrame:

@@ -100,7 +100,9 @@ r AS (SELECT ordinal, workspace, seq, 'from_id' AS endpoint, {normalized_sql("fr
 SELECT ordinal, endpoint, CASE WHEN list_min(seqs) < seq THEN 'deleted' WHEN list_max(seqs) > seq THEN 'late' ELSE 'missing' END AS state FROM r LEFT JOIN s USING (workspace, id) WHERE id IS NOT NULL AND NOT coalesce(list_contains(seqs, seq), false)""",
     "p5_found": f"""WITH RECURSIVE {_TREE}, up AS (SELECT provenance_id, child AS origin, parent AS above FROM l UNION SELECT up.provenance_id, up.origin, l.parent FROM up JOIN l ON l.provenance_id = up.provenance_id AND l.child = up.above)
 SELECT DISTINCT provenance_id, origin AS stable_id FROM up WHERE origin = above""",
-    "p5_descendants": f"{_WALK} SELECT provenance_id, ancestor, id AS descendant, depth - pos + 1 AS distance FROM (SELECT provenance_id, id, depth, unnest(path) AS ancestor, generate_subscripts(path, 1) AS pos FROM w) WHERE pos <= depth",
+    "p5_descendants": f"""WITH RECURSIVE {_TREE}, up AS (SELECT provenance_id, child AS origin, parent AS above, 1 AS steps FROM l
+UNION SELECT up.provenance_id, up.origin, l.parent, steps + 1 FROM up JOIN l ON l.provenance_id = up.provenance_id AND l.child = up.above WHERE steps < 64)
+SELECT provenance_id, above AS ancestor, origin AS descendant, min(steps)::INTEGER AS distance FROM up WHERE above <> origin GROUP BY ALL""",
     "p5_hierarchy": f"""{_WALK}, up AS (SELECT provenance_id, child AS origin, parent AS above FROM l UNION SELECT up.provenance_id, up.origin, l.parent FROM up JOIN l ON l.provenance_id = up.provenance_id AND l.child = up.above)
 SELECT provenance_id, id AS stable_id, root, depth, path, 'tree' AS status FROM w UNION ALL
 SELECT provenance_id, id, NULL, NULL, NULL, CASE WHEN (provenance_id, id) IN (SELECT (provenance_id, origin) FROM up WHERE origin = above) THEN 'cycle' ELSE 'to_cycle' END FROM n WHERE (provenance_id, id) NOT IN (SELECT (provenance_id, id) FROM w)""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.ids import normalized_sql
 from ashlar.operators import levels, traversal
+from ashlar.operators.canonical import merge_entities
 from ashlar.operators.hierarchy import parent_links
 from ashlar.runtime import materialize
 from ashlar.sources.tables import table
@@ -84,7 +85,8 @@ _KNOWN = _sql_list(levels.FORWARD + levels.REVERSE + levels.IGNORED)
 
 def _levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = edges(spark, d)
-    deps = materialize(levels.dependency_edges(e), "deps")
+    named = merge_entities(levels.named_owners(table(spark, d, "raw_entities")))
+    deps = materialize(levels.dependency_edges(e).union(levels.ownership_edges(named, "provenance_id")).distinct(), "deps")
     known = levels.policy(spark)
     odd = e.join(F.broadcast(known), "rel_type", "left_anti")
     unknown = odd.select(F.col("src").alias("node")).union(odd.select("dst"))
@@ -190,7 +192,7 @@ def containment_roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_E}, {_LABEL.format('s', 'UiAffordance')}, f AS (SELECT DISTINCT src, dst FROM e WHERE rel_type IN ('CALLS', 'READS_FROM', 'NEXT')),
-w AS (SELECT node, 0 AS depth FROM s UNION SELECT f.dst, w.depth + 1 FROM w JOIN f ON f.src = w.node WHERE w.depth < 6) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY ALL""")
+w AS (SELECT node, 0 AS depth FROM s UNION SELECT f.dst, w.depth + 1 FROM w JOIN f ON f.src = w.node WHERE w.depth < 40) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY ALL""")
 def depth_from_roots(spark: SparkSession, d: str) -> DataFrame:
     """Least number of flow steps from any interface element."""
     flow = edges(spark, d).filter(F.col("rel_type").isin("CALLS", "READS_FROM", "NEXT"))
@@ -198,7 +200,7 @@ def depth_from_roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_E}, {_LABEL.format('s', 'UiAffordance')}, {_LABEL.format('t', 'StorageCell')}, f AS (SELECT DISTINCT src, dst FROM e WHERE rel_type IN ('CALLS', 'READS_FROM', 'NEXT')),
-w AS (SELECT node AS origin, node, 0 AS hops FROM s UNION SELECT w.origin, f.dst, w.hops + 1 FROM w JOIN f ON f.src = w.node WHERE w.hops < 4)
+w AS (SELECT node AS origin, node, 0 AS hops FROM s UNION SELECT w.origin, f.dst, w.hops + 1 FROM w JOIN f ON f.src = w.node WHERE w.hops < 40)
 SELECT origin, node AS target, min(hops)::INTEGER AS hops FROM w WHERE origin <> node AND node IN (SELECT node FROM t) GROUP BY ALL""")
 def shortest_path_lengths(spark: SparkSession, d: str) -> DataFrame:
     """From each interface element to each storage cell that it reaches by flow steps."""
@@ -208,7 +210,7 @@ def shortest_path_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_E}, {_LABEL.format('s', 'UiAffordance')}, {_LABEL.format('t', 'StorageCell')}, f AS (SELECT DISTINCT src, dst FROM e WHERE rel_type IN ('CALLS', 'READS_FROM', 'NEXT')),
-w AS (SELECT node AS origin, node, 0 AS hops FROM s UNION SELECT w.origin, f.dst, w.hops + 1 FROM w JOIN f ON f.src = w.node WHERE w.hops < 4),
+w AS (SELECT node AS origin, node, 0 AS hops FROM s UNION SELECT w.origin, f.dst, w.hops + 1 FROM w JOIN f ON f.src = w.node WHERE w.hops < 40),
 m AS (SELECT origin, node AS target, min(hops)::INTEGER AS hops FROM w WHERE origin <> node AND node IN (SELECT node FROM t) GROUP BY ALL)
 SELECT origin, target, hops FROM m QUALIFY row_number() OVER (PARTITION BY origin ORDER BY hops, target) = 1""")
 def nearest_target(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +230,7 @@ def simple_flow_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_E}, f AS (SELECT DISTINCT src, dst FROM e WHERE rel_type IN ('NEXT', 'TRUE', 'FALSE')), b AS (SELECT DISTINCT src AS branch, dst AS start FROM e WHERE rel_type IN ('TRUE', 'FALSE')),
-w AS (SELECT start, start AS node, 0 AS depth FROM (SELECT DISTINCT start FROM b) UNION SELECT w.start, f.dst, w.depth + 1 FROM w JOIN f ON f.src = w.node WHERE w.depth < 8),
+w AS (SELECT start, start AS node, 0 AS depth FROM (SELECT DISTINCT start FROM b) UNION SELECT w.start, f.dst, w.depth + 1 FROM w JOIN f ON f.src = w.node WHERE w.depth < 40),
 r AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL), m AS (SELECT branch, node, count(*) AS n, max(depth) AS depth FROM b JOIN r USING (start) GROUP BY ALL)
 SELECT branch, node, depth::INTEGER AS depth FROM m JOIN (SELECT branch, count(*) AS want FROM b GROUP BY ALL) USING (branch) WHERE n = want QUALIFY row_number() OVER (PARTITION BY branch ORDER BY depth, node) = 1""")
 def branch_join_points(spark: SparkSession, d: str) -> DataFrame:
@@ -239,7 +241,7 @@ def branch_join_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_E}, c AS (SELECT DISTINCT src, dst FROM e WHERE rel_type = 'CALLS'), w AS (SELECT src AS origin, dst AS node, 1 AS hops FROM c
-UNION SELECT w.origin, c.dst, w.hops + 1 FROM w JOIN c ON c.src = w.node WHERE w.hops < 5) SELECT origin, min(hops)::INTEGER AS hops FROM w WHERE origin = node GROUP BY ALL""")
+UNION SELECT w.origin, c.dst, w.hops + 1 FROM w JOIN c ON c.src = w.node WHERE w.hops < 40) SELECT origin, min(hops)::INTEGER AS hops FROM w WHERE origin = node GROUP BY ALL""")
 def call_cycle_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Callables that reach themselves by calls, with the least number."""
     calls = edges(spark, d).filter("rel_type = 'CALLS'")
@@ -247,7 +249,7 @@ def call_cycle_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_E}, {_DEPS}, {_LABEL.format('s', 'UiAffordance')}, w AS (SELECT node AS origin, node, 0 AS depth FROM s
-UNION SELECT w.origin, deps.dst, w.depth + 1 FROM w JOIN deps ON deps.src = w.node WHERE w.depth < 3), r AS (SELECT origin, node, min(depth) AS depth FROM w GROUP BY ALL)
+UNION SELECT w.origin, deps.dst, w.depth + 1 FROM w JOIN deps ON deps.src = w.node WHERE w.depth < 8), r AS (SELECT origin, node, min(depth) AS depth FROM w GROUP BY ALL)
 SELECT origin, count(*) AS nodes, max(depth)::INTEGER AS depth, count(*) > 2000 AS overflow FROM r GROUP BY ALL""")
 def bounded_dependency_closure(spark: SparkSession, d: str) -> DataFrame:
     """What each interface element needs within 8 steps; more than 2,000 nodes are flagged."""

@@ -332,6 +332,14 @@ def test_property_paths_of_ten_keys(spark, tmp_path):
     assert got == {0: 0} | {i + 1: i for i in range(11)}
 
 
+def test_owners_are_found_in_their_run(spark):
+    rows = [(1, "s", ["Step"], '{"parentFnStableId": "f"}', "r1"), (2, "f", ["Fn"], "{}", "r1"), (3, "v", ["Value"], '{"parentStepStableId": "s"}', "r1"), (4, "w", ["Value"], '{"parentStepStableId": "gone"}', "r1"), (5, "x", None, None, "r1"), (6, "s", ["Step"], '{"parentFnStableId": "f"}', "r2"), (7, None, None, '{"parentStepStableId": "s"}', "r1")]
+    e = spark.createDataFrame(rows, "ordinal long, stable_id string, labels array<string>, props_json string, provenance_id string")
+    some = levels.named_owners(e)
+    assert {(r["provenance_id"], r["stable_id"]) for r in some.collect()} == {("r1", "s"), ("r1", "f"), ("r1", "v"), ("r1", "w"), ("r2", "s")}
+    assert {tuple(r) for r in levels.ownership_edges(some, "provenance_id").collect()} == {("r1 f", "r1 s"), ("r1 s", "r1 v")}
+
+
 @pytest.mark.parametrize("small", [0, 100_000])
 def test_dependency_levels_by_either_way(spark, small):
     """In rounds to the end, and finished in one task; against plain Python."""
