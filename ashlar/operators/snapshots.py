@@ -24,8 +24,9 @@ from ashlar.runtime import checked_broadcast, materialize
 from ashlar.sources.tables import runs
 
 _OUT = "kind string, workspace string, stable_id string, seq int, change string, state string, place long, done boolean"
-#: Bytes of props in a range, about, and how many ranges have their edges merged in one task.
-RANGE_BYTES, TOGETHER = 64 << 20, 1024
+#: Bytes of props in a range, about, until there are ``MANY`` ranges; from there on up to 16 times as many. And how many
+#: ranges have their edges merged in one task.
+RANGE_BYTES, MANY, TOGETHER = 8 << 20, 20_000, 1024
 #: Rows of one entity in a run are folded into one state whenever so many wait.
 _FOLD = 64
 
@@ -179,7 +180,9 @@ def _compared(rows: DataFrame, size: int, together: int) -> DataFrame:
     order = ["workspace", "stable_id", "seq", "ordinal"]
     width = F.coalesce(F.octet_length("props_json"), F.lit(0)) + 64
     total = rows.agg(F.sum(width.cast("long"))).first()[0] or 0
-    n = int(max(1, -(-total // size), rows.sparkSession.sparkContext.defaultParallelism if total > size // 4 else 1))
+    n = max(1, -(-total // size))
+    n = n if n <= MANY else max(MANY, -(-total // (16 * size)))
+    n = max(n, rows.sparkSession.sparkContext.defaultParallelism if total > size else 1)
     step = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_merge_range, _OUT), "snapshot-merge")
     changes = step.filter("kind = 'change'")
     while n > together:
