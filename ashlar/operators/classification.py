@@ -43,16 +43,31 @@ POLICY = {
     "RIGHT_OPERAND": ("composition", True, True, False, True),
 }
 
-#: Kinds of entities by their labels, the first match counts.
-KINDS = (
-    ("Fn", "Callable"), ("FnDeclaration", "Callable"), ("Call", "CallSite"), ("Request", "CallSite"), ("Op", "CallSite"), ("PredicateCall", "CallSite"), ("FlowBlock", "FlowBlock"),
+#: Kinds of entities by their labels, the first match counts; those before what an entity says of itself.
+STRONG_KINDS = (("Fn", "Callable"),)
+STRONG_KINDS_AFTER_OWN_WORK = (("FnDeclaration", "Callable"), ("Call", "CallSite"), ("Request", "CallSite"), ("Op", "CallSite"), ("PredicateCall", "CallSite"))
+#: Those after it; a flow block has both of its labels.
+WEAK_KINDS = (
     ("Loop", "Loop"), ("Primitive", "ExecutionPrimitive"), ("Step", "Step"), ("ValueAccess", "ValueUse"), ("ValueSlot", "Binding"), ("Storage", "StorageCell"),
     ("Cell", "StorageCell"), ("Setting", "StorageCell"), ("File", "Module"), ("Package", "Module"), ("External", "ExternalComponent"), ("UiSurface", "UiSurface"),
+    ("DetachedAsyncCall", "AsyncFlow"), ("AwaitedAsyncCall", "AsyncFlow"),
 )
+FLOW_BLOCK = ("Flow", "Block")
+#: Kinds that an entity says of itself and that count first of all.
+OWN_KINDS = ("Projection", "SelectedMember", "MemberProjection")
+#: Labels of declarations of types, and those of what runs; with the first alone an entity has no kind.
+TYPE_LABELS = ("TypeReference", "TypeDeclaration", "TypeAliasDeclaration", "AliasDeclaration", "TypeMember")
+CODE_LABELS = ("ValueSlot", "ValueDeclaration", "Parameter", "Fn", "FunctionImplementation", "CallableDeclaration", "Component")
+#: What a developer defined is an entity of its own with one of these labels.
+DEFINED, DEFINED_LABELS = "DeveloperDefined", ("Parameter", "ValueDeclaration", "FunctionImplementation", "Component")
 HIDDEN = ("VisualProxy", "PresentationOnly")
 
 #: Modules that come with the runtime.
-BUILTIN = ("assert", "buffer", "child_process", "cluster", "crypto", "dns", "events", "fs", "http", "https", "net", "os", "path", "process", "querystring", "readline", "stream", "timers", "tls", "url", "util", "vm", "zlib")
+BUILTIN = (
+    "assert", "async_hooks", "buffer", "child_process", "cluster", "console", "constants", "crypto", "dgram", "diagnostics_channel", "dns", "domain", "events", "fs",
+    "http", "http2", "https", "inspector", "module", "net", "os", "path", "perf_hooks", "process", "punycode", "querystring", "readline", "repl", "stream",
+    "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
+)
 
 
 def first_match(rules: list[tuple[Column, str]], otherwise: str | None = None) -> Column:
@@ -72,10 +87,23 @@ def has_all(labels: str, wanted) -> Column:
 
 
 def kind_of(labels: str, explicit: str) -> Column:
-    """The kind of an entity: none for presentation, else what its labels say before what it says itself."""
-    strong = first_match([(has_any(labels, [label]), kind) for label, kind in KINDS[:6]])
-    weak = first_match([(has_any(labels, [label]), kind) for label, kind in KINDS[6:]])
-    return F.when(~has_any(labels, HIDDEN), F.coalesce(strong, F.col(explicit), weak))
+    """The kind of an entity: none for presentation and for mere types, else what its labels say before and after what it
+    says itself. An empty ``explicit`` says nothing."""
+    own = F.nullif(F.col(explicit), F.lit(""))
+    table = lambda kinds: [(has_any(labels, [label]), F.lit(kind)) for label, kind in kinds]
+    nothing = F.lit(None).cast("string")
+    rules = [
+        (has_any(labels, HIDDEN), nothing),
+        (own.isin(*OWN_KINDS), own),
+        (has_any(labels, TYPE_LABELS) & ~has_any(labels, CODE_LABELS), nothing),
+        *table(STRONG_KINDS),
+        (has_any(labels, [DEFINED]) & has_any(labels, DEFINED_LABELS), F.lit("FunctionalEntity")),
+        *table(STRONG_KINDS_AFTER_OWN_WORK),
+        (own.isNotNull(), own),
+        (has_all(labels, FLOW_BLOCK), F.lit("FlowBlock")),
+        *table(WEAK_KINDS),
+    ]
+    return first_match(rules)
 
 
 def edge_roles(rel_type: str) -> Column:

@@ -105,25 +105,29 @@ def slice_between(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> Dat
 
 
 def stack_walk(edges: DataFrame, starts: DataFrame, most_hops: int = 64, most_keys: int = 8) -> DataFrame:
-    """Where values go with their property paths: origin, node, keys (the stack), hops.
+    """Where values go with their property paths: origin, node, keys (the stack), hops, cut.
 
     ``edges``: src, dst, op (``pass``, ``push``, ``pop``), key. A push puts the key on the stack; a pop is taken only if
-    its key is on top, or, with an empty stack, not at all. States (node and stack) are visited once an origin; longer
-    stacks than ``most_keys`` and longer walks than ``most_hops`` end there.
+    its key is on top, or, with an empty stack, not at all. States (node and stack) are visited once an origin. As stacks
+    can grow without end around a cycle, a push beyond ``most_keys`` isn't taken and no walk is longer than ``most_hops``;
+    ``cut`` tells at which states either ended a walk that would have gone on.
     """
     edges = WorkTable(edges.select("src", "dst", "op", "key").na.drop(subset=["src", "dst", "op"]).distinct(), "stack-edges").df
     first = starts.select(F.col("node").alias("origin"), "node").na.drop().distinct().withColumn("keys", F.array().cast("array<string>")).withColumn("hops", F.lit(0))
     seen = traversal._Seen(first, "stack")
     state = ["origin", "node", "keys"]
+    top = F.col("key").eqNullSafe(F.try_element_at("keys", F.lit(-1)))
+    moves = F.col("op").isin("pass", "push") | ((F.col("op") == "pop") & (F.size("keys") > 0) & top)
     for hop in range(1, most_hops + 1):
         step = seen.newest.withColumnRenamed("node", "src").join(edges, "src")
-        top = F.col("key").eqNullSafe(F.try_element_at("keys", F.lit(-1)))
-        step = step.filter((F.col("op") == "pass") | ((F.col("op") == "push") & (F.size("keys") < most_keys)) | ((F.col("op") == "pop") & (F.size("keys") > 0) & top))
+        step = step.filter(moves & ((F.col("op") != "push") | (F.size("keys") < most_keys)))
         keys = F.when(F.col("op") == "push", F.concat("keys", F.array("key"))).when(F.col("op") == "pop", F.slice("keys", F.lit(1), F.greatest(F.size("keys") - 1, F.lit(0)))).otherwise(F.col("keys"))
         step = step.select("origin", F.col("dst").alias("node"), keys.alias("keys")).distinct()
         if not seen.add(step.join(seen.df.select(*state), state, "left_anti").withColumn("hops", F.lit(hop))):
             break
-    return seen.df.select(*state, "hops")
+    ends = seen.df.filter((F.col("hops") == most_hops) | (F.size("keys") >= most_keys)).withColumnRenamed("node", "src").join(edges, "src")
+    ends = ends.filter(moves & ((F.col("hops") == most_hops) | (F.col("op") == "push"))).select("origin", F.col("src").alias("node"), "keys").distinct()
+    return seen.df.join(ends.withColumn("cut", F.lit(True)), state, "left").select(*state, "hops", F.coalesce("cut", F.lit(False)).alias("cut"))
 
 
 def bounded_closure(edges: DataFrame, starts: DataFrame, hops: int, most_nodes: int) -> DataFrame:

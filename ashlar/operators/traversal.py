@@ -128,25 +128,29 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, most
     return out
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, most_hops: int, most_paths: int) -> DataFrame:
+def simple_paths(edges: DataFrame, starts: DataFrame, most_hops: int | None = None, most_paths: int | None = None) -> DataFrame:
     """origin, path, ended (no further node) and truncated of the paths without a repeated node from each start.
 
-    Their number explodes, so at most ``most_paths`` per start go on to the next round, in the order of their nodes, and
-    every path of a start where that or ``most_hops`` cut something off is marked ``truncated``.
+    Without limits all of them come out. As their number can explode, at most ``most_paths`` per start go on to the
+    next round if that is given, in the order of their nodes, and every path of a start where that or ``most_hops`` cut
+    something off is marked ``truncated``.
     """
     edges = WorkTable(_clean(edges).distinct(), "edges").df
     live = WorkTable(starts.select(F.col("node").alias("origin"), F.array("node").alias("path")).na.drop().distinct(), "simple").df
     done, cut = [], []
-    for _ in range(most_hops):
+    for _ in count() if most_hops is None else range(most_hops):
         ends = live.withColumn("src", F.element_at("path", -1))
         step = ends.join(edges, "src").filter(~F.array_contains("path", F.col("dst"))).select("origin", "path", "dst")
         step = WorkTable(step, "simple").df
         done.append(WorkTable(live.join(step.select("origin", "path").distinct(), ["origin", "path"], "left_anti"), "simple").df)
         grown = step.select("origin", F.concat("path", F.array("dst")).alias("path"))
-        w = W.partitionBy("origin").orderBy("path")
-        grown = WorkTable(grown.withColumn("_at", F.row_number().over(w)), "simple").df
-        cut.append(grown.filter(F.col("_at") > most_paths).select("origin").distinct())
-        live = grown.filter(F.col("_at") <= most_paths).drop("_at")
+        if most_paths is None:
+            live = WorkTable(grown, "simple").df
+        else:
+            w = W.partitionBy("origin").orderBy("path")
+            grown = WorkTable(grown.withColumn("_at", F.row_number().over(w)), "simple").df
+            cut.append(grown.filter(F.col("_at") > most_paths).select("origin").distinct())
+            live = grown.filter(F.col("_at") <= most_paths).drop("_at")
         if live.isEmpty():
             break
     further = live.withColumn("src", F.element_at("path", -1)).join(edges, "src").filter(~F.array_contains("path", F.col("dst"))).select("origin", "path").distinct()
@@ -157,15 +161,16 @@ def simple_paths(edges: DataFrame, starts: DataFrame, most_hops: int, most_paths
     return out.join(cut, "origin", "left").select("origin", "path", "ended", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
-def chain_walk(edges: DataFrame, starts: DataFrame, stops: DataFrame, most_hops: int = 64) -> DataFrame:
+def chain_walk(edges: DataFrame, starts: DataFrame, stops: DataFrame, most_hops: int | None = None) -> DataFrame:
     """origin, path, state: walks from each start along the least edge of each node until a stop: ``found``, ``cycle``
-    (the next node is on the path already), ``open`` (no edge) or ``limit``."""
+    (the next node is on the path already), ``open`` (no edge) or, where ``most_hops`` are given, ``limit``. Without
+    them every walk goes to its end, as none passes a node twice."""
     least = _clean(edges).groupBy("src").agg(F.min("dst").alias("dst"))
     least = WorkTable(least, "edges").df
     stops = WorkTable(stops.select(F.col("node").alias("_stop")).na.drop().distinct(), "stops").df
     live = WorkTable(starts.select(F.col("node").alias("origin"), F.array("node").alias("path")).na.drop().distinct(), "chain").df
     done = []
-    for hop in range(most_hops + 1):
+    for hop in count():
         ends = live.withColumn("src", F.element_at("path", -1))
         at_stop = ends.join(stops, (F.col("src") == F.col("_stop")) & (F.size("path") > 1), "left").join(least, "src", "left")
         state = (

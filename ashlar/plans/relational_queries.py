@@ -96,7 +96,14 @@ def _case(pairs, otherwise="NULL", labels="labels"):
     return "CASE " + " ".join(f"WHEN list_contains({labels}, '{a}') THEN '{b}'" for a, b in pairs) + f" ELSE {otherwise} END"
 
 
-@query(f"""WITH {_PROMOTED} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN NOT list_has_any(labels, {_array(cl.HIDDEN)}) THEN coalesce({_case(cl.KINDS[:6])}, annotation_kind, {_case(cl.KINDS[6:])}) END AS kind FROM n) GROUP BY ALL""")
+def _when(pairs, labels="labels"):
+    return " ".join(f"WHEN list_contains({labels}, '{a}') THEN '{b}'" for a, b in pairs)
+
+
+@query(f"""WITH {_PROMOTED}, k AS (SELECT labels AS l, nullif(annotation_kind, '') AS own FROM n) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN list_has_any(l, {_array(cl.HIDDEN)}) THEN NULL
+WHEN own IN {_list(cl.OWN_KINDS)} THEN own WHEN list_has_any(l, {_array(cl.TYPE_LABELS)}) AND NOT list_has_any(l, {_array(cl.CODE_LABELS)}) THEN NULL {_when(cl.STRONG_KINDS, "l")}
+WHEN list_contains(l, '{cl.DEFINED}') AND list_has_any(l, {_array(cl.DEFINED_LABELS)}) THEN 'FunctionalEntity' {_when(cl.STRONG_KINDS_AFTER_OWN_WORK, "l")}
+WHEN own IS NOT NULL THEN own WHEN list_has_all(l, {_array(cl.FLOW_BLOCK)}) THEN 'FlowBlock' {_when(cl.WEAK_KINDS, "l")} END AS kind FROM k) GROUP BY ALL""")
 def annotation_kinds(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).groupBy(cl.kind_of("labels", "annotation_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -48,6 +48,15 @@ def test_stack_walk(spark):
     assert max(len(k) for _, k in got) == 2
 
 
+def test_stack_walk_tells_where_it_was_cut(spark):
+    e = spark.createDataFrame([("a", "b", "push", "k"), ("b", "a", "push", "k"), ("b", "c", "pass", None), ("c", "d", "pass", None)], "src string, dst string, op string, key string")
+    start = spark.createDataFrame([("a",)], "node string")
+    cut = {(r["node"], len(r["keys"])) for r in ev.stack_walk(e, start, 20, 2).filter("cut").collect()}
+    assert cut == {("a", 2)}  # a third key
+    short = {(r["node"], len(r["keys"])) for r in ev.stack_walk(e, start, 2, 8).filter("cut").collect()}
+    assert short == {("a", 2), ("c", 1)}
+
+
 def test_stage_merge(spark):
     rows = [("f", i, n, out) for i, (n, out) in enumerate([(10, False), (20, False), (40, False), (5, True), (1, False), (100, False), (None, None)])]
     df = spark.createDataFrame(rows, "k string, i int, n int, out boolean")

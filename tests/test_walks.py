@@ -387,3 +387,28 @@ def test_level_violations_are_found(spark):
     assert levels.level_violations(e, make(right)).isEmpty()
     wrong = [("a", 0, 0), ("b", 0, 0), ("c", 2, 2), ("d", 4, 3)]
     assert {(r["violation"], r["n"]) for r in levels.level_violations(e, make(wrong)).collect()} == {("order", 1), ("recurrence", 2), ("component", 1)}
+
+
+def test_walks_without_limits_reach_their_ends(spark):
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)]
+    walked = traversal.chain_walk(edges(spark, chain), nodes(spark, ["n000"]), nodes(spark, [])).collect()
+    assert [(len(r["path"]), r["state"]) for r in walked] == [(71, "open")]
+    limited = traversal.chain_walk(edges(spark, chain), nodes(spark, ["n000"]), nodes(spark, []), 5).collect()
+    assert [(len(r["path"]), r["state"]) for r in limited] == [(6, "limit")]
+    diamonds = [(a, b) for i in range(4) for a, b in ((f"j{i}", f"l{i}"), (f"j{i}", f"r{i}"), (f"l{i}", f"j{i + 1}"), (f"r{i}", f"j{i + 1}"))]
+    every = traversal.simple_paths(edges(spark, diamonds), nodes(spark, ["j0"])).collect()
+    assert len(every) == 16 and all(r["ended"] and not r["truncated"] and len(r["path"]) == 9 for r in every)
+
+
+KINDS = [
+    (["Fn", "VisualProxy"], None, None), (["Fn"], "Projection", "Projection"), (["TypeReference"], "Binding", None), (["TypeMember", "ValueSlot"], None, "Binding"), (["Fn", "Call"], "Step", "Callable"),
+    (["DeveloperDefined", "Parameter"], "Binding", "FunctionalEntity"), (["DeveloperDefined", "Step"], None, "Step"), (["DeveloperDefined", "Fn", "Component"], None, "Callable"), (["FnDeclaration"], "Binding", "Callable"),
+    (["Op"], "Binding", "CallSite"), (["Step"], "Loop", "Loop"), (["Step"], "", "Step"), (["Flow", "Block"], None, "FlowBlock"), (["Flow"], None, None), (["Block", "Step"], None, "Step"), (["AwaitedAsyncCall"], None, "AsyncFlow"),
+    (None, "Loop", "Loop"), ([], None, None), (["Package", "External"], None, "Module"),
+]
+
+
+def test_kinds(spark):
+    df = spark.createDataFrame(KINDS, "labels array<string>, own string, want string")
+    for r in df.withColumn("got", cl.kind_of("labels", "own")).collect():
+        assert r["got"] == r["want"], r
