@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.functions.ids import normalize_id
 from ashlar.functions.merge_patch import composed, patched
 from ashlar.runtime import materialize
 
@@ -142,8 +141,3 @@ def staging_stats(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
-
-
-def canonical_id(c):
-    """The comparable id, as ``normalize_id``; ids that are no coordinate fall back to themselves."""
-    return normalize_id(c)

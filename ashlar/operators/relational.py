@@ -149,8 +149,8 @@ def co_occurrence(rows: DataFrame, labels: str) -> DataFrame:
     return out.select("a", "b", "together", "of_a", "of_b", share("a").alias("coverage_a"), share("b").alias("coverage_b"), same.alias("identical"))
 
 
-def jaccard_pairs(items: DataFrame, key: str, item: str, least: float, most_frequent: int | None = None) -> DataFrame:
-    """Pairs of keys (a < b) whose item sets overlap by ``least`` or more: a, b, jaccard, exact.
+def jaccard_pairs(items: DataFrame, key: str, item: str, least: float) -> DataFrame:
+    """Pairs of keys (a < b) whose item sets overlap by ``least`` or more: a, b, jaccard.
 
     Prefix filtering: items are ordered from rare to frequent, and only keys that share one of the first
     ``n - ceil(least * n) + 1`` items of each are compared; so frequent items join nothing.

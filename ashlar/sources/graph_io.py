@@ -96,18 +96,30 @@ def write_report(report: dict, path: str) -> None:
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes a catalog beside ``folder`` and swaps it in with one rename, so readers see the old or the new whole."""
+    """Writes a catalog beside ``folder``, moves the old one away and the new one in.
+
+    Readers see the old or the new one whole, or for the moment between the two renames none. If the second rename
+    fails, the old catalog is moved back; what was written stays beside it.
+    """
     jvm = spark._jvm
     new, old = f"{folder}-new-{uuid.uuid4().hex}", f"{folder}-old-{uuid.uuid4().hex}"
     for name, df in tables.items():
         write_table(df, f"{new}/{name}.parquet")
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(folder)):
-        fs.rename(path(folder), path(old))
-    if not fs.rename(path(new), path(folder)):
+    moved = fs.exists(path(folder))
+    if moved and not fs.rename(path(folder), path(old)):
+        raise OSError(f"{folder} can't be moved away")
+    done = False
+    try:
+        done = fs.rename(path(new), path(folder))
+    finally:
+        if moved and not done:
+            fs.rename(path(old), path(folder))
+    if not done:
         raise OSError(f"{folder} can't be replaced")
-    fs.delete(path(old), True)
+    if moved:
+        fs.delete(path(old), True)
 
 
 def import_run(spark: SparkSession, path: str, provenance_id: str, kind: str, entities: int, relationships: int) -> None:

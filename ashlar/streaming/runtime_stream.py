@@ -47,16 +47,15 @@ def timed(records: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def ingest(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends valid records to a table by day, and the numbers of stored and skipped ones of each batch beside it.
 
-    A batch that runs again after a failure replaces its own files, so nothing comes twice.
+    A batch that runs again after a failure replaces its own files, so nothing comes twice. The source of a batch is read
+    twice rather than kept on executors, which may be lost.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
         good = valid(batch).withColumn("day", F.to_date(F.timestamp_millis(event_time())))
         good.write.mode("overwrite").partitionBy("day").parquet(f"{path}/records/batch={number}")
-        counts = batch.agg(F.count("node_id").alias("stored"), F.count_if(F.col("node_id").isNull()).alias("skipped"))
+        counts = batch.select("node_id").agg(F.count("node_id").alias("stored"), F.count_if(F.col("node_id").isNull()).alias("skipped"))
         counts.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
-        batch.unpersist()
 
     return records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
