@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ashlar.functions.ids import key128
 from ashlar.operators import relational, traversal
 from ashlar.operators.components import cyclic_nodes
 from ashlar.operators.runtime_events import event_time
 from ashlar.runtime import WorkTable
 
+#: Keys of a profile, and about so many profiles of an item, that make a block; a pair of blocks gives its square at most.
+BLOCK = 1000
+#: Pairs of blocks that may give more rows than this are spread over tasks by the number of rows.
+SPREAD = 10_000
 
 #: The parts of a parsed plan that only read.
 QUERY_PLANS = {
@@ -52,34 +59,115 @@ def interval_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str
     return points.withColumn("_cell", cell(at)).join(laid, [*keys, "_cell"]).filter(F.col(at).between(F.col(first), F.col(last))).drop("_cell")
 
 
+def _profiles(features: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
+    """key, p, own, items: each key with its profile, all its items as hashes with the number of their kind.
+
+    ``p`` stands for the profile and ``own`` is its score with itself, the most it has with any; where that is below
+    ``least``, or the key has no items, ``p`` is null. One row a key, so its text is shuffled once.
+    """
+    known = F.col("kind").isin(*weights) & F.col("item").isNotNull()
+    number = F.array_position(F.array(*map(F.lit, weights)), F.col("kind")).cast("int") - 1
+    item = F.when(known, F.struct(number.alias("k"), *key128("item")))
+    sets = features.filter("key is not null").groupBy("key").agg(F.array_sort(F.collect_set(item)).alias("items"))
+    own = sum((F.when(n > 0, w).otherwise(0.0) for n, w in zip(_sizes(weights), weights.values())), F.lit(0.0))
+    p = F.when((own >= least - 1e-12) & (F.size("items") > 0), F.struct(*key128("items")))
+    return WorkTable(sets.select("key", p.alias("p"), own.alias("own"), "items"), "profiles").df
+
+
+def _sizes(weights: dict[str, float]) -> list[Column]:
+    """How many of a profile's items are of each kind."""
+    of = lambda i: F.filter("items", lambda x: x["k"] == i)
+    return [F.size(of(i)) for i in range(len(weights))]
+
+
+def _similar_profiles(keyed: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
+    """a, b, score: the pairs of different profiles (a < b) with a score of ``least`` or more.
+
+    A profile's items are put in one order for all, from rare to frequent, over the kinds. What two profiles share then
+    lies behind their first common item in both, so the shares of the items from there on, weighted, are a bound of
+    their score in either: only items from which on ``least`` can be reached are joined, and a frequent item mostly
+    isn't one. The candidates are scored exactly.
+    """
+    ws = list(weights.values())
+    rows = keyed.filter("p is not null").select("p", "items").dropDuplicates(["p"])
+    rows = rows.select("p", F.array(*_sizes(weights)).alias("ns"), F.explode("items").alias("x"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("x"))).filter("n > 1")  # others are common to none
+    rows = WorkTable(rows, "profile-items").df
+    onwards = W.partitionBy("p").orderBy(F.desc("n"), F.desc("x")).rowsBetween(W.unboundedPreceding, 0)
+    prefix = rows.withColumn("cs", F.array(*[F.count(F.when(F.col("x.k") == i, 1)).over(onwards) for i in range(len(ws))]))
+    # of the kinds that have none, 0 of 1
+    prefix = prefix.filter(sum((w * F.col("cs")[i] / F.greatest(F.col("ns")[i], F.lit(1)) for i, w in enumerate(ws)), F.lit(0.0)) >= least - 1e-9)
+    # items of very many profiles are joined by pairs of blocks of them
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    prefix = prefix.withColumn("m", blocks).withColumn("at", F.pmod(F.xxhash64("p"), F.col("m")).cast("int"))
+    of = lambda p: [F.col(c).alias(f"{c}_{p}") for c in ("p", "ns", "cs")]
+    left = prefix.select("x", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("m") - 1)).alias("j"), *of("a"))
+    right = prefix.select("x", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), *of("b"))
+    most = [F.least(F.col("cs_a")[i], F.col("cs_b")[i]) for i in range(len(ws))]
+    bound = sum((w * m / F.greatest(F.col("ns_a")[i] + F.col("ns_b")[i] - m, F.lit(1)) for i, (w, m) in enumerate(zip(ws, most))), F.lit(0.0))
+    pairs = left.join(right, ["x", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("p_a") < F.col("p_b"))) & (bound >= least - 1e-9))
+    pairs = pairs.select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b")).distinct()
+    side = lambda p: rows.select(F.col("p").alias(p), "x", F.get("ns", F.col("x.k")).alias(f"n{p}"))
+    shared = pairs.join(side("a"), "a").join(side("b"), ["b", "x"]).groupBy("a", "b", F.col("x.k").alias("k"), "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    part = F.get(F.array(*map(F.lit, ws)), F.col("k")) * F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
+    scored = shared.groupBy("a", "b").agg(F.sum(part).alias("score"))
+    return WorkTable(scored.filter(F.col("score") >= least - 1e-12), "similar").df
+
+
 def weighted_similarity(features: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
     """Pairs (a < b) of keys with a weighted sum of Jaccard overlaps by kind of ``least`` or more: a, b, score.
 
-    ``features``: key, kind, item; weights add up to 1. Such a pair overlaps by ``least`` in some kind at least, so the
-    candidates are the union of the kinds' exact joins, and none is missed.
+    ``features``: key, kind, item; weights add up to 1. Keys with the same items are one profile: profiles are compared,
+    and keys paired only in the output, from blocks of a profile's keys. So what is shuffled grows with the keys and the
+    pairs of profiles, not with the pairs of keys; and blocks that give many pairs are spread over tasks by their number.
     """
     if abs(sum(weights.values()) - 1) > 1e-9:
         raise ValueError("weights must add up to 1")
-    features = features.select("key", "kind", "item").na.drop().distinct()
-    candidates = None
-    for kind in weights:
-        found = relational.jaccard_pairs(features.filter(F.col("kind") == kind), "key", "item", least).select("a", "b")
-        candidates = found if candidates is None else candidates.union(found)
-    candidates = WorkTable(candidates.distinct(), "similar").df
-    sizes = features.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n"))
-    of = lambda x: features.select(F.col("key").alias(x), "kind", "item")
-    shared = candidates.join(of("a"), "a").join(of("b"), ["b", "kind", "item"]).groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("k"))
-    n = lambda x: sizes.select(F.col("key").alias(x), "kind", F.col("n").alias(f"n{x}"))
-    table = F.create_map(*[F.lit(x) for p in weights.items() for x in p])
-    part = F.element_at(table, F.col("kind")) * F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    scored = shared.join(n("a"), ["a", "kind"]).join(n("b"), ["b", "kind"]).groupBy("a", "b").agg(F.sum(part).alias("score"))
-    return scored.filter(F.col("score") >= least - 1e-12)
+    keyed = _profiles(features, weights, least)
+    similar = _similar_profiles(keyed, weights, least)
+    at = F.floor((F.row_number().over(W.partitionBy("p").orderBy("key")) - 1) / BLOCK)
+    laid = keyed.filter("p is not null").select("p", "own", "key", at.cast("int").alias("at"))
+    blocks = laid.groupBy("p", "at").agg(F.max("own").alias("score"), F.array_sort(F.collect_list("key")).alias("keys"))
+    blocks = WorkTable(blocks.withColumn("n", F.size("keys").cast("long")), "blocks").df
+    light = blocks.filter(F.col("n") * F.col("n") <= SPREAD).select("score", "keys", F.posexplode("keys").alias("i", "a"))
+    light = light.select("a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b"), "score")
+    side = lambda p, i, *more: blocks.select(F.col("p").alias(p), F.col("at").alias(i), *more)
+    other = similar.join(side("a", "i", F.col("n").alias("na")), "a").join(side("b", "j", F.col("n").alias("nb")), "b")
+    other = other.select("a", "i", "b", "j", "score", (F.col("na") * F.col("nb")).alias("n"))
+    upto = F.when(F.col("n") * F.col("n") > SPREAD, F.col("at")).otherwise(F.col("at") - 1)
+    same = blocks.withColumn("upto", upto).filter("upto >= 0").select(F.col("p").alias("a"), F.explode(F.sequence(F.lit(0), "upto")).alias("i"), F.col("p").alias("b"), F.col("at").alias("j"), "score", (F.col("n") * BLOCK).alias("n"))
+    links = WorkTable(other.unionByName(same), "links").df
+    heavy = F.col("n") > SPREAD
+    rows = links.filter(heavy).agg(F.sum("n")).first()[0] or 0
+
+    def paired(links: DataFrame, tasks: int = 0) -> DataFrame:
+        both = links.join(side("a", "i", F.col("keys").alias("left")), ["a", "i"]).join(side("b", "j", F.col("keys").alias("right")), ["b", "j"])
+        both = both.repartition(tasks, "a", "i", "b", "j") if tasks else both
+        itself = (F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))
+        both = both.select("score", itself.alias("itself"), "right", F.explode("left").alias("x")).select("score", "itself", "x", F.explode("right").alias("y"))
+        return both.filter("not itself or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+
+    out = light.unionByName(paired(links.filter(~heavy)))
+    return out.unionByName(paired(links.filter(heavy), math.ceil(rows / (BLOCK * BLOCK)))) if rows else out
 
 
 def similarity_components(features: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
-    """node, component: groups of keys joined by similar pairs; keys without one are groups of their own."""
-    pairs = weighted_similarity(features, weights, least)
-    return traversal.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), features.select(F.col("key").alias("node")))
+    """node, component: groups of keys joined by similar pairs; keys without one are groups of their own.
+
+    Keys of one profile are similar if the profile can be similar to any, so profiles are grouped, and no pairs of keys
+    are made.
+    """
+    if abs(sum(weights.values()) - 1) > 1e-9:
+        raise ValueError("weights must add up to 1")
+    keyed = _profiles(features, weights, least)
+    similar = _similar_profiles(keyed, weights, least)
+    groups = traversal.components(similar.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("p"), F.col("component").alias("root"))
+    first = keyed.filter("p is not null").groupBy("p").agg(F.min("key").alias("component"))
+    first = WorkTable(first.join(groups, "p", "left"), "first-keys").df
+    least_key = first.filter("root is not null").groupBy("root").agg(F.min("component").alias("of_root"))
+    named = first.join(least_key, "root", "left").select("p", F.coalesce("of_root", "component").alias("component"))
+    alone = keyed.filter("p is null").select(F.col("key").alias("node"), F.col("key").alias("component"))
+    return keyed.filter("p is not null").join(named, "p").select(F.col("key").alias("node"), "component").unionByName(alone)
 
 
 def readiness(edges: DataFrame, nodes: DataFrame, blocked: DataFrame, doubtful: DataFrame) -> DataFrame:

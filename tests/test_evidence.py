@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ashlar.operators import evidence as ev
+from ashlar.operators import traversal
+from ashlar.runtime import WorkTable
 
 
 def test_interval_join_finds_every_pair(spark):
@@ -33,6 +35,46 @@ def test_weighted_similarity_misses_no_pair(spark):
         ev.weighted_similarity(df, {"x": 0.5}, 0.5)
 
 
+def _score(a: dict, b: dict, weights: dict) -> float:
+    return sum(w * len(x & y) / len(x | y) for k, w in weights.items() if (x := a.get(k, set())) | (y := b.get(k, set())))
+
+
+def _written(monkeypatch) -> list[int]:
+    """The rows of each work table that is written from now on."""
+    rows: list[int] = []
+
+    class Counted(WorkTable):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            rows.append(self.df.count())
+
+    for module in (ev, traversal):
+        monkeypatch.setattr(module, "WorkTable", Counted)
+    return rows
+
+
+def _crowd() -> dict[str, dict]:
+    """Keys of one profile, and keys that have one frequent item of a kind that isn't enough to make them similar."""
+    one = {f"o{i:02}": {"x": {"hot"}} for i in range(50)}
+    return one | {f"p{i:02}": {"x": {f"own{i}"}, "y": {"hot"}} for i in range(50)} | {f"q{i:02}": {"x": {"few", f"r{i}"}, "y": {f"s{i // 2}"}, "z": {f"t{i // 3}"}} for i in range(12)}
+
+
+def _rows(spark, sets: dict[str, dict]):
+    return spark.createDataFrame([(s, k, i) for s, m in sets.items() for k, items in m.items() for i in items], "key string, kind string, item string")
+
+
+@pytest.mark.parametrize("block, spread", [(1000, 10_000), (7, 30)])
+def test_weighted_similarity_pairs_keys_in_the_output_only(spark, monkeypatch, block, spread):
+    monkeypatch.setattr(ev, "BLOCK", block, raising=False)
+    monkeypatch.setattr(ev, "SPREAD", spread, raising=False)
+    rows, sets, weights = _written(monkeypatch), _crowd(), {"x": 0.5, "y": 0.3, "z": 0.2}
+    features = _rows(spark, sets)
+    got = ev.weighted_similarity(features.union(features), weights, 0.45).collect()
+    want = {(a, b): round(s, 6) for a, x in sets.items() for b, y in sets.items() if a < b and (s := _score(x, y, weights)) >= 0.45 - 1e-12}
+    assert len(got) == len(want) and {(r["a"], r["b"]): round(r["score"], 6) for r in got} == want and len(want) > 50 * 49 / 2
+    assert max(rows) <= features.count()  # there were 2464 candidates
+
+
 def test_readiness(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("e", "d"), ("f", "e"), ("g", "h")], "src string, dst string")
     n = lambda *x: spark.createDataFrame([(i,) for i in x], "node string")
