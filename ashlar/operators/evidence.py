@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +20,7 @@ from ashlar.runtime import WorkTable
 BLOCK = 1000
 #: Pairs of blocks that may give more rows than this are spread over tasks by the number of rows.
 SPREAD = 10_000
+PARTS = "array<struct<k1:bigint,k2:bigint>>"
 
 #: The parts of a parsed plan that only read.
 QUERY_PLANS = {
@@ -80,8 +83,21 @@ def _sizes(weights: dict[str, float]) -> list[Column]:
     return [F.size(of(i)) for i in range(len(weights))]
 
 
-def _similar_profiles(keyed: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
-    """a, b, score: the pairs of different profiles (a < b) with a score of ``least`` or more.
+def _same_parts(weights: dict[str, float], least: float) -> Column:
+    """For each smallest set of kinds whose weights reach ``least``: a profile's items of these kinds as one hash, null
+    where it lacks one of the kinds. Profiles that agree in any of them are similar."""
+    ws, sizes, parts, taken = list(weights.values()), _sizes(weights), [], []
+    for some in chain.from_iterable(combinations(range(len(ws)), r + 1) for r in range(len(ws))):
+        if sum(ws[i] for i in some) >= least - 1e-12 and not any(t <= {*some} for t in taken):
+            taken.append({*some})
+            all_there = reduce(lambda x, y: x & y, [sizes[i] > 0 for i in some])
+            parts.append(F.when(all_there, F.struct(*key128(F.filter("items", lambda x: x["k"].isin(*some))))))
+    return F.array(*parts).cast(PARTS)
+
+
+def _similar_profiles(keyed: DataFrame, weights: dict[str, float], least: float, parts: Column | None = None) -> DataFrame:
+    """a, b, score: the pairs of different profiles (a < b) with a score of ``least`` or more; with ``parts``, without
+    those that agree in any of them.
 
     A profile's items are put in one order for all, from rare to frequent, over the kinds. What two profiles share then
     lies behind their first common item in both, so the shares of the items from there on, weighted, are a bound of
@@ -90,7 +106,7 @@ def _similar_profiles(keyed: DataFrame, weights: dict[str, float], least: float)
     """
     ws = list(weights.values())
     rows = keyed.filter("p is not null").select("p", "items").dropDuplicates(["p"])
-    rows = rows.select("p", F.array(*_sizes(weights)).alias("ns"), F.explode("items").alias("x"))
+    rows = rows.select("p", F.array(*_sizes(weights)).alias("ns"), (F.array().cast(PARTS) if parts is None else parts).alias("parts"), F.explode("items").alias("x"))
     rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("x"))).filter("n > 1")  # others are common to none
     rows = WorkTable(rows, "profile-items").df
     onwards = W.partitionBy("p").orderBy(F.desc("n"), F.desc("x")).rowsBetween(W.unboundedPreceding, 0)
@@ -100,12 +116,14 @@ def _similar_profiles(keyed: DataFrame, weights: dict[str, float], least: float)
     # items of very many profiles are joined by pairs of blocks of them
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     prefix = prefix.withColumn("m", blocks).withColumn("at", F.pmod(F.xxhash64("p"), F.col("m")).cast("int"))
-    of = lambda p: [F.col(c).alias(f"{c}_{p}") for c in ("p", "ns", "cs")]
+    of = lambda p: [F.col(c).alias(f"{c}_{p}") for c in ("p", "ns", "cs", "parts")]
     left = prefix.select("x", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("m") - 1)).alias("j"), *of("a"))
     right = prefix.select("x", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), *of("b"))
     most = [F.least(F.col("cs_a")[i], F.col("cs_b")[i]) for i in range(len(ws))]
     bound = sum((w * m / F.greatest(F.col("ns_a")[i] + F.col("ns_b")[i] - m, F.lit(1)) for i, (w, m) in enumerate(zip(ws, most))), F.lit(0.0))
     pairs = left.join(right, ["x", "i", "j"]).filter(((F.col("i") < F.col("j")) | (F.col("p_a") < F.col("p_b"))) & (bound >= least - 1e-9))
+    agree = F.exists(F.arrays_zip("parts_a", "parts_b"), lambda z: F.coalesce(z["parts_a"] == z["parts_b"], F.lit(False)))
+    pairs = pairs if parts is None else pairs.filter(~agree)
     pairs = pairs.select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b")).distinct()
     side = lambda p: rows.select(F.col("p").alias(p), "x", F.get("ns", F.col("x.k")).alias(f"n{p}"))
     shared = pairs.join(side("a"), "a").join(side("b"), ["b", "x"]).groupBy("a", "b", F.col("x.k").alias("k"), "na", "nb").agg(F.count(F.lit(1)).alias("c"))
@@ -154,18 +172,30 @@ def weighted_similarity(features: DataFrame, weights: dict[str, float], least: f
 def similarity_components(features: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
     """node, component: groups of keys joined by similar pairs; keys without one are groups of their own.
 
-    Keys of one profile are similar if the profile can be similar to any, so profiles are grouped, and no pairs of keys
-    are made.
+    No pairs of keys are made: those of one profile are similar if the profile can be similar to any. Profiles that agree
+    in enough kinds are linked to the least of them, and only others compared. As a profile is in one group at most by
+    the first such kinds, these groups are the nodes that the rest is linked by.
     """
     if abs(sum(weights.values()) - 1) > 1e-9:
         raise ValueError("weights must add up to 1")
     keyed = _profiles(features, weights, least)
-    similar = _similar_profiles(keyed, weights, least)
-    groups = traversal.components(similar.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("p"), F.col("component").alias("root"))
-    first = keyed.filter("p is not null").groupBy("p").agg(F.min("key").alias("component"))
-    first = WorkTable(first.join(groups, "p", "left"), "first-keys").df
-    least_key = first.filter("root is not null").groupBy("root").agg(F.min("component").alias("of_root"))
-    named = first.join(least_key, "root", "left").select("p", F.coalesce("of_root", "component").alias("component"))
+    parts = _same_parts(weights, least)
+    similar = _similar_profiles(keyed, weights, least, parts)
+    profiles = keyed.filter("p is not null").select("p", "key", parts.alias("parts")).groupBy("p").agg(F.min("key").alias("first"), F.first("parts").alias("parts"))
+    profiles = WorkTable(profiles.withColumn("g", F.coalesce(F.get("parts", F.lit(0)), "p")), "profiles").df
+    groups = WorkTable(profiles.groupBy("g").agg(F.min("p").alias("group"), F.min("first").alias("first")), "groups").df
+    member = WorkTable(profiles.select("p", "g", "parts").join(groups.select("g", "group"), "g").select("p", "group", "parts"), "members").df
+    of = lambda x, to: member.select(F.col("p").alias(x), F.col("group").alias(to))
+    links = similar.join(of("a", "src"), "a").join(of("b", "dst"), "b").select("src", "dst")
+    others = member.select("group", F.posexplode("parts").alias("i", "part")).filter("i > 0 and part is not null").distinct()
+    others = WorkTable(others, "parts").df
+    stars = others.join(others.groupBy("i", "part").agg(F.min("group").alias("dst")), ["i", "part"]).select(F.col("group").alias("src"), "dst")
+    links = WorkTable(links.union(stars).filter("src <> dst").distinct(), "links").df
+    roots = traversal.components(links).select(F.col("node").alias("group"), F.col("component").alias("root"))
+    named = WorkTable(groups.select("group", "first").join(roots, "group", "left"), "roots").df
+    of_root = named.filter("root is not null").groupBy("root").agg(F.min("first").alias("component"))
+    named = named.join(of_root, "root", "left").select("group", F.coalesce("component", "first").alias("component"))
+    named = member.select("p", "group").join(named, "group").select("p", "component")
     alone = keyed.filter("p is null").select(F.col("key").alias("node"), F.col("key").alias("component"))
     return keyed.filter("p is not null").join(named, "p").select(F.col("key").alias("node"), "component").unionByName(alone)
 

@@ -75,6 +75,36 @@ def test_weighted_similarity_pairs_keys_in_the_output_only(spark, monkeypatch, b
     assert max(rows) <= features.count()  # there were 2464 candidates
 
 
+def _groups(sets: dict[str, dict], weights: dict, least: float) -> dict[str, str]:
+    """The least key of each key's group, by sets that are merged pair by pair."""
+    of = {s: {s} for s in sets}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if of[a] is not of[b] and _score(x, y, weights) >= least - 1e-12:
+                both = of[a] | of[b]
+                of |= dict.fromkeys(both, both)
+    return {s: min(g) for s, g in of.items()}
+
+
+def test_similarity_components_make_no_pairs(spark, monkeypatch):
+    rows, weights = _written(monkeypatch), {"x": 0.5, "y": 0.3, "z": 0.2}
+    sets = _crowd() | {f"u{i:02}": {"x": {"hot"}, "y": {f"w{i}"}} for i in range(50)} | {f"v{i}": {"y": {"hot"}, "z": {"hot"}, "x": {f"own{i}"}} for i in range(9)}
+    features = _rows(spark, sets)
+    got = {r["node"]: r["component"] for r in ev.similarity_components(features, weights, 0.45).collect()}
+    assert got == _groups(sets, weights, 0.45) and len(set(got.values())) == 49
+    assert max(rows) <= features.count()  # there were 4950 pairs
+
+
+@pytest.mark.parametrize("least", [0.22, 0.45, 0.8])
+def test_similarity_components_of_random_sets(spark, least):
+    rng, weights = random.Random(11), {"x": 0.5, "y": 0.3, "z": 0.2}
+    sets = {f"s{i:02}": {k: {f"{rng.randrange(9)}" for _ in range(rng.randrange(0, 4))} for k in (*weights, "other")} for i in range(45)}
+    sets = {s: m for s, m in sets.items() if any(m.values())}
+    features = _rows(spark, sets).union(spark.createDataFrame([("none", "x", None), (None, "x", "1")], "key string, kind string, item string"))
+    got = [(r["node"], r["component"]) for r in ev.similarity_components(features, weights, least).collect()]
+    assert sorted(got) == sorted((_groups(sets, weights, least) | {"none": "none"}).items())
+
+
 def test_readiness(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("e", "d"), ("f", "e"), ("g", "h")], "src string, dst string")
     n = lambda *x: spark.createDataFrame([(i,) for i in x], "node string")
